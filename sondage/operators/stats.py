@@ -81,7 +81,7 @@ def _spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 _CHUNK = 1_000_000
-_GRID = 1024
+_GRID = 2048
 
 
 def _kendall_pair(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _kendall_pair(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Equal pairs are merged, then numbered in (a, b) and in (b, a) order, which turns ties
     into non-inversions.  Discordant pairs are inversions between the two numberings: pairs
-    in different row *and* column blocks are counted on the block grid (at most 1024 x 1024
+    in different row *and* column blocks are counted on the block grid (at most 2048 x 2048
     cells), pairs sharing a row block or a column block inside that block.  Blocks are exact
     position ranges of equal size, so none is oversized whatever the values look like.
     """

@@ -282,3 +282,15 @@ def second_pass(
         own = {f: known[f"s{i}_{f}"] for f in fields}
         exprs += [make(as_double(quoted(c)), own).alias(f"_{i}_{field}") for field, make in aggs.items()]
     return wide_to_long(df.agg(*exprs), cols, list(aggs))
+
+
+def pin(table: DataFrame) -> DataFrame:
+    """Hold a schema-sized result (one row per column of some table) as a local relation.
+
+    For statistics that took several jobs and are read by more than one later step.
+    Refuses anything larger than a wide schema.
+    """
+    held = table.limit(100_001).toArrow()
+    if held.num_rows > 100_000:
+        raise ValueError("only per-column statistics may be held on the driver")
+    return table.sparkSession.createDataFrame(held, schema=table.schema)
