@@ -23,7 +23,7 @@ from sondage.operators.stats import one_row
 from sondage.operators.tablefacts import table_of
 from sondage.operators.types import NUMERIC_LEVELS, logical_types, of_type
 from sondage.plans.joins import scalar_row
-from sondage.plans.values import q_name, quantiles_long, second_pass, top_per_column
+from sondage.plans.values import q_name, quantiles_long, top_per_column
 from sondage.session import materialize
 
 REGRESSION, CLASSIFICATION = "Regression", "Classification"
@@ -380,11 +380,11 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str | Sequence[str
 def anomaly_drivers(df: DataFrame, cols: Sequence[str], flag: str = "is_anomaly", trees: int = 120, seed: int = 42) -> DataFrame:
     """(column, importance): which columns separate flagged rows from the rest (forest importances).
 
-    The anomaly flag is the target; fitting against the row number, as is sometimes done,
-    says nothing about anomalies.
+    The target is the anomaly flag as 0/1.  It is fitted as a regression: a classification
+    tree drops splits whose two sides have the same majority, which for rare flags is all of them.
     """
     rows = _standardised(df, cols).withColumn("label", quoted(flag).cast("double"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=seed).fit(rows.select("features", "label"))
+    model = RandomForestRegressor(numTrees=trees, maxDepth=6, maxBins=128, seed=seed).fit(rows.select("features", "label"))
     weights = model.featureImportances.toArray()
     found = [{"column": c, "importance": float(w)} for c, w in zip(cols, weights)]
     found.sort(key=lambda r: (-r["importance"], r["column"]))

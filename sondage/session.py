@@ -70,10 +70,14 @@ def materialize(df: DataFrame) -> DataFrame:
     Uses the reliable checkpoint folder the cluster names, so the result survives
     executor loss; a temporary folder is set only where none is configured.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="sondage-ckpt-", dir=os.environ.get("TMPDIR"))
-        sc.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session: the cluster's, or a temporary one where none is named."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sondage-ckpt-", dir=os.environ.get("TMPDIR")))
+    return sc.getCheckpointDir()
