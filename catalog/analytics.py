@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from catalog.base import register, rounded
+from catalog.base import register
 from sondage.operators import facts as I
 from sondage.operators import ml as M
 from sondage.operators import quality as Q
@@ -103,7 +103,8 @@ register(
 register(
     "detect_issues", "planted", lambda p: Q.detect_issues(p.select("x", "x_noisy", "event_type")),
     f"""SELECT 'outliers' AS issue, c AS "column", k AS count, round(k / n * 100, 4) AS pct, 'Medium' AS priority, 'Medium' AS impact FROM (
-    SELECT 'x' AS c, {_iqr_one('x', 'planted')} AS k UNION ALL SELECT 'x_noisy', {_iqr_one('x_noisy', 'planted')}), (SELECT count(*) AS n FROM planted) WHERE k > n * 0.02""",
+    SELECT 'x' AS c, {_iqr_one('x', 'planted')} AS k UNION ALL SELECT 'x_noisy', {_iqr_one('x_noisy', 'planted')}), (SELECT count(*) AS n FROM planted) WHERE k > n * 0.02
+    UNION ALL SELECT 'duplicate rows', NULL, n - u, round((n - u) / n * 100, 4), 'Medium', 'Medium' FROM (SELECT count(*) AS n FROM planted), (SELECT count(*) AS u FROM (SELECT DISTINCT x, x_noisy, event_type FROM planted)) WHERE n > u""",
 )
 register(
     "detect_issues_dirty", "dirty_orders", Q.detect_issues,
@@ -120,6 +121,7 @@ register(
     o AS (SELECT 'gap_value' AS c, {_iqr_one('gap_value', 'planted')} AS k UNION ALL SELECT 'x_noisy', {_iqr_one('x_noisy', 'planted')} UNION ALL SELECT 'x', {_iqr_one('x', 'planted')}),
     r AS (SELECT 'gap_value' AS a, 'x_noisy' AS b, corr(gap_value, x_noisy) AS v FROM planted UNION ALL SELECT 'gap_value', 'x', corr(gap_value, x) FROM planted UNION ALL SELECT 'x_noisy', 'x', corr(x_noisy, x) FROM planted)
     SELECT 'Outliers' AS factor, c AS "column", NULL AS other, CAST(k AS DOUBLE) AS value, 'Medium' AS severity FROM o, n WHERE k > n.n * 0.02
+    UNION ALL SELECT 'Data Quality', NULL, 'duplicates', CAST(n - u AS DOUBLE), 'Medium' FROM n, (SELECT count(*) AS u FROM (SELECT DISTINCT gap_value, x_noisy, event_type, x FROM planted)) WHERE n > u
     UNION ALL SELECT 'Category Impact', 'event_type', 'gap_value', round((max(v) - min(v)) / greatest(abs(min(v)), 0.01) * 100, 4), 'High' FROM g HAVING (max(v) - min(v)) / greatest(abs(min(v)), 0.01) * 100 > 20
     UNION ALL SELECT 'Strong Correlation', a, b, round(v, 4), 'Medium' FROM r WHERE abs(v) > 0.7""",
 )
@@ -338,17 +340,13 @@ register(
 
 _IDX = "(SELECT value AS y, row_number() OVER (ORDER BY event_id) - 1 AS i FROM gappy_events WHERE value IS NOT NULL)"
 register(
-    "trend", "gappy_events", lambda g: T_trend(g),
+    "trend", "gappy_events", lambda g: R.trend(g, "value", "event_id").drop("p_value"),
     f"""SELECT round(regr_slope(y, i), 6) + 0.0 AS slope, round(regr_intercept(y, i), 6) AS intercept, round(corr(y, i), 6) + 0.0 AS r, round(regr_r2(y, i), 6) AS r2, count(*) AS n,
     CASE WHEN regr_slope(y, i) > 0 THEN 'Increasing' ELSE 'Decreasing' END AS direction, CASE WHEN abs(corr(y, i)) > 0.7 THEN 'strong' WHEN abs(corr(y, i)) > 0.4 THEN 'moderate' ELSE 'weak' END AS strength FROM {_IDX}""",
     digits=6,
 )
 
 
-def T_trend(g: DataFrame) -> DataFrame:
-    return R.trend(g, "value", "event_id").drop("p_value")
-
-
 register(
     "trend_fitted", "gappy_events", lambda g: R.trend_fitted(g, "value", "event_id").select("event_id", "position", "fitted"),
     """WITH d AS (SELECT event_id, value AS y, row_number() OVER (ORDER BY event_id) - 1 AS i FROM gappy_events WHERE value IS NOT NULL), l AS (SELECT regr_slope(y, i) AS s, regr_intercept(y, i) AS c FROM d)
@@ -372,7 +370,8 @@ for _f, (_t, _d, _v, _label, _unit, _step) in _RESAMPLE.items():
         f"resample_{_f.lower()}", _t, lambda x, f=_f, d=_d, v=_v: R.resample(x, d, v, f),
         f"""WITH a AS (SELECT CAST(date_trunc('{_unit}', {_d}) AS TIMESTAMP) AS p, avg({_v}) AS m, min({_v}) AS lo, max({_v}) AS hi FROM {_t} WHERE {_v} IS NOT NULL GROUP BY 1),
         s AS (SELECT unnest(generate_series((SELECT min(p) FROM a), (SELECT max(p) FROM a), INTERVAL {_step})) AS p)
-        SELECT {_label} AS period, round(m, 4) AS mean, round(lo, 4) AS min, round(hi, 4) AS max FROM s LEFT JOIN a USING (p)""",
+        SELECT {_label} AS period, round(m, 8) AS mean, round(lo, 8) AS min, round(hi, 8) AS max FROM s LEFT JOIN a USING (p)""",
+        digits=8,  # cents averaged over up to 64 rows end within 8 decimals, so no rounding ties
     )
 
 # ------------------------------------------------------------------ models
@@ -429,8 +428,6 @@ register(
 
 # ------------------------------------------------------------------ insight facts
 
-_FACT = "kind, \"column\", other, value, text"
-
 
 def _fact(kind: str, column: str | None = None, value: str = "NULL", text: str = "NULL", other: str = "NULL", rest: str = "") -> str:
     c = "NULL::VARCHAR" if column is None else f"'{column}'"

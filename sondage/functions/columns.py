@@ -45,17 +45,15 @@ def as_text(df: DataFrame, name: str) -> Column:
     return quoted(name).cast("string")
 
 
-def skew_g1(x: Column) -> Column:
-    """Bias-corrected sample skewness; NULL for fewer than three values or no spread."""
-    n = F.count(x).cast("double")
-    return F.when((n > 2) & (F.var_pop(x) > 0), F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
+def skew_g1(g: Column, n: Column, var: Column) -> Column:
+    """Bias-corrected skewness from the population one; NULL for fewer than three values or no spread."""
+    return F.when((n > 2) & (var > 0), g * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
 
 
-def kurt_g2(x: Column) -> Column:
-    """Bias-corrected excess kurtosis; NULL for fewer than four values or no spread."""
-    n = F.count(x).cast("double")
-    scaled = ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
-    return F.when((n > 3) & (F.var_pop(x) > 0), scaled)
+def kurt_g2(k: Column, n: Column, var: Column) -> Column:
+    """Bias-corrected excess kurtosis from the population one; NULL for fewer than four values or no spread."""
+    scaled = ((n + 1) * k + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
+    return F.when((n > 3) & (var > 0), scaled)
 
 
 def band(c: Column, thresholds: Sequence[tuple[float, str]], otherwise: str) -> Column:

@@ -266,11 +266,16 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42, resta
     """Complete rows with ``cluster`` ("Cluster i"): k-means on standardised columns, best of several seeds."""
     rows = _standardised(df, cols)
     points = materialize(rows.select("features"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if points.rdd.getNumPartitions() < cores:  # few input splits: give the iterations all cores
+        points = points.repartition(cores)
+    points = points.persist()
     best = None
     for i in range(restarts):
         model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="_c").fit(points)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
+    points.unpersist()
     labelled = best.transform(rows)
     return labelled.withColumn("cluster", F.concat(F.lit("Cluster "), F.col("_c").cast("string"))).drop("features", "_c")
 

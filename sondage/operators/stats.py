@@ -46,18 +46,55 @@ def _complete(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _pearson_all(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(ia, ib, r) of all column pairs in one aggregate; NULL where a column does not vary."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs = []
-    for i, j in pairs:
-        x, y = as_double(quoted(cols[i])), as_double(quoted(cols[j]))
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        spread = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(xs) * F.stddev_pop(ys))
-        aggs.append(F.when(spread, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias(f"r_{i}_{j}"))
-    entries = F.array(*[F.struct(F.lit(i).alias("ia"), F.lit(j).alias("ib"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs])
-    return df.agg(*aggs).select(F.explode(entries).alias("e")).select("e.*")
+    """(ia, ib, r) of all column pairs over their pairwise complete rows; NULL where a column does not vary.
+
+    A first aggregate finds each column's mean and gaps (one number per column).  The second
+    sums products of mean-shifted values: one sum per pair of gap-free columns, six where
+    rows must be left out pair by pair.  Plain sums keep the wide aggregate in generated
+    code, and the shift keeps them accurate.
+    """
+    slim = df.select(*[as_double(quoted(c)).alias(f"x{i}") for i, c in enumerate(cols)])
+    size = len(cols)
+    first = slim.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[a for i in range(size) for a in (F.count(f"x{i}").alias(f"n{i}"), F.avg(f"x{i}").alias(f"m{i}"), (F.min(f"x{i}") < F.max(f"x{i}")).alias(f"v{i}"))],
+    ).first()
+    whole = [first[f"n{i}"] == first["rows"] for i in range(size)]
+    varies = [bool(first[f"v{i}"]) for i in range(size)]
+    shifted = slim.select(*[(F.col(f"x{i}") - F.lit(float(first[f"m{i}"] or 0.0))).alias(f"d{i}") for i in range(size)])
+    d = [F.col(f"d{i}") for i in range(size)]
+    aggs, parts = [], []
+    for i in range(size):
+        if varies[i] and whole[i]:
+            aggs += [F.sum(d[i]).alias(f"s{i}"), F.sum(d[i] * d[i]).alias(f"q{i}")]
+    for i in range(size):
+        for j in range(i + 1, size):
+            if not (varies[i] and varies[j]):
+                continue
+            p = f"{i}_{j}"
+            aggs.append(F.sum(d[i] * d[j]).alias(f"p{p}"))
+            if whole[i] and whole[j]:
+                n = F.lit(float(first["rows"]))
+                a, b, aa, bb = F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"), F.col(f"q{j}")
+            else:
+                x, y = F.when(d[j].isNotNull(), d[i]), F.when(d[i].isNotNull(), d[j])
+                aggs += [
+                    F.count(x).alias(f"n{p}"), F.sum(x).alias(f"a{p}"), F.sum(y).alias(f"b{p}"),
+                    F.sum(x * x).alias(f"c{p}"), F.sum(y * y).alias(f"e{p}"),
+                ]
+                n = F.nullif(F.col(f"n{p}").cast("double"), F.lit(0.0))
+                a, b, aa, bb = (F.col(f"{k}{p}") for k in "abce")
+            va, vb = aa - a * a / n, bb - b * b / n
+            r = F.try_divide(F.col(f"p{p}") - a * b / n, F.sqrt(F.greatest(va, F.lit(0.0))) * F.sqrt(F.greatest(vb, F.lit(0.0))))
+            spread = (va > aa * 1e-12) & (vb > bb * 1e-12)
+            clipped = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+            parts.append(F.struct(F.lit(i).alias("ia"), F.lit(j).alias("ib"), F.when(spread, clipped).alias("r")))
+    missing = [
+        F.struct(F.lit(i).alias("ia"), F.lit(j).alias("ib"), F.lit(None).cast("double").alias("r"))
+        for i in range(size) for j in range(i + 1, size) if not (varies[i] and varies[j])
+    ]
+    summed = shifted.agg(*aggs) if aggs else df.sparkSession.range(1)
+    return summed.select(F.explode(F.array(*parts, *missing)).alias("e")).select("e.*")
 
 
 def _ranks(counts: DataFrame, col: str, out: str) -> DataFrame:
@@ -388,10 +425,12 @@ def anova(df: DataFrame, num: str, cat: str) -> DataFrame:
 # ------------------------------------------------------------------ normality
 
 
-def shapiro_wilk(df: DataFrame, col: str, key: str, most: int = 5000, seed: int = 42) -> DataFrame:
+def shapiro_wilk(df: DataFrame, col: str, key: str | Sequence[str], most: int = 5000, seed: int = 42) -> DataFrame:
     """(w, p_value, n): Shapiro-Wilk on at most 5000 values sampled by key hash (the sample is part of the test's definition)."""
     x = as_double(quoted(col))
-    rows = sample_n(df.where(x.isNotNull()).select(quoted(key).alias("_key"), x.alias("v")), most, "_key", seed)
+    keys = [key] if isinstance(key, str) else list(key)
+    slim = df.where(x.isNotNull()).select(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)], x.alias("v"))
+    rows = sample_n(slim, most, [f"k{i}" for i in range(len(keys))], seed)
     w, p, n = _royston(np.sort(rows.select("v").toPandas()["v"].to_numpy(dtype=float)))
     return one_row(df, w=w, p_value=p, n=n)
 
@@ -479,7 +518,7 @@ def ks_normal(df: DataFrame, col: str) -> DataFrame:
     return out.select(F.col("statistic").alias("ks"), F.col("pValue").alias("p_value"))
 
 
-def normality_table(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
+def normality_table(df: DataFrame, cols: Sequence[str], key: str | Sequence[str]) -> DataFrame:
     """(column, shapiro_w, shapiro_p, k2, k2_p, ks, ks_p, is_normal); normal means Shapiro p above 0.05."""
     omnibus = dagostino_k2(df, list(cols)).select("column", "k2", F.col("p_value").alias("k2_p"))
     out = None

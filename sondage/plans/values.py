@@ -190,19 +190,43 @@ def _positions(cols: Sequence[str]) -> Column:
     return F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position")) for i, c in enumerate(cols)])
 
 
-MOMENTS = {
-    "n": lambda c: F.count(as_double(c)),
-    "missing": lambda c: F.count_if(as_double(c).isNull()),
-    "total": lambda c: F.sum(as_double(c)),
-    "mean": lambda c: F.avg(as_double(c)),
-    "std": lambda c: F.stddev_samp(as_double(c)),
-    "std_pop": lambda c: F.stddev_pop(as_double(c)),
-    "variance": lambda c: F.var_samp(as_double(c)),
-    "low": lambda c: F.min(as_double(c)),
-    "high": lambda c: F.max(as_double(c)),
-    "skew": lambda c: skew_g1(as_double(c)),
-    "kurt": lambda c: kurt_g2(as_double(c)),
+# What each reported moment needs from the aggregate, and how it follows from it.
+_RAW = {
+    "n": F.count,
+    "rows": lambda c: F.count(F.lit(1)),
+    "total": F.sum,
+    "var_pop": F.var_pop,
+    "low": F.min,
+    "high": F.max,
+    "skew_pop": F.skewness,
+    "kurt_pop": F.kurtosis,
 }
+_NEEDS = {
+    "n": ("n",), "missing": ("rows", "n"), "total": ("total",), "mean": ("total", "n"), "std": ("var_pop", "n"),
+    "std_pop": ("var_pop",), "variance": ("var_pop", "n"), "low": ("low",), "high": ("high",),
+    "skew": ("skew_pop", "var_pop", "n"), "kurt": ("kurt_pop", "var_pop", "n"),
+}
+MOMENTS = tuple(_NEEDS)
+
+
+def _moment(field: str) -> Column:
+    n, var = F.col("n").cast("double"), F.col("var_pop")
+    if field == "missing":
+        return F.col("rows") - F.col("n")
+    if field == "mean":
+        return F.try_divide(F.col("total"), n)
+    if field == "std_pop":
+        return F.sqrt(var)
+    sample = F.when(n > 1, var * n / F.nullif(n - 1, F.lit(0.0)))
+    if field == "variance":
+        return sample
+    if field == "std":
+        return F.sqrt(sample)
+    if field == "skew":
+        return skew_g1(F.col("skew_pop"), n, var)
+    if field == "kurt":
+        return kurt_g2(F.col("kurt_pop"), n, var)
+    return F.col(field)
 
 
 def numeric_base(
@@ -210,30 +234,33 @@ def numeric_base(
     cols: Sequence[str],
     qs: Sequence[float] = (),
     by: Sequence[str] = (),
-    fields: Sequence[str] = tuple(MOMENTS),
+    fields: Sequence[str] = MOMENTS,
     accuracy: int | None = None,
 ) -> DataFrame:
-    """(by.., column, position, moments.., quantiles..): fused into a single aggregate when it fits."""
-    aggs = {f: MOMENTS[f] for f in fields}
-    names = [q_name(q) for q in qs]
+    """(by.., column, position, moments.., quantiles..): one row per column (and group).
+
+    All moments of all columns come from one aggregate over a handful of primitive sums, so
+    it stays in generated code; the derived figures are computed on its few result rows.
+    Quantiles are a second aggregate: ``percentile`` cannot be code-generated and would pull
+    the moments out of generated code with it.
+    """
+    keys = [quoted(b) for b in by]
+    raw = list(dict.fromkeys(r for f in fields for r in _NEEDS[f]))
+    slim = df.select(*keys, *[as_double(quoted(c)).alias(f"_x{i}") for i, c in enumerate(cols)])
+    exprs = [_RAW[r](F.col(f"_x{i}")).alias(f"_{i}_{r}") for i in range(len(cols)) for r in raw]
+    wide = slim.groupBy(*keys).agg(*exprs) if by else slim.agg(*exprs)
+    table = wide_to_long(wide, cols, raw, by)
+    moments = table.select(*keys, "column", "position", *[_moment(f).alias(f) for f in fields])
     if not qs:
-        return fused(df, cols, aggs, by)
-    if accuracy is not None or use_sketch(df):
-        probs = F.array(*[F.lit(float(q)) for q in qs])
-        if accuracy is not None:
-            aggs["q"] = lambda c: F.approx_percentile(as_double(c), probs, F.lit(accuracy))
-        else:
-            aggs["q"] = lambda c: F.percentile(as_double(c), probs)
-        table = fused(df, cols, aggs, by)
-        return table.select("*", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)]).drop("q")
-    moments = fused(df, cols, aggs, by)
-    ranks = _ranked_quantiles(df, cols, qs, by).drop("position").withColumnsRenamed(
+        return moments
+    ranks = quantiles_long(df, cols, qs, by, accuracy).drop("position").withColumnsRenamed(
         {"column": "_c", **{b: f"_b{i}" for i, b in enumerate(by)}}
     )
     cond = F.col("column") == F.col("_c")
     for i, b in enumerate(by):
         cond = cond & quoted(b).eqNullSafe(F.col(f"_b{i}"))
-    return moments.join(ranks, cond, "left").drop("_c", *[f"_b{i}" for i in range(len(by))])
+    side = ranks if by else F.broadcast(ranks)  # without groups: one row per column
+    return moments.join(side, cond, "left").drop("_c", *[f"_b{i}" for i in range(len(by))])
 
 
 def stats_map(table: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> DataFrame:
