@@ -385,7 +385,7 @@ def _features(o: DataFrame) -> DataFrame:
     names = ["o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
     from pyspark.ml.functions import vector_to_array
 
-    out = M.build_features(o, names).fit(o).transform(o).select("o_orderkey", vector_to_array("features").alias("f"))
+    out = M.build_features(o, names).fit(o).transform(o).select("o_orderkey", vector_to_array(M.FEATURES).alias("f"))
     return out.select("o_orderkey", F.size("f").alias("width"), F.get("f", F.lit(0)).alias("custkey_scaled"), F.get("f", F.lit(1)).alias("price_scaled"))
 
 

@@ -18,10 +18,11 @@ for _fn, _sql in {
     "sum": "sum(l_extendedprice)", "mean": "avg(l_extendedprice)", "count": "count(l_extendedprice)", "max": "max(l_extendedprice)",
     "min": "min(l_extendedprice)", "median": "quantile_cont(l_extendedprice, 0.5)", "std": "stddev_samp(l_extendedprice)", "var": "var_samp(l_extendedprice)",
 }.items():
+    _digits = 4 if _fn == "median" else 2  # the middle of two prices has three decimals
     register(
         f"group_agg_{_fn}", "lineitem", lambda l, fn=_fn: R.group_agg(l, "l_returnflag", "l_extendedprice", fn),
-        f"SELECT l_returnflag, {'' if _fn == 'count' else 'round('}{_sql}{'' if _fn == 'count' else ', 2)'} AS {_fn}_l_extendedprice FROM lineitem GROUP BY l_returnflag",
-        digits=2,
+        f"SELECT l_returnflag, {_sql if _fn == 'count' else f'round({_sql}, {_digits})'} AS {_fn}_l_extendedprice FROM lineitem GROUP BY l_returnflag",
+        digits=_digits,
     )
 register("group_agg_null_keys", "dirty_orders", lambda d: R.group_agg(d, "orderstatus", "totalprice", "mean"),
          "SELECT orderstatus, round(avg(totalprice), 4) AS mean_totalprice FROM dirty_orders WHERE orderstatus IS NOT NULL GROUP BY orderstatus")

@@ -27,6 +27,7 @@ from sondage.plans.values import q_name, quantiles_long, top_per_column
 from sondage.session import materialize
 
 REGRESSION, CLASSIFICATION = "Regression", "Classification"
+LABEL, FEATURES, PREDICTION = "_label", "_features", "_prediction"  # kept apart from the user's columns
 
 
 def detect_problem(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ def _text(value: str) -> str:
 def build_features(
     df: DataFrame, features: Sequence[str], category_cap: int | None = 20, scale: bool = True, impute: bool = True
 ) -> Pipeline:
-    """Pipeline from raw columns to a ``features`` vector.
+    """Pipeline from raw columns to a feature vector.
 
     Numbers: median imputation and standardisation.  Everything else as text: gaps become the
     most frequent value, values beyond the ``category_cap`` most frequent become "Other", then
@@ -93,7 +94,7 @@ def build_features(
         stages.append(StringIndexer(inputCols=raw, outputCols=codes, handleInvalid="keep", stringOrderType="frequencyDesc"))
         stages.append(OneHotEncoder(inputCols=codes, outputCols=hots, handleInvalid="keep"))
         inputs += hots
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
     return Pipeline(stages=stages)
 
 
@@ -119,27 +120,28 @@ def _split(df: DataFrame, key: str | Sequence[str] | None) -> tuple[DataFrame, D
 
 def _labelled(df: DataFrame, target: str, problem: str) -> tuple[DataFrame, list]:
     if problem == REGRESSION:
-        return df.withColumn("label", as_double(quoted(target))), []
-    indexer = StringIndexer(inputCol="_target_text", outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc")
+        return df.withColumn(LABEL, as_double(quoted(target))), []
+    indexer = StringIndexer(inputCol="_target_text", outputCol=LABEL, handleInvalid="skip", stringOrderType="alphabetAsc")
     return df.withColumn("_target_text", quoted(target).cast("string")), [indexer]
 
 
 def _metrics(pred: DataFrame, problem: str) -> dict:
     if problem == REGRESSION:
-        pairs = pred.select(F.col("prediction").alias("p"), F.col("label").alias("y"))
+        pairs = pred.select(F.col(PREDICTION).alias("p"), F.col(LABEL).alias("y"))
         s = pairs.agg(
             F.sqrt(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0)))).alias("rmse"),
             F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0))).alias("mse"),
             F.var_pop("y").alias("var"),
         ).first()
         return {"rmse": s["rmse"], "r2": 1 - s["mse"] / s["var"] if s["var"] else None}
-    e = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction")
+    e = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION)
     return {"accuracy": e.evaluate(pred, {e.metricName: "accuracy"}), "f1": e.evaluate(pred, {e.metricName: "f1"})}
 
 
 def _fit(df: DataFrame, target: str, problem: str, features: list[str], estimator, key, prep: Pipeline) -> FittedModel:
     rows, label_stages = _labelled(df, target, problem)
     train, test = _split(rows, key)
+    estimator = estimator.setLabelCol(LABEL).setFeaturesCol(FEATURES).setPredictionCol(PREDICTION)
     model = Pipeline(stages=[*label_stages, *prep.getStages(), estimator]).fit(train)
     labels = list(model.stages[0].labelsArray[0]) if label_stages else None
     return FittedModel(model, target, problem, features, _metrics(model.transform(test), problem), labels, {})
@@ -238,9 +240,9 @@ def predict_table(model: FittedModel, df: DataFrame, defaults: Mapping[str, obje
         filled = filled.withColumn(model.target, F.lit(None).cast("double" if model.problem == REGRESSION else "string"))
     stages = model.pipeline.stages if model.labels is None else model.pipeline.stages[1:]
     scored = PipelineModel(stages).transform(filled)
-    value = F.col("prediction")
+    value = F.col(PREDICTION)
     if model.labels is not None:
-        value = F.get(F.array(*[F.lit(v) for v in model.labels]), F.col("prediction").cast("int"))
+        value = F.get(F.array(*[F.lit(v) for v in model.labels]), F.col(PREDICTION).cast("int"))
     return scored.select(*[quoted(c) for c in df.columns], value.alias(f"Predicted_{model.target}"))
 
 

@@ -1,0 +1 @@
+"""No streaming operators: every capability of this library is a batch computation over a table."""
