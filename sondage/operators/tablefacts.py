@@ -91,6 +91,13 @@ class TableFacts:
     def base(self) -> DataFrame:
         return pin(numeric_base(self.df, self.numeric, QUARTILES))
 
+    @cached_property
+    def spread(self) -> dict:
+        """Moments per numeric column, without the costlier quantiles."""
+        if "moments" in self.__dict__:
+            return self.moments
+        return {r["column"]: r.asDict() for r in numeric_base(self.df, self.numeric).collect()} if self.numeric else {}
+
     @cached_property
     def moments(self) -> dict:
         """Moments and quartiles per numeric column."""
