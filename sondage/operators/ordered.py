@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.functions.columns import as_double, quoted
 from sondage.plans.joins import attach
-from sondage.plans.ordering import BUCKET, OrderedPass, drop_halo, global_prefix, with_global_index, with_halo
+from sondage.plans.ordering import BUCKET, OrderedPass, drop_halo, global_prefix, with_halo
 from sondage.session import materialize
 
 Keys = str | Sequence[str]

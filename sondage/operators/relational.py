@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sondage.functions.columns import as_double, atomic_columns, quoted, type_of
 from sondage.plans.joins import attach, is_small, scalar_row
-from sondage.plans.values import q_name, quantiles_long, use_sketch
+from sondage.plans.values import q_name, quantiles_long
 
 # ------------------------------------------------------------------ projection and filters
 
@@ -250,6 +250,8 @@ def group_extremes(df: DataFrame, cat: str, num: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sorts, limits, samples
 
+_SAMPLE_PREFILTER = 16
+
 
 def top_n(df: DataFrame, col: str, n: int = 10, ascending: bool = False, tie: str | None = None, select: Sequence[str] | None = None) -> DataFrame:
     """First n rows by a column (NULLs last); ``tie`` makes the choice among equals definite."""
@@ -279,10 +281,20 @@ def ordered_series(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows chosen by a seeded hash of the key: the same rows under any partitioning."""
+    """n rows chosen by a seeded hash of the key: the same rows under any partitioning.
+
+    The rows are those with the n smallest hashes.  On a table much larger than n, rows whose
+    hash is clearly too large are dropped first, so the final top-n gets about 4n rows in all
+    rather than n from every partition; should fewer than n remain, nothing is dropped.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     cols = [quoted(k) for k in keys]
-    return df.orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(n)
+    h = F.xxhash64(*cols, F.lit(seed))
+    rows, total = df, df.count()
+    if total > _SAMPLE_PREFILTER * n:
+        near = df.where(h < F.lit(int(-(2**63) + 4 * n / total * 2**64)))
+        rows = near if near.count() >= n else df
+    return rows.orderBy(h, *cols).limit(n)
 
 
 def plot_rows(df: DataFrame, cols: Sequence[str], n: int, key: str, seed: int = 42) -> DataFrame:

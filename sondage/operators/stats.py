@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sondage.functions.columns import as_double, band, quoted
 from sondage.functions.pvalues import chi2_sf, f_sf, normal_ppf, normal_sf, t_two_sided
 from sondage.operators.relational import sample_n
-from sondage.operators.types import logical_types, of_type
+from sondage.operators.types import logical_types
 from sondage.plans.joins import attach, scalar_row
 from sondage.plans.ordering import global_prefix, with_global_index
-from sondage.plans.values import columns_frame, distinct_stats, fused, numeric_base, q_name, quantiles_long
+from sondage.plans.values import distinct_stats, fused, numeric_base, q_name, quantiles_long
 from sondage.session import materialize
 
 

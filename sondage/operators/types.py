@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sondage.functions.columns import ATOMIC, DATES, NUMERIC, as_double, atomic_columns, quoted, string_columns
+from sondage.functions.columns import DATES, NUMERIC, as_double, atomic_columns, quoted, string_columns
 from sondage.plans.values import columns_frame, value_counts_long
 
 NUMERIC_LEVELS = 10

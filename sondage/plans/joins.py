@@ -28,9 +28,12 @@ def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], names: Seque
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """True when the DataFrame provably has at most ``limit`` rows (counted, stopping early)."""
+    """True when the DataFrame has at most ``limit`` rows, by a distributed count.
+
+    Not by ``limit(n).count()``: that would send up to n rows of every partition to one task.
+    """
     limit = settings(df.sparkSession).broadcast_rows if limit is None else limit
-    return df.limit(limit + 1).count() <= limit
+    return df.count() <= limit
 
 
 def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str | None = None, how: str = "left") -> DataFrame:

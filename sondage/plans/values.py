@@ -117,7 +117,7 @@ def distinct_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def use_sketch(df: DataFrame) -> bool:
     """True when the table is counted to be small enough for one in-memory value map per group."""
     limit = settings(df.sparkSession).sketch_rows
-    return limit > 0 and df.limit(limit + 1).count() <= limit
+    return limit > 0 and df.count() <= limit
 
 
 def q_name(q: float) -> str:

@@ -173,3 +173,12 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
 def test_summary_has_no_join_without_keys(spark, folder):
     text = plan(numeric_summary(table(spark, folder, "orders"), ["o_totalprice"]))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_sample_prefilter_keeps_the_same_rows(spark, folder, monkeypatch):
+    from sondage.operators import relational as R
+
+    o = table(spark, folder, "orders")
+    small = sorted(r["o_orderkey"] for r in R.sample_n(o, 20, "o_orderkey").collect())
+    monkeypatch.setattr(R, "_SAMPLE_PREFILTER", 10**9)
+    assert sorted(r["o_orderkey"] for r in R.sample_n(o, 20, "o_orderkey").collect()) == small
