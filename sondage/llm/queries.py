@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sondage.llm import simhash
+from sondage.llm import packing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,17 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Class of every document under 4-word SimHash fingerprints within 4 bits."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every document's tokens in sequences of 2,048."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end=0)
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated 20-word windows."""
+    return substring.without_repeats(table(spark, folder, "documents"), texts=False)
