@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sondage.llm import packing, simhash, substring
+from sondage.llm import packing, pitmanyor, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,15 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without repeated 20-word windows."""
     return substring.without_repeats(table(spark, folder, "documents"), texts=False)
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from two thirds of the labels."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), most=20_000, cut=0.7)
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probability of every document under the hierarchical Pitman-Yor model, beside the add-one base."""
+    return pitmanyor.score(table(spark, folder, "documents"))
