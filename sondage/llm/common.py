@@ -140,7 +140,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(open_)
 
 
-def shards(entries: DataFrame, bucket: str, member: str, most: int) -> DataFrame:
+def shards(entries: DataFrame, bucket: str, member: str, most: int, attach: DataFrame | None = None) -> DataFrame:
     """Entries of every bucket that holds two members or more, cut into shards of at most about 2 x ``most`` entries.
 
     A larger bucket is dealt into pieces by a hash of ``member``, and each pair of pieces is a shard of its own, so that any
@@ -152,11 +152,13 @@ def shards(entries: DataFrame, bucket: str, member: str, most: int) -> DataFrame
     own = F.pmod(F.xxhash64(F.col(member), F.lit(7)), pieces).cast("int")
     dealt = (
         entries.join(sizes, bucket)
-        .withColumn("pieces_", pieces).withColumn("own_", own)
+        .withColumn("pieces_", pieces).withColumn("piece", own)
         .withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("pieces_") - 1)))
-        .withColumn("shard_a", F.least("own_", "other_")).withColumn("shard_b", F.greatest("own_", "other_"))
-        .drop("n_", "pieces_", "own_", "other_")
+        .withColumn("shard_a", F.least("piece", "other_")).withColumn("shard_b", F.greatest("piece", "other_"))
+        .drop("n_", "pieces_", "other_")
     )
+    if attach is not None:
+        dealt = dealt.join(attach, member)
     return dealt.repartition(bucket, "shard_a", "shard_b").sortWithinPartitions(bucket, "shard_a", "shard_b")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sondage.llm import packing, pitmanyor, simhash, substring, toxicity
+from sondage.llm import crosspolytope, multiindex, packing, pitmanyor, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,16 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """log10 probability of every document under the hierarchical Pitman-Yor model, beside the add-one base."""
     return pitmanyor.score(table(spark, folder, "documents"))
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and class of every embedding at a cosine of 0.95."""
+    return crosspolytope.near_duplicates(table(spark, folder, "embeddings"), threshold=0.95)
+
+
+@query
+def op10_multi_index_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every row whose id is divisible by 20, against all rows."""
+    rows = table(spark, folder, "embeddings")
+    return multiindex.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
