@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sondage.llm import crosspolytope, multiindex, packing, pitmanyor, simhash, substring, toxicity
+from sondage.llm import crosspolytope, mixing, multiindex, packing, pitmanyor, quality, simhash, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,53 @@ def op10_multi_index_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of every row whose id is divisible by 20, against all rows."""
     rows = table(spark, folder, "embeddings")
     return multiindex.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+#: Allowed and blocked hosts and paths of op1.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url; the model learns from the seed table and a url of each of at most 1,000 hosts."""
+    pages = table(spark, folder, "pages")
+    model = urls.train(urls.seed_urls(spark).unionByName(urls.met_hosts(pages, most=1_000)))
+    return urls.judge(pages, URL_RULES, model)
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document and whether it is accepted."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    model = quality.learn(docs, table(spark, folder, "labels"), most=20_000)
+    scored = quality.with_score(docs, model, "score").select("doc_id", "score")
+    return scored.withColumn("accepted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op4_mixing_to_target_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of every document for a mix with shares in proportion to size to the power 0.7, globally shuffled."""
+    mixed = mixing.mix(table(spark, folder, "documents"), temperature=0.7, epochs=1.0, seed=42)
+    return mixed.select(
+        "doc_id", "source", F.col("_copy").alias("copy"), F.round("_rate", 6).alias("rate"), F.col("_shuffle").alias("shuffle_key"), F.md5(F.col("text").cast("binary")).alias("text_md5")
+    )
+
+
+ORACLES["op4_mixing_to_target_weights"] = """
+WITH RECURSIVE sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
+totals AS (SELECT sum(size) AS size, sum(pow(size, 0.7)) AS target FROM sizes),
+rates AS (SELECT s.source, pow(s.size, 0.7) / t.target * t.size / s.size AS rate FROM sizes s, totals t),
+steps AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS upto FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), upto + p * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+),
+draws AS (
+  SELECT doc_id, source, text, CAST(CAST('0x' || substr(md5('42:' || doc_id || ':1'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents
+),
+copies AS (
+  SELECT d.doc_id, d.source, d.text, s.rate, s.k AS copy FROM draws d JOIN steps s ON s.source = d.source AND s.upto <= d.u
+)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, round(rate, 6) AS rate,
+  substr(md5('42#:' || doc_id || ':' || copy), 1, 16) AS shuffle_key, md5(text) AS text_md5
+FROM copies"""
