@@ -6,6 +6,7 @@ length, whatever the corpus) and then dealt out to the pieces by their number wi
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -15,45 +16,105 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sondage.llm.common import documents, held
+from sondage.llm.common import LOWER, Words, chunks, documents, held
 
 # ------------------------------------------------------------------ tokens
 
-#: Most words a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
-_WORKER: dict[str, tuple] = {}
+#: Most words and most stems a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 1_500_000
+STEMS = 500_000
+#: A word of plain letters and then plain signs is cut between them by the tokenizer too, so both parts are encoded once each.
+_PARTS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?&#$%*|()]*)")
+_WORKER: dict[str, WordTokens] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _WORKER:
+class WordTokens:
+    """Token ids by word. The tokenizer splits at white space and lowers case, so a text's ids are those of its words in a row."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORKER[path] = (Tokenizer.from_file(path), {})
-    return _WORKER[path]
-
-
-def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Ids of every text as little-endian unsigned 32-bit numbers.
-
-    The tokenizer splits at all white space before anything joins, so a text's ids are those of its words in a row and each
-    distinct word is encoded once.
-    """
-    tok, known = _tokenizer(path)
-    for lo in range(0, len(texts), 256):
-        split = [t.split() for t in texts[lo : lo + 256]]
-        new = list(set().union(*split).difference(known))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stems: dict[bytes, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.at = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _encoded(self, parts: list[bytes]) -> None:
+        for lo in range(0, len(parts), 4096):
+            some = parts[lo : lo + 4096]
+            for part, got in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
+                self.stems[part] = np.array(got.ids, dtype=np.uint32)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        if len(self.hashes) + len(words) > REMEMBERED:
+            self._forget()
+        if len(self.stems) > STEMS:
+            self.stems = {}
+        split = [m.groups() if (m := _PARTS.fullmatch(w)) else (w, b"") for w in words]
+        self._encoded(list({x for pair in split for x in pair if x}.difference(self.stems)))
+        none = np.zeros(0, dtype=np.uint32)
+        parts = [x for pair in split for x in pair]
+        ids = [self.stems[x] if x else none for x in parts]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)).reshape(-1, 2).sum(axis=1)
+        new = np.concatenate(ids) if ids else none
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(new)] = new
+        at = self.used + np.cumsum(size) - size
+        self.used += len(new)
+        hashes, at, size = np.concatenate([self.hashes, hashes]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.size = hashes[order], at[order], size[order]
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a chunk with ``end`` after each, bounds of the texts in them). Words go by their 64-bit hash."""
+        data = LOWER[data]
+        words = Words(data, offsets)
+        hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        i = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[i] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
+            before = len(self.hashes)
+            self._learn(hashes[new], [data[a:z].tobytes() for a, z in spans])
+            if len(self.hashes) != before + len(new):  # the memory started anew
+                known = np.isin(hashes, hashes[new])
+                spans = zip(words.starts[first[~known]].tolist(), words.ends[first[~known]].tolist())
+                self._learn(hashes[~known], [data[a:z].tobytes() for a, z in spans])
+            i = np.searchsorted(self.hashes, hashes)
+        at, size = self.at[i][which], self.size[i][which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(at - upto[:-1], size) + np.arange(upto[-1])
+        bounds = upto[words.bounds]
+        return np.insert(self.flat[place], bounds[1:], end).astype("<u4", copy=False), bounds + np.arange(len(bounds))
+
+
+def token_ids(texts: pa.Array, path: str, end: int) -> Iterator[np.ndarray]:
+    """Ids of every text and ``end``, in order. A text with the opening sign of a special token is encoded as a whole."""
+    if path not in _WORKER:
+        _WORKER[path] = WordTokens(path)
+    known = _WORKER[path]
+    for lo, hi, data, offsets in chunks(texts):
+        ids, bounds = known.ids(data, offsets, end)
+        special = (data[:-1] == 60) & (data[1:] == 124)
+        odd = set((np.searchsorted(offsets, np.flatnonzero(special), side="right") - 1).tolist())
+        for k in range(hi - lo):
+            if k in odd:
+                yield np.append(known.whole(data[offsets[k] : offsets[k + 1]].tobytes()), np.uint32(end)).astype("<u4")
+            else:
+                yield ids[bounds[k] : bounds[k + 1]]
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, ids: bool = False) -> DataFrame:
@@ -62,25 +123,22 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, ids: bool
     (doc_id, piece, start, length, ids_crc32, part, nth, and with ``ids`` the tokens): ``nth`` numbers the pieces of one
     length within partition ``part``.
     """
-    tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, dtype=np.int64)
         for b in batches:
-            texts = [x.as_buffer().to_pybytes() for x in b.column("text")]
             doc, piece, start, length, crc, tokens = [], [], [], [], [], []
-            for doc_id, body in zip(b.column("doc_id").to_pylist(), token_bytes(texts, path)):
-                body = memoryview(body + tail)
-                for k, at in enumerate(range(0, len(body), 4 * size)):
-                    own = body[at : at + 4 * size]
+            for doc_id, body in zip(b.column("doc_id").to_pylist(), token_ids(b.column("text"), path, end)):
+                for k, at in enumerate(range(0, len(body), size)):
+                    own = body[at : at + size]
                     doc.append(doc_id)
                     piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(own) // 4)
+                    start.append(at)
+                    length.append(len(own))
                     crc.append(zlib.crc32(own))
                     if ids:
-                        tokens.append(np.frombuffer(own, dtype="<u4").astype(np.int64))
+                        tokens.append(own.astype(np.int64))
             n = np.array(length, dtype=np.int64)
             order = np.argsort(n, kind="stable")
             first = np.searchsorted(n[order], n[order])
