@@ -200,11 +200,112 @@ def completion(room: int, left: dict[int, int], lengths: list[int], budget: int)
     return best
 
 
+def least_bins(histogram: dict[int, int], size: int) -> int:
+    """A lower bound on the number of sequences: pieces over half the size need one each, and what small ones need besides."""
+    count = np.zeros(size + 1, dtype=np.int64)
+    for n, c in histogram.items():
+        count[n] = c
+    many, length = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * np.arange(size + 1))])
+    half = size // 2
+    k = np.arange(half + 1)  # pieces of k to half the size are small, over size - k they stand alone
+    large = many[size + 1] - many[half + 1]
+    spare = size * (many[size - k + 1] - many[half + 1]) - (length[size - k + 1] - length[half + 1])
+    rest = length[half + 1] - length[k]
+    return int(large + max(0, (-(-(rest - spare) // size)).max()))
+
+
+def fillings(room: int, left: dict[int, int], lengths: list[int], waste: int, most: int = 24, nodes: int = 600) -> list[list[int]]:
+    """Up to ``most`` undominated fillings of ``room`` that waste at most ``waste``, least waste first, then fewest pieces.
+
+    A filling to which another piece could be added is dominated and left out.
+    """
+    found: list[tuple[int, int, list[int]]] = []
+    used: dict[int, int] = {}
+    own: list[int] = []
+
+    def descend(space: int, top: int) -> None:
+        nonlocal nodes
+        nodes -= 1
+        if space <= waste and not any(n <= space and left[n] > used.get(n, 0) for n in lengths[: bisect_right(lengths, space)]):
+            found.append((space, len(own), list(own)))
+        for i in range(min(top, bisect_right(lengths, space) - 1), -1, -1):
+            if nodes <= 0:
+                return
+            n = lengths[i]
+            if left[n] > used.get(n, 0):
+                used[n] = used.get(n, 0) + 1
+                own.append(n)
+                descend(space - n, i)
+                own.pop()
+                used[n] -= 1
+
+    descend(room, len(lengths) - 1)
+    return [f for _, _, f in sorted(found)[:most]]
+
+
+def search(histogram: dict[int, int], size: int, bins: int, nodes: int) -> list[list[int]] | None:
+    """A packing into ``bins`` sequences, or None if none is met within ``nodes`` steps.
+
+    Branch and bound over sequences: each is a filling around the largest piece left, and a branch ends when its waste is more
+    than ``bins`` sequences can have in all.
+    """
+    left = {n: c for n, c in histogram.items() if c}
+    allowed = bins * size - sum(n * c for n, c in left.items())
+    if allowed < 0:
+        return None
+    path: list[list[int]] = []
+    open_: list[list[list[int]]] = []
+
+    def step(own: list[int], sign: int) -> None:
+        for n in own:
+            left[n] = left.get(n, 0) + sign
+            if not left[n]:
+                del left[n]
+
+    while nodes > 0:
+        if not left:
+            return [list(p) for p in path]
+        top = max(left)
+        step([top], -1)
+        lengths = sorted(n for n in left if n <= size - top)
+        made = [[top, *f] for f in fillings(size - top, left, lengths, allowed)]
+        step([top], 1)
+        open_.append(made[::-1])
+        nodes -= 1
+        while open_ and not open_[-1]:
+            open_.pop()
+            if path:
+                back = path.pop()
+                step(back, 1)
+                allowed += size - sum(back)
+        if not open_:
+            return None
+        own = open_[-1].pop()
+        step(own, -1)
+        allowed -= size - sum(own)
+        path.append(own)
+    return None
+
+
 def plan(histogram: dict[int, int], size: int = 2048, budget: int = 3_000) -> list[tuple[list[int], int]]:
     """(lengths of one sequence, how many such sequences) that use every piece of the histogram exactly once.
 
-    The largest piece left is completed by ``completion``; the filling found is repeated while the counts last.
+    First the incumbent: the largest piece left is completed by ``completion``, and the filling found is repeated while the counts
+    last. If it needs more sequences than the lower bound, ``search`` tries for fewer, from the bound upwards, within
+    ``budget`` steps in all.
     """
+    made = _incumbent(histogram, size, budget)
+    used, low = sum(times for _, times in made), least_bins(histogram, size)
+    for bins in range(low, used):
+        better = search(histogram, size, bins, budget // max(1, min(used - low, 4)))
+        if better is not None:
+            return [(own, 1) for own in better]
+        if bins - low >= 3:
+            break
+    return made
+
+
+def _incumbent(histogram: dict[int, int], size: int, budget: int) -> list[tuple[list[int], int]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     out = []
     while left:
