@@ -45,10 +45,10 @@ def verdict_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def grams(host: Column, path: Column, sizes: Sequence[int] = (3, 4, 5)) -> Column:
-    """Character n-grams of host and path, marked with the part they come from; ends are marked too."""
+    """Character n-grams of host and path, marked with the part they come from; ends are marked too, and all digits count as 0."""
 
     def of(text: Column, mark: str) -> Column:
-        whole = F.concat(F.lit("^"), text, F.lit("$"))
+        whole = F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$"))
         parts = [
             F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substr(whole, i, F.lit(n))))
             for n in sizes
