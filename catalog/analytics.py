@@ -71,22 +71,22 @@ register(
     " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(avg(CASE WHEN regexp_matches({c}, '[^A-Za-z0-9_[:space:].-]') THEN 1.0 ELSE 0.0 END), 4) AS rate FROM text_orders""" for c in ["amount_txt", "flag_txt", "iso_txt", "email_txt", "money_txt", "phone_txt", "coord_txt"]),
 )
 register(
-    "health_problems", "customer", Q.health_problems,
+    "health_problems", "customer", lambda c: Q.health_problems(c).drop("rank"),
     "SELECT 'negative values' AS problem, 'c_acctbal' AS \"column\", count(*) AS count FROM customer WHERE c_acctbal < 0",
 )
 register(
-    "audit", "planted", lambda p: Q.audit(p.select("event_id", "x", "x_noisy", "gap_value", "constant")).withColumn("value", F.round("value", 3)),
+    "audit", "planted", lambda p: Q.audit(p.select("event_id", "x", "x_noisy", "gap_value", "constant")).withColumn("value", F.round("value", 3)).drop("rank"),
     """WITH r AS (SELECT corr(x, x_noisy) AS a, corr(x, gap_value) AS b, corr(x_noisy, gap_value) AS c FROM planted)
-    SELECT 'Zero-Variance' AS kind, 'constant' AS "column", NULL AS other, NULL::DOUBLE AS value, 'High' AS severity FROM planted HAVING count(DISTINCT constant) <= 1
-    UNION ALL SELECT 'Target Leakage', 'x_noisy', 'x', round(a, 3), 'High' FROM r WHERE abs(a) > 0.95
-    UNION ALL SELECT 'Target Leakage', 'gap_value', 'x', round(b, 3), 'High' FROM r WHERE abs(b) > 0.95""",
+    SELECT 'constant' AS kind, 'constant' AS "column", NULL AS other, NULL::DOUBLE AS value, 'High' AS severity FROM planted HAVING count(DISTINCT constant) <= 1
+    UNION ALL SELECT 'nearly equal', 'x_noisy', 'x', round(a, 3), 'High' FROM r WHERE abs(a) > 0.95
+    UNION ALL SELECT 'nearly equal', 'gap_value', 'x', round(b, 3), 'High' FROM r WHERE abs(b) > 0.95""",
 )
 register(
     "audit_collinear", "planted", lambda p: Q.audit(p.select("x", "x_linear", "x_tied", "event_type")).select("kind", "column", "other", "severity"),
     """WITH r AS (SELECT corr(x, x_linear) AS a, corr(x, x_tied) AS b, corr(x_linear, x_tied) AS c FROM planted)
-    SELECT 'Target Leakage' AS kind, 'x_linear' AS "column", 'x' AS other, 'High' AS severity FROM r WHERE abs(a) > 0.95
-    UNION ALL SELECT 'Target Leakage', 'x_tied', 'x', 'High' FROM r WHERE abs(b) > 0.95 UNION ALL SELECT 'Target Leakage', 'x_tied', 'x_linear', 'High' FROM r WHERE abs(c) > 0.95
-    UNION ALL SELECT 'Multicollinearity', v, NULL, 'Medium' FROM r, (VALUES ('x'), ('x_linear'), ('x_tied')) t(v) WHERE 1 / (1 - b * b) > 10""",
+    SELECT 'nearly equal' AS kind, 'x_linear' AS "column", 'x' AS other, 'High' AS severity FROM r WHERE abs(a) > 0.95
+    UNION ALL SELECT 'nearly equal', 'x_tied', 'x', 'High' FROM r WHERE abs(b) > 0.95 UNION ALL SELECT 'nearly equal', 'x_tied', 'x_linear', 'High' FROM r WHERE abs(c) > 0.95
+    UNION ALL SELECT 'explained by others', v, NULL, 'Medium' FROM r, (VALUES ('x'), ('x_linear'), ('x_tied')) t(v) WHERE 1 / (1 - b * b) > 10""",
 )
 register(
     "vif", "planted", lambda p: Q.vif(p, ["x_noisy", "gap_value"]),
@@ -101,35 +101,50 @@ register(
     UNION ALL SELECT NULL, {_DUPS}, round({_DUPS} / {_N} * 100, 4), 'drop duplicates', NULL""",
 )
 register(
-    "detect_issues", "planted", lambda p: Q.detect_issues(p.select("x", "x_noisy", "event_type")),
+    "detect_issues", "planted", lambda p: Q.detect_issues(p.select("x", "x_noisy", "event_type")).drop("rank"),
     f"""SELECT 'outliers' AS issue, c AS "column", k AS count, round(k / n * 100, 4) AS pct, 'Medium' AS priority, 'Medium' AS impact FROM (
     SELECT 'x' AS c, {_iqr_one('x', 'planted')} AS k UNION ALL SELECT 'x_noisy', {_iqr_one('x_noisy', 'planted')}), (SELECT count(*) AS n FROM planted) WHERE k > n * 0.02
     UNION ALL SELECT 'duplicate rows', NULL, n - u, round((n - u) / n * 100, 4), 'Medium', 'Medium' FROM (SELECT count(*) AS n FROM planted), (SELECT count(*) AS u FROM (SELECT DISTINCT x, x_noisy, event_type FROM planted)) WHERE n > u""",
 )
 register(
-    "detect_issues_dirty", "dirty_orders", Q.detect_issues,
-    f"""SELECT 'missing values' AS issue, 'sparse_col' AS "column", count(*) - count(sparse_col) AS count, round((count(*) - count(sparse_col)) / count(*) * 100, 4) AS pct, 'High' AS priority, 'High' AS impact FROM dirty_orders
+    "detect_issues_dirty", "dirty_orders", lambda d: Q.detect_issues(d).drop("rank"),
+    " UNION ALL ".join(
+        f"""SELECT 'missing values' AS issue, '{c}' AS "column", count(*) - count({c}) AS count, round((count(*) - count({c})) / count(*) * 100, 4) AS pct, 'High' AS priority, 'High' AS impact FROM dirty_orders"""
+        for c in ["orderstatus", "totalprice", "sparse_col"]
+    ) + f""" UNION ALL SELECT 'outliers', c, k, round(k / {_N} * 100, 4), 'Medium', 'Medium' FROM ({" UNION ALL ".join(f"SELECT '{c}' AS c, {_iqr_one(c)} AS k FROM {_fences(c)}" for c in _DIRTY_NUM)}) WHERE k > {_N} * 0.02
     UNION ALL SELECT 'duplicate rows', NULL, {_DUPS}, round({_DUPS} / {_N} * 100, 4), 'Medium', 'Medium'""",
 )
 register(
-    "detect_issues_cardinality", "customer", Q.detect_issues,
+    "detect_issues_cardinality", "customer", lambda c: Q.detect_issues(c).drop("rank"),
     "SELECT 'high cardinality' AS issue, 'c_name' AS \"column\", count(DISTINCT c_name) AS count, NULL::DOUBLE AS pct, 'Low' AS priority, 'Low' AS impact FROM customer HAVING count(DISTINCT c_name) > 50",
 )
+def _gaps(table: str, cats: list[str], nums: list[str]) -> str:
+    """Rows of the finding that the means of groups are more than 20 % apart."""
+    return " UNION ALL ".join(
+        f"""SELECT 'groups differ' AS factor, '{c}' AS "column", '{x}' AS other, round((max(v) - min(v)) / greatest(abs(min(v)), 0.01) * 100, 4) AS value, 'High' AS severity
+        FROM (SELECT avg({x}) AS v FROM {table} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count({x}) > 0) HAVING count(*) > 1 AND (max(v) - min(v)) / greatest(abs(min(v)), 0.01) * 100 > 20"""
+        for c in cats for x in nums
+    )
+
+
 register(
-    "root_causes", "planted", lambda p: Q.root_causes(p.select("gap_value", "x_noisy", "event_type", "x")),
-    f"""WITH g AS (SELECT event_type, avg(gap_value) AS v FROM planted GROUP BY event_type), n AS (SELECT count(*) AS n FROM planted),
+    "root_causes", "planted", lambda p: Q.root_causes(p.select("gap_value", "x_noisy", "event_type", "x")).drop("rank"),
+    f"""WITH n AS (SELECT count(*) AS n FROM planted),
     o AS (SELECT 'gap_value' AS c, {_iqr_one('gap_value', 'planted')} AS k UNION ALL SELECT 'x_noisy', {_iqr_one('x_noisy', 'planted')} UNION ALL SELECT 'x', {_iqr_one('x', 'planted')}),
     r AS (SELECT 'gap_value' AS a, 'x_noisy' AS b, corr(gap_value, x_noisy) AS v FROM planted UNION ALL SELECT 'gap_value', 'x', corr(gap_value, x) FROM planted UNION ALL SELECT 'x_noisy', 'x', corr(x_noisy, x) FROM planted)
-    SELECT 'Outliers' AS factor, c AS "column", NULL AS other, CAST(k AS DOUBLE) AS value, 'Medium' AS severity FROM o, n WHERE k > n.n * 0.02
-    UNION ALL SELECT 'Data Quality', NULL, 'duplicates', CAST(n - u AS DOUBLE), 'Medium' FROM n, (SELECT count(*) AS u FROM (SELECT DISTINCT gap_value, x_noisy, event_type, x FROM planted)) WHERE n > u
-    UNION ALL SELECT 'Category Impact', 'event_type', 'gap_value', round((max(v) - min(v)) / greatest(abs(min(v)), 0.01) * 100, 4), 'High' FROM g HAVING (max(v) - min(v)) / greatest(abs(min(v)), 0.01) * 100 > 20
-    UNION ALL SELECT 'Strong Correlation', a, b, round(v, 4), 'Medium' FROM r WHERE abs(v) > 0.7""",
+    SELECT 'extreme values' AS factor, c AS "column", NULL AS other, CAST(k AS DOUBLE) AS value, 'Medium' AS severity FROM o, n WHERE k > n.n * 0.02
+    UNION ALL SELECT 'repeated rows', NULL, NULL, CAST(n - u AS DOUBLE), 'Medium' FROM n, (SELECT count(*) AS u FROM (SELECT DISTINCT gap_value, x_noisy, event_type, x FROM planted)) WHERE n > u
+    UNION ALL SELECT 'moves together', a, b, round(v, 4), 'Medium' FROM r WHERE abs(v) > 0.7
+    UNION ALL {_gaps('planted', ['event_type'], ['gap_value', 'x_noisy', 'x'])}""",
 )
 register(
-    "root_causes_dirty", "dirty_orders", Q.root_causes,
-    f"""SELECT 'Data Quality' AS factor, 'sparse_col' AS "column", 'missing' AS other, CAST(count(*) - count(sparse_col) AS DOUBLE) AS value, 'High' AS severity FROM dirty_orders
-    UNION ALL SELECT 'Data Quality', NULL, 'duplicates', CAST({_DUPS} AS DOUBLE), 'Medium'
-    UNION ALL SELECT 'Strong Correlation', 'custkey', 'sparse_col', round(corr(custkey, sparse_col), 4), 'Medium' FROM dirty_orders HAVING abs(corr(custkey, sparse_col)) > 0.7""",
+    "root_causes_dirty", "dirty_orders", lambda d: Q.root_causes(d).drop("rank"),
+    " UNION ALL ".join(
+        f"""SELECT 'gaps' AS factor, '{c}' AS "column", NULL AS other, CAST(count(*) - count({c}) AS DOUBLE) AS value, 'High' AS severity FROM dirty_orders""" for c in ["orderstatus", "totalprice", "sparse_col"]
+    ) + f""" UNION ALL SELECT 'repeated rows', NULL, NULL, CAST({_DUPS} AS DOUBLE), 'Medium'
+    UNION ALL SELECT 'extreme values', c, NULL, CAST(k AS DOUBLE), 'Medium' FROM ({" UNION ALL ".join(f"SELECT '{c}' AS c, {_iqr_one(c)} AS k FROM {_fences(c)}" for c in _DIRTY_NUM)}) WHERE k > {_N} * 0.02
+    UNION ALL SELECT 'moves together', 'custkey', 'sparse_col', round(corr(custkey, sparse_col), 4), 'Medium' FROM dirty_orders HAVING abs(corr(custkey, sparse_col)) > 0.7
+    UNION ALL {_gaps('dirty_orders', ['orderstatus', 'const_col', 'orderpriority'], _DIRTY_NUM)}""",
 )
 register(
     "outlier_table", "dirty_orders", Q.outlier_table,
@@ -391,8 +406,8 @@ def _features(o: DataFrame) -> DataFrame:
 
 register("fit_default_regression", "planted", lambda p: M.metrics_table(M.fit_default(p.select("event_id", "x", "event_type", "x_noisy"), "x_noisy", key="event_id"), p))
 register("fit_default_classification", "lineitem", lambda l: M.metrics_table(
-    M.fit_default(l.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_linestatus"), "l_linestatus", key=["l_orderkey", "l_partkey"], trees=5), l))
-register("compare_models", "planted", lambda p: M.compare_models(p.select("event_id", "x", "event_type", "x_noisy"), "x_noisy", key="event_id", trees=20, boost=10))
+    M.fit_default(l.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_linestatus"), "l_linestatus", key=["l_orderkey", "l_partkey"], trees=20), l))
+register("compare_models", "planted", lambda p: M.compare_models(p.select("event_id", "x", "event_type", "x_noisy"), "x_noisy", key="event_id", trees=100, boost=100))
 
 
 def _predicted(p: DataFrame) -> DataFrame:
@@ -401,7 +416,7 @@ def _predicted(p: DataFrame) -> DataFrame:
 
 
 register("predict_table", "planted", _predicted)
-register("kmeans", "lineitem", lambda l: M.cluster_profile(M.kmeans(l, ["l_quantity", "l_extendedprice", "l_discount"], 4, restarts=3), ["l_quantity", "l_extendedprice", "l_discount"]))
+register("kmeans", "lineitem", lambda l: M.cluster_profile(M.kmeans(l, ["l_quantity", "l_extendedprice", "l_discount"], 4, restarts=10), ["l_quantity", "l_extendedprice", "l_discount"]))
 register("isolation_forest", "planted", lambda p: M.isolation_forest(p, ["x", "x_noisy"], "event_id").select("event_id", "anomaly_score", "is_anomaly"))
 register("anomaly_drivers", "planted", lambda p: M.anomaly_drivers(M.isolation_forest(p, ["x", "x_noisy", "gap_value"], "event_id"), ["x", "x_noisy", "gap_value"]))
 register(
@@ -447,7 +462,7 @@ def _top_n(c: str, t: str = "dirty_orders") -> str:
 
 
 register(
-    "auto_insights", "dirty_orders", lambda d: I.auto_insights(d),
+    "auto_insights", "dirty_orders", lambda d: I.auto_insights(d).drop("rank"),
     _facts(
         _fact("highest missing", "sparse_col", "count(*) - count(sparse_col)", rest="FROM dirty_orders"),
         _fact("most unique", "orderkey", "count(DISTINCT orderkey)", rest="FROM dirty_orders"),
@@ -473,33 +488,35 @@ register(
            "SELECT 'is_big', 'boolean', count(is_big), NULL, round(avg(CASE WHEN is_big THEN 1.0 ELSE 0.0 END) * 100, 1) FROM text_orders"),
 )
 register(
-    "executive_facts", "dirty_orders", lambda d: I.executive_facts(d),
+    "executive_facts", "dirty_orders", lambda d: I.executive_facts(d).drop("rank"),
     _facts(
         *[_fact(f"kpi {k}", c, f"{fn}({c})", rest="FROM dirty_orders") for c in _DIRTY_NUM for k, fn in [("mean", "avg"), ("total", "sum"), ("min", "min"), ("max", "max")]],
-        *[_fact("kpi top share", c, f"round(({_top_n(c)}) / {_N} * 100, 1)", _top(c)) for c in ["orderstatus", "const_col"]],
+        *[_fact("kpi top share", c, f"round(({_top_n(c)}) / {_N} * 100, 1)", f"CAST(({_top(c)}) AS VARCHAR)") for c in ["orderstatus", "const_col", "orderpriority"]],
         _fact("risk missing", None, f"SELECT {_MISSING} FROM dirty_orders"),
         _fact("risk duplicates", None, _DUPS),
         _fact("risk collinearity", "custkey", "abs(corr(custkey, sparse_col))", other="'sparse_col'", rest="FROM dirty_orders"),
-        _fact("action impute"), _fact("action deduplicate"), _fact("action investigate drivers", "orderkey"), _fact("action review over time", "orderdate"), _fact("action segment", "orderstatus"),
+        _fact("action impute"), _fact("action deduplicate"), _fact("action review over time", "orderdate"),
+        *[_fact("action investigate drivers", c) for c in _DIRTY_NUM], *[_fact("action segment", c) for c in ["orderstatus", "const_col", "orderpriority"]],
     ),
 )
 register(
-    "story_facts", "orders", lambda o: I.story_facts(o, "o_orderkey"),
+    "story_facts", "orders", lambda o: I.story_facts(o, "o_orderkey").drop("rank"),
     _facts(
         *[_fact("direction", c, "NULL", f"CASE WHEN arg_max({c}, o_orderkey) > arg_min({c}, o_orderkey) THEN 'increased' ELSE 'decreased' END", rest="FROM orders") for c in ["o_orderkey", "o_custkey", "o_totalprice"]],
-        _fact("top category", "o_orderstatus", "NULL", _top("o_orderstatus", "orders")),
+        *[_fact("top category", c, "NULL", _top(c, "orders")) for c in ["o_orderstatus", "o_orderpriority"]],
+        *[_fact("largest total", c, f"sum({c})", rest=f"FROM orders HAVING sum({c}) = greatest({', '.join('(SELECT sum(' + x + ') FROM orders)' for x in ['o_orderkey', 'o_custkey', 'o_totalprice'])})") for c in ["o_orderkey", "o_custkey", "o_totalprice"]],
         *[_fact(f"range {k}", c, v.format(c=c), rest="FROM orders") for c in ["o_orderkey", "o_custkey", "o_totalprice"] for k, v in [("min", "min({c})"), ("max", "max({c})"), ("q1", "quantile_cont({c}, 0.25)"), ("q3", "quantile_cont({c}, 0.75)")]],
         *[_fact("most common", c, f"round(({_top_n(c, 'orders')}) / (SELECT count(*) FROM orders) * 100, 1)", _top(c, "orders")) for c in ["o_orderstatus", "o_orderpriority"]],
-        *[_fact(k, c, f"quantile_cont({c}, {q})", rest="FROM orders") for c in ["o_orderkey", "o_custkey"] for k, q in [("advice below", 0.05), ("advice above", 0.95)]],
+        *[_fact(k, c, f"quantile_cont({c}, {q})", rest="FROM orders") for c in ["o_orderkey", "o_custkey", "o_totalprice"] for k, q in [("advice below", 0.05), ("advice above", 0.95)]],
         _fact("rows", None, "count(*)", rest="FROM orders"), _fact("columns", None, "6"), _fact("verdict", None, "NULL", "'good'"),
     ),
 )
 register(
-    "business_facts", "planted", lambda p: I.business_facts(p.select("x", "x_noisy", "gap_value", "event_type")),
+    "business_facts", "planted", lambda p: I.business_facts(p.select("x", "x_noisy", "gap_value", "event_type")).drop("rank"),
     _facts(
         _fact("strongest pair", "x", "corr(x, x_noisy)", "CASE WHEN abs(corr(x, x_noisy)) > 0.7 THEN 'strong' ELSE 'moderate' END", "'x_noisy'", "FROM planted"),
         _fact("dominant share", "event_type", f"({_top_n('event_type', 'planted')}) / (SELECT count(*) FROM planted) * 100", _top("event_type", "planted")),
-        *[_fact(k, c, v.format(c=c), rest="FROM planted") for c in ["x", "x_noisy"] for k, v in [("mean", "avg({c})"), ("min", "min({c})"), ("max", "max({c})"), ("median", "quantile_cont({c}, 0.5)")]],
+        *[_fact(k, c, v.format(c=c), rest="FROM planted") for c in ["x", "x_noisy", "gap_value"] for k, v in [("mean", "avg({c})"), ("min", "min({c})"), ("max", "max({c})"), ("median", "quantile_cont({c}, 0.5)")]],
     ),
 )
 register("chart_candidates", "planted", lambda p: I.chart_candidates(p))

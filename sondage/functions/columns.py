@@ -40,6 +40,12 @@ def as_double(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """Column by name with NaN read as missing, in its own type."""
+    c = quoted(name)
+    return F.when(~F.isnan(c), c) if isinstance(type_of(df, name), (T.FloatType, T.DoubleType)) else c
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """Display text of a value; dates at midnight print as dates do in SQL casts."""
     return quoted(name).cast("string")

@@ -200,21 +200,22 @@ def compare_models(
     skip = {target, *([key] if isinstance(key, str) else key or [])}
     features = list(features or [c for c in df.columns if c not in skip])
     rows = df.where(quoted(target).isNotNull())
+    n = max(rows.count(), 1)  # a penalty of one on the sum of losses is one of 1/n on their mean
     two = problem != REGRESSION and rows.select(quoted(target)).distinct().limit(3).count() <= 2
     if problem == REGRESSION:
         models = {
-            "Ridge": LinearRegression(regParam=1e-4, elasticNetParam=0.0),
+            "Ridge": LinearRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False),
             "Random Forest": RandomForestRegressor(numTrees=trees, maxDepth=8, seed=seed),
             "Gradient Boosting": GBTRegressor(maxIter=boost, seed=seed),
         }
     else:
         models = {
-            "Logistic Regression": LogisticRegression(maxIter=500),
+            "Logistic Regression": LogisticRegression(maxIter=500, regParam=1.0 / n, standardization=False),
             "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed),
         }
         if two:
             models["Gradient Boosting"] = GBTClassifier(maxIter=boost, seed=seed)
-    prep = build_features(rows, features, category_cap=20)
+    prep = build_features(rows, features, category_cap=None)
     main = "r2" if problem == REGRESSION else "accuracy"
     out = []
     for name, estimator in models.items():
@@ -351,27 +352,25 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], key: str | Sequence[str
         forest.append(_grow(drawn[rows], rng, limit))
     normal = float(_average_path(size)) or 1.0
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
-            total = np.zeros(len(x))
-            for feature, threshold, left, right, path in forest:
-                at = np.zeros(len(x), dtype=np.int64)
-                for _ in range(limit):
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    goes_left = x[np.arange(len(x)), np.where(inner, f, 0)] <= threshold[at]
-                    at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
-                total += path[at]
-            out = batch.drop(columns=names)
-            out["anomaly_score"] = np.power(2.0, -total / len(forest) / normal)
-            yield out
-
-    wide = complete.withColumns({n: as_double(quoted(c)) for c, n in zip(cols, names)})
-    schema = T.StructType([*complete.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
-    return wide.mapInPandas(score, schema)
+    shared = df.sparkSession.sparkContext.broadcast(forest)  # of fixed size: trees x rows of a tree
+
+    @F.pandas_udf("double")
+    def score(*features: pd.Series) -> pd.Series:
+        x = np.column_stack([f.to_numpy(dtype=float) for f in features])
+        total = np.zeros(len(x))
+        for feature, threshold, left, right, path in shared.value:
+            at = np.zeros(len(x), dtype=np.int64)
+            for _ in range(limit):
+                f = feature[at]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                goes_left = x[np.arange(len(x)), np.where(inner, f, 0)] <= threshold[at]
+                at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+            total += path[at]
+        return pd.Series(np.power(2.0, -total / trees / normal))
+
+    return complete.withColumn("anomaly_score", score(*[as_double(quoted(c)) for c in cols]))
 
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], key: str | Sequence[str], seed: int = 42) -> DataFrame:

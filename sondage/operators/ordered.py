@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sondage.functions.columns import as_double, quoted
-from sondage.plans.joins import attach
+from sondage.functions.columns import as_double, present, quoted
+from sondage.plans.joins import attach, scalar_row
 from sondage.plans.ordering import BUCKET, OrderedPass, drop_halo, global_prefix, with_halo
 from sondage.session import materialize
 
@@ -21,24 +21,30 @@ Keys = str | Sequence[str]
 
 def running_total(df: DataFrame, col: str, order_by: Keys, partition_by: Keys | None = None, out: str = "running_total") -> DataFrame:
     """Cumulative sum; NULLs add nothing and stay NULL."""
-    rows = global_prefix(df, as_double(quoted(col)), "_run", order_by, partition_by)
-    return rows.withColumn(out, F.when(quoted(col).isNotNull(), F.col("_run"))).drop("_run")
+    x = as_double(quoted(col))
+    rows = global_prefix(df, x, "_run", order_by, partition_by)
+    return rows.withColumn(out, F.when(x.isNotNull(), F.col("_run"))).drop("_run")
 
 
 def rank_by(df: DataFrame, col: str, partition_by: str | None = None, out: str = "rank") -> DataFrame:
-    """Descending average rank cut to an integer; NULL has no rank.
+    """Descending average rank cut to an integer; NULL and NaN have no rank.
 
-    Values are counted, the counts accumulated over the ordered distinct values, and the
-    rank attached back by value.
+    Values are counted and ordered in their own type (long, decimal, text, date), the counts accumulated over the ordered
+    distinct values, and the rank attached back by value: what lies above a value is the total less what lies up to it.
     """
     keys = [partition_by] if partition_by else []
-    counts = materialize(
-        df.where(quoted(col).isNotNull()).groupBy(*[quoted(k) for k in keys], quoted(col)).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    upto = global_prefix(counts.withColumn("_neg", -as_double(quoted(col))), F.col("_n"), "_upto", "_neg", keys or None)
-    average = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
+    df = df.withColumn(col, present(df, col))
+    there = df.where(quoted(col).isNotNull())
+    counts = materialize(there.groupBy(*[quoted(k) for k in keys], quoted(col)).agg(F.count(F.lit(1)).alias("_n")))
+    upto = global_prefix(counts, F.col("_n"), "_upto", col, keys or None)
+    if keys:
+        totals = counts.groupBy(quoted(partition_by).alias("_part")).agg(F.sum("_n").alias("_all"))
+        upto = upto.join(totals, quoted(partition_by).eqNullSafe(F.col("_part"))).drop("_part")
+    else:
+        upto = upto.withColumn("_all", scalar_row(counts.agg(F.sum("_n").alias("n")))["n"])
+    average = F.col("_all") - F.col("_upto") + (F.col("_n") + 1) / 2
     ranks = upto.select(*[quoted(k) for k in keys], quoted(col), "_n", F.floor(average).alias(out))
-    ranked = attach(df.where(quoted(col).isNotNull()), ranks, [*keys, col], weight="_n", how="inner").drop("_n")
+    ranked = attach(there, ranks, [*keys, col], weight="_n", how="inner").drop("_n")
     return ranked.unionByName(df.where(quoted(col).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 
@@ -98,7 +104,7 @@ def fill_backward(df: DataFrame, col: str, order_by: Keys, partition_by: Keys |
 
 def _fill(df: DataFrame, col: str, order_by: Keys, partition_by: Keys | None, forward: bool) -> DataFrame:
     p = OrderedPass(df, order_by, partition_by)
-    x = quoted(col)
+    x = present(df, col)
     position = F.struct(*[quoted(k) for k in p.order])
     known = F.when(x.isNotNull(), position)
     pick = F.max_by(x, known) if forward else F.min_by(x, known)
@@ -106,10 +112,9 @@ def _fill(df: DataFrame, col: str, order_by: Keys, partition_by: Keys | None, fo
     side = p.bucket_window(forward)
     carried = F.last("_edge", ignorenulls=True).over(side)
     rows = p.carry(totals, _in=carried)
-    if forward:
-        inside = F.last(x, ignorenulls=True).over(p.window.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        inside = F.first(x, ignorenulls=True).over(p.window.rowsBetween(0, Window.unboundedFollowing))
+    # backward is forward in the opposite order: a frame that only grows is carried along in one pass
+    way = p.window if forward else p.opposite
+    inside = F.last(x, ignorenulls=True).over(way.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(col, F.coalesce(inside, F.col("_in"))).drop("_in", BUCKET)
 
 

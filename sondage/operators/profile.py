@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sondage.functions.columns import as_double, atomic_columns, band, numeric_columns, percent, quoted, type_of
+from sondage.functions.columns import as_double, atomic_columns, band, clean_nan, numeric_columns, percent, quoted, type_of
 from sondage.operators.types import logical_types, of_type
 from sondage.plans.joins import attach, scalar_row
 from sondage.plans.values import (
@@ -122,7 +122,7 @@ def moments_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def missing_counts(df: DataFrame) -> DataFrame:
     """(column, position, missing, rows) from one scan of null counts."""
     cols = atomic_columns(df)
-    return fused(df, cols, {"missing": lambda c: F.count_if(c.isNull()), "rows": lambda c: F.count(F.lit(1))})
+    return fused(clean_nan(df), cols, {"missing": lambda c: F.count_if(c.isNull()), "rows": lambda c: F.count(F.lit(1))})
 
 
 def missing_table(df: DataFrame) -> DataFrame:
@@ -144,16 +144,21 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Every member of every group of equal rows (NULLs compare equal).
 
-    Groups are found by a map-side combined count and joined back; the groups that hold many
-    copies are broadcast, so copies never meet in one task.
+    Rows are grouped whole, with a map-side combined count, so equality is exact; what is joined back is a 128-bit digest of
+    each repeated row, never the row. Two different rows of one digest are as good as impossible.
     """
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    return attach(df, groups, df.columns, weight="_n", how="left_semi")
+    cols = [quoted(c) for c in df.columns]
+    holes = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
+    one, two = F.xxhash64(holes, *cols), F.xxhash64(F.lit(1), holes, *cols)
+    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(one.alias("_d1"), two.alias("_d2"), "_n")
+    marked = df.withColumns({"_d1": one, "_d2": two})
+    return attach(marked, groups, ["_d1", "_d2"], weight="_n", how="left_semi").drop("_d1", "_d2")
 
 
 def nunique_table(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, nunique, missing) for every column; ``approx`` uses sketches instead of the exact long-form count."""
     cols = list(cols or atomic_columns(df))
+    df = clean_nan(df)
     if approx:
         return fused(
             df, cols, {"nunique": lambda c: F.approx_count_distinct(c), "missing": lambda c: F.count_if(c.isNull())}

@@ -10,6 +10,9 @@ from sondage.functions.columns import as_double, atomic_columns, quoted, type_of
 from sondage.plans.joins import attach, is_small, scalar_row
 from sondage.plans.values import q_name, quantiles_long
 
+#: Longest list of values that becomes a literal; a longer one is joined.
+_LITERALS = 200
+
 # ------------------------------------------------------------------ projection and filters
 
 
@@ -32,7 +35,12 @@ def filter_in(df: DataFrame, col: str, values: Sequence | DataFrame) -> DataFram
     if isinstance(values, DataFrame):
         wanted = values.select(quoted(values.columns[0]).alias(col)).where(quoted(col).isNotNull()).distinct()
         return attach(df, wanted, [col], how="left_semi")
-    return df.where(quoted(col).isin(list(values)))
+    values = list(values)
+    if len(values) > _LITERALS:
+        kind = type_of(df, col)
+        wanted = df.sparkSession.createDataFrame([(v,) for v in values if v is not None], T.StructType([T.StructField(col, kind)]))
+        return attach(df, wanted.distinct(), [col], how="left_semi")
+    return df.where(quoted(col).isin(values))
 
 
 def filter_equal(df: DataFrame, col: str, value) -> DataFrame:
@@ -83,17 +91,18 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], variable: str
 def convert(df: DataFrame, col: str, to: str, truthy: bool = False) -> DataFrame:
     """Convert a column to integer, float, text, date, category or boolean; unreadable values become NULL.
 
-    Deviations from the usual dataframe library: NULL stays NULL as text, and booleans are
-    read from words (``truthy=True`` treats any non-empty value as true, NULL included).
+    A column that holds fractions, as numbers or as text, cannot become integer and raises. Whole numbers of any size that a
+    long holds are kept exactly. Deviations from the usual dataframe library: NULL stays NULL as text, and booleans are read from words (``truthy=True`` treats any non-empty value as true, NULL included).
     """
     c = quoted(col)
     if to == "integer":
         number = as_double(c.try_cast("double"))
-        if isinstance(type_of(df, col), (T.FloatType, T.DoubleType)):
-            fractions = df.where(number != F.floor(number)).limit(1).count()
-            if fractions:
+        exact = c.try_cast("long")
+        if isinstance(type_of(df, col), (T.FloatType, T.DoubleType, T.DecimalType, T.StringType)):
+            if not df.where(exact.isNull() | (number != F.floor(number))).where(number != F.floor(number)).isEmpty():
                 raise ValueError(f"column '{col}' holds fractions and cannot become integer")
-        new = F.when(number == F.floor(number), number.try_cast("long"))
+        whole = F.when(number == F.floor(number), number.try_cast("long"))
+        new = F.coalesce(exact, whole) if not isinstance(type_of(df, col), (T.FloatType, T.DoubleType)) else whole
     elif to == "float":
         new = as_double(c.try_cast("double"))
     elif to in ("text", "category"):
@@ -255,7 +264,7 @@ _SAMPLE_PREFILTER = 16
 
 def top_n(df: DataFrame, col: str, n: int = 10, ascending: bool = False, tie: str | None = None, select: Sequence[str] | None = None) -> DataFrame:
     """First n rows by a column (NULLs last); ``tie`` makes the choice among equals definite."""
-    order = F.asc_nulls_last(col) if ascending else F.desc_nulls_last(col)
+    order = quoted(col).asc_nulls_last() if ascending else quoted(col).desc_nulls_last()
     out = df.orderBy(order, *([quoted(tie)] if tie else [])).limit(n)
     return out.select(*[quoted(c) for c in select]) if select else out
 
@@ -386,11 +395,22 @@ def compare_kpis(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def sql(df: DataFrame, query: str, view: str = "dataset", **tables: DataFrame) -> DataFrame:
-    """Run any SQL text over the table (and further named ones); Catalyst does the rest."""
-    named = {view: df, **tables}
+    """Run any SQL text over the table (and further named ones); Catalyst does the rest.
+
+    The names exist as temporary views only while the text is analysed; views of these names from before come back.
+    """
+    spark, named = df.sparkSession, {view: df, **tables}
+    temporary = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in named if name in temporary}
     for name, table in named.items():
         table.createOrReplaceTempView(name)
-    return df.sparkSession.sql(query)
+    try:
+        return spark.sql(query)
+    finally:
+        for name in named:
+            spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)
 
 
 def expr_query(

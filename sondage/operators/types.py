@@ -111,7 +111,7 @@ def semantic_types(df: DataFrame) -> DataFrame:
             col = quoted(c)
             aggs.append(F.count(col).alias(f"n{i}"))
             for j, (_, pattern) in enumerate(SEMANTIC_PATTERNS):
-                hit = F.lower(F.trim(col)).isin(BOOLEAN_WORDS) if pattern is None else col.rlike(pattern)
+                hit = F.lower(F.regexp_replace(col, r"^\s+|\s+$", "")).isin(BOOLEAN_WORDS) if pattern is None else col.rlike(pattern)
                 aggs.append(F.avg(hit.cast("double")).alias(f"p{i}_{j}"))
         shares = df.agg(*aggs).first().asDict()
     verdicts = []

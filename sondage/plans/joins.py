@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sondage.functions.columns import quoted
-from sondage.session import settings
+from sondage.session import materialize, settings
 
 
 def scalar_row(one_row: DataFrame) -> Column:
@@ -27,19 +27,34 @@ def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], names: Seque
     return cond
 
 
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about: text and binary by length, nested values by their printed length, 8 for the rest."""
+    out = F.lit(0)
+    for f in df.schema.fields:
+        c = quoted(f.name)
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            out = out + 8
+    return out.cast("long")
+
+
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """True when the DataFrame has at most ``limit`` rows, by a distributed count.
+    """True when the DataFrame has at most ``limit`` rows and ``broadcast_bytes`` bytes, by a distributed count.
 
     Not by ``limit(n).count()``: that would send up to n rows of every partition to one task.
     """
-    limit = settings(df.sparkSession).broadcast_rows if limit is None else limit
-    return df.count() <= limit
+    s = settings(df.sparkSession)
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= (s.broadcast_rows if limit is None else limit) and size["bytes"] <= s.broadcast_bytes
 
 
 def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str | None = None, how: str = "left") -> DataFrame:
     """Join ``table`` (one row per key) onto ``rows``; every row of ``rows`` keeps its place in a balanced task.
 
-    A table counted to be small is broadcast.  Otherwise the keys that hold more than
+    A table measured to be small (rows and bytes) is broadcast.  Otherwise the keys that hold more than
     ``hot_share`` of all rows (at most ``1/hot_share`` of them, so that part always is
     small) are broadcast and only the remaining, evenly spread keys go through a shuffle.
     ``weight`` names a column of ``table`` with the number of rows per key; when absent it is counted.
@@ -47,6 +62,7 @@ def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str | N
     """
     on = list(on)
     spark = rows.sparkSession
+    table = materialize(table)  # measured, and then read up to four times
     if is_small(table):
         return _join(rows, F.broadcast(table), on, how)
     share = settings(spark).hot_share

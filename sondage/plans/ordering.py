@@ -24,7 +24,6 @@ from sondage.plans.joins import null_safe
 from sondage.session import settings
 
 _OVERSAMPLE = 32
-_MOST_BUCKETS = 8192
 BUCKET = "_bucket"
 
 
@@ -34,7 +33,7 @@ def _bucket_count(df: DataFrame, rows: int) -> int:
         return s.buckets
     by_size = math.ceil(rows / s.bucket_rows)
     by_cores = min(df.sparkSession.sparkContext.defaultParallelism, rows // 2000)
-    return max(1, min(_MOST_BUCKETS, max(by_size, by_cores)))
+    return max(1, by_size, by_cores)
 
 
 def order_bounds(df: DataFrame, keys: Sequence[str]) -> pa.Table:
@@ -78,9 +77,9 @@ class OrderedPass:
         keys = self.parts + self.order
         self.bounds = order_bounds(df, keys)
         self.rows = with_buckets(df, keys, self.bounds)
-        self.window = Window.partitionBy(*[quoted(k) for k in self.parts], F.col(BUCKET)).orderBy(
-            *[quoted(k).asc() for k in self.order]
-        )
+        inside = Window.partitionBy(*[quoted(k) for k in self.parts], F.col(BUCKET))
+        self.window = inside.orderBy(*[quoted(k).asc() for k in self.order])
+        self.opposite = inside.orderBy(*[quoted(k).desc() for k in self.order])
 
     def subtotals(self, **aggs: Column) -> DataFrame:
         """One row per (partition crossing a bucket bound, bucket): at most two per bucket."""

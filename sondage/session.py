@@ -18,6 +18,7 @@ class Settings:
     ``sketch_rows``     most rows for which the built-in ``percentile`` (one value map per group)
                         is used; above it order statistics are selected with a distributed prefix sum
     ``broadcast_rows``  most rows a side may have (counted, not guessed) to be broadcast
+    ``broadcast_bytes`` and most bytes, measured too
     ``bucket_rows``     rows aimed at per order bucket of a globally ordered pass
     ``buckets``         fixed number of order buckets (0: derive it from the row count)
     ``hot_share``       a join key holding more than this share of the rows is treated as hot
@@ -25,6 +26,7 @@ class Settings:
 
     sketch_rows: int
     broadcast_rows: int
+    broadcast_bytes: int
     bucket_rows: int
     buckets: int
     hot_share: float
@@ -33,6 +35,7 @@ class Settings:
 _DEFAULTS = {
     "sketch_rows": 2_000_000,
     "broadcast_rows": 200_000,
+    "broadcast_bytes": 32_000_000,
     "bucket_rows": 1_000_000,
     "buckets": 0,
     "hot_share": 0.002,
@@ -56,6 +59,7 @@ def build_session(app: str = "sondage", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -75,9 +79,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: the cluster's, or a temporary one where none is named."""
+    """The checkpoint folder of the session: the cluster's. Only a local master may do without and gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sondage-ckpt-", dir=os.environ.get("TMPDIR")))
     return sc.getCheckpointDir()

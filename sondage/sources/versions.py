@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_LOG = "version int, name string, recorded timestamp_ntz, rows long, cols int, changes string"
+_LOG = "version int, name string, recorded timestamp_ntz, rows long, cols int, changes string, stored int"
 
 
 class VersionedTable:
     """Parquet directory per version under ``root`` and a log table beside them.
 
-    A version is complete once its log row exists; the log row is written after the data.
+    A version is complete once its log row exists; the log row is written after the data. A folder that exists is never
+    overwritten: of two commits at once one fails, and so does a commit whose log cannot be read. A restore stores no data, its
+    log row names the version whose data it stands for.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -21,10 +22,13 @@ class VersionedTable:
 
     def log(self) -> DataFrame:
         """(version, name, recorded, rows, cols, changes), one row per version."""
-        try:
-            return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
-        except AnalysisException:
+        return self._log().drop("stored")
+
+    def _log(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], _LOG)
+        return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
 
     def latest(self) -> int:
         return self.log().agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
@@ -35,26 +39,37 @@ class VersionedTable:
         if version == 1 and name is None:
             name, changes = "Original Dataset", changes or "Initial upload"
         path = self._path(version)
-        df.write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path)
+        df.write.mode("errorifexists").parquet(path)
+        self._record(version, name or f"Step {version}", changes, self.spark.read.parquet(path), version)
+        return version
+
+    def _record(self, version: int, name: str, changes: str, data: DataFrame, stored: int) -> None:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        row = stored.agg(F.count(F.lit(1)).alias("rows")).select(
+        row = data.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(version).alias("version"),
-            F.lit(name or f"Step {version}").alias("name"),
+            F.lit(name).alias("name"),
             F.lit(now).cast("timestamp_ntz").alias("recorded"),
             F.col("rows"),
-            F.lit(len(df.columns)).alias("cols"),
+            F.lit(len(data.columns)).alias("cols"),
             F.lit(changes).alias("changes"),
+            F.lit(stored).alias("stored"),
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
-        return version
 
     def load(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._path(version or self.latest()))
+        return self.spark.read.parquet(self._path(self._stored(version or self.latest())))
+
+    def _stored(self, version: int) -> int:
+        """The version whose folder holds the data."""
+        row = self._log().where(F.col("version") == version).select(F.coalesce("stored", "version").alias("s")).first()
+        if row is None:
+            raise ValueError(f"no version {version}")
+        return row["s"]
 
     def restore(self, version: int) -> DataFrame:
         """Bring back an earlier version; the restore is itself logged as a new version."""
-        self.commit(self.load(version), f"Restored V{version}", f"Reverted back to Version {version}")
+        stored = self._stored(version)
+        self._record(self.latest() + 1, f"Restored V{version}", f"Reverted back to Version {version}", self.load(version), stored)
         return self.load()
 
     def reset(self) -> DataFrame:
