@@ -287,8 +287,8 @@ x AS (SELECT sum(power(CASE WHEN i = 2 AND j = 2 THEN abs(o - e) - least(0.5, ab
 SELECT round(x, 4) AS chi2, CAST((i - 1) * (j - 1) AS BIGINT) AS dof, round(sqrt(x / ((SELECT count(*) FROM {t}) * (least(i, j) - 1))), 4) AS cramers_v,
 CASE WHEN sqrt(x / ((SELECT count(*) FROM {t}) * (least(i, j) - 1))) > 0.5 THEN 'strong' WHEN sqrt(x / ((SELECT count(*) FROM {t}) * (least(i, j) - 1))) > 0.3 THEN 'moderate' ELSE 'weak' END AS association FROM x, k"""
 register("chi_square", "dirty_orders", lambda d: T.chi_square(d, "orderstatus", "orderpriority").drop("p_value", "significant"), _CHI.format(a="orderstatus", b="orderpriority", t="dirty_orders"))
-register("chi_square_two_by_two", "text_orders", lambda t: T.chi_square(t.where("flag_txt <> 'TRUE'"), "flag_txt", "is_big").drop("p_value", "significant"),
-         _CHI.format(a="flag_txt", b="is_big", t="(SELECT * FROM text_orders WHERE flag_txt <> 'TRUE') s"))
+register("chi_square_two_by_two", "text_orders", lambda t: T.chi_square(t.withColumn("is_true", F.col("flag_txt") == "TRUE"), "is_true", "is_big").drop("p_value", "significant"),
+         _CHI.format(a="is_true", b="is_big", t="(SELECT *, flag_txt = 'TRUE' AS is_true FROM text_orders) s"))
 
 # ------------------------------------------------------------------ tests
 
@@ -416,7 +416,13 @@ def _predicted(p: DataFrame) -> DataFrame:
 
 
 register("predict_table", "planted", _predicted)
+register("predict_table_rows", "planted", lambda p: _predicted(p).agg(F.count(F.lit(1)).alias("rows")), "SELECT count(*) AS rows FROM planted")
 register("kmeans", "lineitem", lambda l: M.cluster_profile(M.kmeans(l, ["l_quantity", "l_extendedprice", "l_discount"], 4, restarts=10), ["l_quantity", "l_extendedprice", "l_discount"]))
+register(
+    "isolation_forest_counts", "planted",
+    lambda p: M.isolation_forest(p, ["x", "x_noisy"], "event_id").agg(F.count(F.lit(1)).alias("rows"), F.count("anomaly_score").alias("scored"), (F.avg(F.col("is_anomaly").cast("int")) <= 0.011).alias("share_holds")),
+    "SELECT count(*) AS rows, count(*) AS scored, true AS share_holds FROM planted",
+)
 register("isolation_forest", "planted", lambda p: M.isolation_forest(p, ["x", "x_noisy"], "event_id").select("event_id", "anomaly_score", "is_anomaly"))
 register("anomaly_drivers", "planted", lambda p: M.anomaly_drivers(M.isolation_forest(p, ["x", "x_noisy", "gap_value"], "event_id"), ["x", "x_noisy", "gap_value"]))
 register(

@@ -41,12 +41,13 @@ register("frequency_table_many_values", "customer", lambda c: R.frequency_table(
          """WITH c AS (SELECT c_nationkey, count(*) AS count, CAST(round(count(*) * 100.0 / (SELECT count(*) FROM customer), 2) AS DOUBLE) AS percentage FROM customer GROUP BY c_nationkey)
          SELECT c_nationkey, count, percentage, round(sum(percentage) OVER (ORDER BY count DESC, c_nationkey ROWS UNBOUNDED PRECEDING), 2) AS cumulative FROM c""")
 register("value_counts", "part", lambda p: R.value_counts(p, "p_brand", 10), "SELECT p_brand, count(*) AS count FROM part GROUP BY p_brand ORDER BY count DESC, p_brand LIMIT 10")
-register("crosstab", "dirty_orders", lambda d: R.crosstab(d, "orderstatus", "orderpriority"),
+register("crosstab", "dirty_orders", lambda d: R.crosstab(d, "orderstatus", "orderpriority", zeros=True),
          """SELECT r.orderstatus, c.orderpriority, count(d.orderkey) AS count FROM (SELECT DISTINCT orderstatus FROM dirty_orders WHERE orderstatus IS NOT NULL) r
          CROSS JOIN (SELECT DISTINCT orderpriority FROM dirty_orders WHERE orderpriority IS NOT NULL) c
          LEFT JOIN dirty_orders d ON d.orderstatus = r.orderstatus AND d.orderpriority = c.orderpriority GROUP BY ALL""")
 register("crosstab_wide", "part", lambda p: R.crosstab(p, "p_size", "p_type", wide=True),
-         "PIVOT (SELECT p_size, p_type FROM part) ON p_type USING count(*) GROUP BY p_size")
+         "SELECT p_size, " + ", ".join(f"count(*) FILTER (p_type = '{t}') AS \"{t}\"" for t in ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]) + " FROM part GROUP BY p_size")
+register("crosstab_occurring", "part", lambda p: R.crosstab(p, "p_name", "p_brand"), "SELECT p_name, p_brand, count(*) AS count FROM part GROUP BY ALL")
 register("counts_over_time", "orders", lambda o: R.counts_over_time(o, "o_orderdate", "o_orderstatus"),
          "SELECT o_orderdate, o_orderstatus, count(*) AS count FROM orders GROUP BY ALL")
 register("category_sums_positive", "customer", lambda c: R.category_sums(c, "c_mktsegment", "c_acctbal", positive_only=True),
@@ -147,8 +148,8 @@ register("kpis", "orders", P.kpis,
 register("kpis_without_money", "events", P.kpis,
          """SELECT 'Total Rows' AS kpi, CAST(count(*) AS DOUBLE) AS value FROM events UNION ALL SELECT 'Total Columns', 6.0::DOUBLE UNION ALL SELECT 'Missing Values', 0.0::DOUBLE UNION ALL SELECT 'Duplicates', 0.0::DOUBLE
          UNION ALL SELECT 'Average Value', round((avg(event_id) + avg(user_id) + avg(value)) / 3, 2) FROM events UNION ALL SELECT 'Total Sum', round(sum(event_id) + sum(user_id) + sum(value), 2) FROM events""")
-register("text_stats", "documents", lambda d: P.text_stats(d, "text").drop("most_common"),
-         "SELECT count(text) AS n, round(avg(length(text)), 4) AS avg_length, CAST(min(length(text)) AS INTEGER) AS min_length, CAST(max(length(text)) AS INTEGER) AS max_length FROM documents")
+register("text_stats", "documents", lambda d: P.text_stats(d, "text"),
+         "SELECT count(text) AS n, round(avg(length(text)), 4) AS avg_length, CAST(min(length(text)) AS INTEGER) AS min_length, CAST(max(length(text)) AS INTEGER) AS max_length, (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text ORDER BY count(*) DESC, text LIMIT 1) AS most_common FROM documents")
 register("text_stats_common", "part", lambda p: P.text_stats(p, "p_name"),
          """SELECT count(p_name) AS n, round(avg(length(p_name)), 4) AS avg_length, CAST(min(length(p_name)) AS INTEGER) AS min_length, CAST(max(length(p_name)) AS INTEGER) AS max_length,
          (SELECT p_name FROM part GROUP BY p_name ORDER BY count(*) DESC, p_name LIMIT 1) AS most_common FROM part""")
@@ -258,5 +259,12 @@ register("histogram_overlay", "orders", lambda o: C.histogram(o, "o_totalprice",
 register("histogram_2d", "lineitem", lambda l: C.histogram2d(l, "l_quantity", "l_extendedprice", 20),
          """SELECT least(floor((l_quantity - a) / ((b - a) / 20)), 19)::INTEGER AS x_bin, least(floor((l_extendedprice - c) / ((d - c) / 20)), 19)::INTEGER AS y_bin, count(*) AS count FROM lineitem,
          (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem) GROUP BY 1, 2""")
-register("kde", "lineitem", lambda l: C.kde(l, "l_extendedprice"), digits=10)
-register("kde_grouped", "orders", lambda o: C.kde(o, "o_totalprice", "o_orderstatus"), digits=10)
+_KDE = """WITH v AS (SELECT {key} CAST({x} AS DOUBLE) AS x FROM {t} WHERE {x} IS NOT NULL), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+b AS (SELECT {key} least(floor((x - lo) / ((hi - lo) / 1024)), 1023) AS bin, count(*) AS n, avg(x) AS m FROM v, e GROUP BY ALL),
+h AS (SELECT {key} stddev_samp(x) * power(count(*)::DOUBLE, -0.2) AS h, count(*) AS total FROM v {group}),
+g AS (SELECT unnest(range(64)) AS i)
+SELECT {bkey} round(e.lo + g.i * ((e.hi - e.lo) / 63), 4) AS x, round(sum(exp(-power((e.lo + g.i * ((e.hi - e.lo) / 63) - b.m) / h.h, 2) / 2) * b.n / (h.h * h.total * sqrt(2 * pi()))), 10) AS density
+FROM b {join}, e, g GROUP BY {bkey} g.i, e.lo, e.hi"""
+register("kde", "lineitem", lambda l: C.kde(l, "l_extendedprice").withColumn("x", F.round("x", 4)), _KDE.format(x="l_extendedprice", t="lineitem", key="", group="", bkey="", join="CROSS JOIN h"), digits=10)
+register("kde_grouped", "orders", lambda o: C.kde(o, "o_totalprice", "o_orderstatus").withColumn("x", F.round("x", 4)),
+         _KDE.format(x="o_totalprice", t="orders", key="o_orderstatus,", group="GROUP BY ALL", bkey="b.o_orderstatus,", join="JOIN h ON h.o_orderstatus = b.o_orderstatus"), digits=10)

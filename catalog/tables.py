@@ -80,6 +80,18 @@ register(
 register("table_fingerprint", "orders", S.table_fingerprint)
 
 
+def _fingerprints(o: DataFrame) -> DataFrame:
+    """Whether the fingerprint is the same after a shuffle, and after one value changed."""
+    own, shuffled = S.table_fingerprint(o), S.table_fingerprint(o.repartition(7, "o_custkey"))
+    changed = S.table_fingerprint(o.withColumn("o_custkey", F.col("o_custkey") + (F.col("o_orderkey") == 1).cast("int")))
+    keys = ["rows", "hash_xor", "hash_sum"]
+    same = lambda t: t.agg(F.first(F.struct(*keys))).scalar() == F.struct(*keys)
+    return own.select("rows", same(shuffled).alias("same_shuffled"), same(changed).alias("same_changed"))
+
+
+register("table_fingerprint_contract", "orders", _fingerprints, "SELECT count(*) AS rows, true AS same_shuffled, false AS same_changed FROM orders")
+
+
 def _versions(df: DataFrame) -> VersionedTable:
     v = VersionedTable(df.sparkSession, scratch(df, "versions"))
     v.commit(df)
@@ -198,6 +210,8 @@ register("top_n_selected", "orders", lambda o: R.top_n(o, "o_totalprice", 10, ti
 register("ordered_series", "gappy_events", lambda g: R.ordered_series(g, "ts", "value"), "SELECT ts, round(value, 4) AS value FROM gappy_events WHERE value IS NOT NULL ORDER BY ts")
 register("head_n", "orders", lambda o: R.head_n(o, 25, "o_orderkey"), f"SELECT {_ORDER_COLS} FROM orders ORDER BY o_orderkey LIMIT 25")
 register("tail_n", "orders", lambda o: R.tail_n(o, 15, "o_orderkey"), f"SELECT {_ORDER_COLS} FROM orders ORDER BY o_orderkey DESC LIMIT 15")
+register("sample_n_contract", "orders", lambda o: R.sample_n(o, 5000, "o_orderkey").join(o.select("o_orderkey"), "o_orderkey", "left_semi").agg(F.count_distinct("o_orderkey").alias("n")),
+         "SELECT least(5000, count(DISTINCT o_orderkey)) AS n FROM orders")
 register("sample_n", "orders", lambda o: R.sample_n(o, 5000, "o_orderkey"))
 register("plot_rows", "events", lambda e: R.plot_rows(e, ["value", "user_id", "event_type"], 5000, "event_id"))
 register("distinct_rows", "dirty_orders", R.distinct_rows,
