@@ -105,6 +105,8 @@ register("duplicate_count", "dirty_orders", P.duplicate_count,
          "SELECT (SELECT count(*) FROM dirty_orders) AS rows, (SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders)) AS duplicates")
 register("duplicate_rows", "dirty_orders", P.duplicate_rows,
          "SELECT orderkey, custkey, orderstatus, round(totalprice, 4) AS totalprice, sparse_col, const_col, orderdate, orderpriority FROM dirty_orders WHERE orderkey IN (SELECT orderkey FROM dirty_orders GROUP BY orderkey HAVING count(*) > 1)")
+register("duplicate_rows_documents", "documents", lambda d: P.duplicate_rows(d.select("text", "lang", "n_chars")).select("lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5")),
+         "SELECT d.lang, d.n_chars, md5(d.text) AS text_md5 FROM documents d JOIN (SELECT text, lang, n_chars FROM documents GROUP BY ALL HAVING count(*) > 1) g ON g.text = d.text AND g.lang = d.lang AND g.n_chars = d.n_chars")
 register("nunique_table", "dirty_orders", P.nunique_table,
          " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS nunique, count(*) - count({c}) AS missing FROM dirty_orders" for c in _DIRTY))
 register("most_unique", "orders", P.most_unique, "SELECT 'o_orderkey' AS \"column\", count(DISTINCT o_orderkey) AS nunique FROM orders")
