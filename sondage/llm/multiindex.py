@@ -43,37 +43,55 @@ class Index:
     """Substring tables over codes: for every byte position the rows by byte value."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
         self.n, self.pieces = codes.shape
-        self.order = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(self.pieces)]
-        self.edge = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
-        self.wide = np.ascontiguousarray(codes).view(np.uint64) if self.pieces % 8 == 0 else codes
+        self.columns = [np.ascontiguousarray(codes[:, j]) for j in range(self.pieces)]
+        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in self.columns]
+        self.edge = [np.searchsorted(c[o], np.arange(257)).tolist() for c, o in zip(self.columns, self.order)]
+        self.step = 8 if self.pieces % 8 == 0 else 1
+        self.wide = [np.ascontiguousarray(x) for x in self._words(codes).T]
+
+    def _words(self, codes: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(codes).view(np.uint64) if self.step == 8 else codes
 
     def near(self, code: np.ndarray, least: int) -> np.ndarray:
         """All rows within the smallest Hamming radius that holds ``least`` rows (all, if there are no more).
 
-        Radii grow by rings: after probing all substring values within s bits, every row within pieces x (s + 1) - 1 bits has
-        been met (pigeonhole), so counts up to that radius are exact.
+        Radii grow by rings (0, 1, 3, 5 bits): after probing all substring values within s bits, every row within pieces x (s + 1) - 1 bits has
+        been met (pigeonhole), so counts up to that radius are exact. A ring of few values is read from the substring tables'
+        lists, one of many values by a look at each row's substring. Distances are taken once, when a row is first met.
         """
         if self.n <= least:
             return np.arange(self.n)
+        own = self._words(code)
+        away = np.full(self.n, 8 * self.pieces + 1, dtype=np.int16)
         met = np.zeros(self.n, dtype=bool)
-        own = code.view(np.uint64) if self.pieces % 8 == 0 else code
-        for s, ring in enumerate(_RINGS):
+        for s, ring in _RINGS:
+            hit = np.zeros(self.n, dtype=bool)
             for j in range(self.pieces):
-                order, edge = self.order[j], self.edge[j]
-                for v in (ring ^ code[j]).tolist():
-                    met[order[edge[v] : edge[v + 1]]] = True
-            rows = np.flatnonzero(met)
-            away = np.bitwise_count(self.wide[rows] ^ own).sum(axis=1, dtype=np.int64)
-            sure = self.pieces * (s + 1) - 1
-            if (away <= sure).sum() >= least:
-                radius = np.partition(away, least - 1)[least - 1]
-                return rows[away <= radius]
+                values = ring ^ code[j]
+                if len(ring) > 10:
+                    asked = np.zeros(256, dtype=bool)
+                    asked[values] = True
+                    hit |= asked.take(self.columns[j], mode="clip")
+                else:
+                    order, edge = self.order[j], self.edge[j]
+                    for v in values.tolist():
+                        hit[order[edge[v] : edge[v + 1]]] = True
+            new = np.flatnonzero(hit & ~met)
+            met |= hit
+            away[new] = sum(np.bitwise_count(w[new] ^ x).astype(np.int16) for w, x in zip(self.wide, own))
+            if len(new) and (away <= self.pieces * (s + 1) - 1).sum() >= least:
+                return np.flatnonzero(away <= np.partition(away, least - 1)[least - 1])
         return np.arange(self.n)
 
 
-_RINGS = [np.array([sum(1 << i for i in c) for c in combinations(range(PIECE), s)], dtype=np.uint8) for s in range(PIECE + 1)]
+def _ring(low: int, high: int) -> np.ndarray:
+    """Substring differences of ``low`` to ``high`` bits."""
+    return np.array([sum(1 << i for i in c) for s in range(low, high + 1) for c in combinations(range(PIECE), s)], dtype=np.uint8)
+
+
+#: (bits, differences up to them that the ring before does not hold)
+_RINGS = [(0, _ring(0, 0)), (1, _ring(1, 1)), (3, _ring(2, 3)), (5, _ring(4, 5)), (PIECE, _ring(6, PIECE))]
 
 
 def _dealt(n: int, size: int, seed: int) -> Column:
