@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,7 +97,7 @@ class Words:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().split()
 
 
-def chunks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Parts of a binary column of about ``most`` bytes (one document at least): from row, to row, bytes, offsets."""
     if not len(column):
         return
@@ -110,6 +111,14 @@ def chunks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int,
         hi = min(hi, len(column))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the machine, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 # ------------------------------------------------------------------ groups of a sorted partition

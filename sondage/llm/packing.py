@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +18,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sondage.llm.common import LOWER, Words, chunks, documents, held
+from sondage.llm.common import LOWER, Words, chunks, documents, held, release
 
 # ------------------------------------------------------------------ tokens
 
-#: Most words and most stems a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
-STEMS = 500_000
+#: Most words and most stems that a task remembers; beyond it the memory starts anew, and it ends with the task.
+REMEMBERED = 600_000
+STEMS = 150_000
 #: A word of plain letters and then plain signs is cut between them by the tokenizer too, so both parts are encoded once each.
 _PARTS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?&#$%*|()]*)")
 _WORKER: dict[str, WordTokens] = {}
@@ -38,7 +40,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.stems: dict[bytes, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.stems: dict[bytes, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -55,7 +60,7 @@ class WordTokens:
         for lo in range(0, len(parts), 4096):
             some = parts[lo : lo + 4096]
             for part, got in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
-                self.stems[part] = np.array(got.ids, dtype=np.uint32)
+                self.stems[part] = array("I", got.ids).tobytes()
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         if len(self.hashes) + len(words) > REMEMBERED:
@@ -64,11 +69,9 @@ class WordTokens:
             self.stems = {}
         split = [m.groups() if (m := _PARTS.fullmatch(w)) else (w, b"") for w in words]
         self._encoded(list({x for pair in split for x in pair if x}.difference(self.stems)))
-        none = np.zeros(0, dtype=np.uint32)
-        parts = [x for pair in split for x in pair]
-        ids = [self.stems[x] if x else none for x in parts]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)).reshape(-1, 2).sum(axis=1)
-        new = np.concatenate(ids) if ids else none
+        ids = [self.stems[x] if x else b"" for pair in split for x in pair]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)).reshape(-1, 2).sum(axis=1) // 4
+        new = np.frombuffer(b"".join(ids), dtype=np.uint32)
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(new)] = new
@@ -117,6 +120,12 @@ def token_ids(texts: pa.Array, path: str, end: int) -> Iterator[np.ndarray]:
                 yield ids[bounds[k] : bounds[k + 1]]
 
 
+def _end_of_task() -> None:
+    for known in _WORKER.values():
+        known.forget()
+    release()
+
+
 def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, ids: bool = False) -> DataFrame:
     """Pieces of every document: its ids and then ``end``, cut every ``size`` tokens.
 
@@ -148,6 +157,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, ids: bool
             cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(nth)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             yield pa.record_batch(cols + ([pa.array(tokens, pa.list_(pa.int64()))] if ids else []), names=names + ["ids"] * ids)
+        _end_of_task()
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     return documents(docs).mapInArrow(run, kinds + (", ids array<long>" if ids else ""))
@@ -226,7 +236,7 @@ def fillings(room: int, left: dict[int, int], lengths: list[int], waste: int, mo
     def descend(space: int, top: int) -> None:
         nonlocal nodes
         nodes -= 1
-        if space <= waste and not any(n <= space and left[n] > used.get(n, 0) for n in lengths[: bisect_right(lengths, space)]):
+        if space <= waste and not any(left[lengths[i]] > used.get(lengths[i], 0) for i in range(bisect_right(lengths, space))):
             found.append((space, len(own), list(own)))
         for i in range(min(top, bisect_right(lengths, space) - 1), -1, -1):
             if nodes <= 0:
@@ -287,21 +297,28 @@ def search(histogram: dict[int, int], size: int, bins: int, nodes: int) -> list[
     return None
 
 
-def plan(histogram: dict[int, int], size: int = 2048, budget: int = 3_000) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], size: int = 2048, budget: int = 3_000, part: int = 150) -> list[tuple[list[int], int]]:
     """(lengths of one sequence, how many such sequences) that use every piece of the histogram exactly once.
 
     First the incumbent: the largest piece left is completed by ``completion``, and the filling found is repeated while the counts
-    last. If it needs more sequences than the lower bound, ``search`` tries for fewer, from the bound upwards, within
-    ``budget`` steps in all.
+    last. If it needs more sequences than the lower bound, ``search`` repacks the pieces of the ``part`` sequences that waste most,
+    for fewer sequences, from the bound upwards; the others are full or nearly so and stay.
     """
     made = _incumbent(histogram, size, budget)
     used, low = sum(times for _, times in made), least_bins(histogram, size)
-    for bins in range(low, used):
-        better = search(histogram, size, bins, budget // max(1, min(used - low, 4)))
+    if used == low:
+        return made
+    kept, loose = [], []
+    for own, times in sorted(made, key=lambda m: sum(m[0])):
+        take = min(times, part - len(loose))
+        loose += [own] * take
+        if times > take:
+            kept.append((own, times - take))
+    pieces_ = Counter(n for own in loose for n in own)
+    for fewer in range(min(used - low, 3), 0, -1):
+        better = search(dict(pieces_), size, len(loose) - fewer, budget // 6)
         if better is not None:
-            return [(own, 1) for own in better]
-        if bins - low >= 3:
-            break
+            return [*kept, *((own, 1) for own in better)]
     return made
 
 
