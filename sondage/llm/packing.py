@@ -22,7 +22,7 @@ from sondage.llm.common import LOWER, Words, chunks, documents, held, release
 
 # ------------------------------------------------------------------ tokens
 
-#: Most words and most stems that a task remembers; beyond it the memory starts anew, and it ends with the task.
+#: Most words and most stems that a task remembers; beyond it the memory starts anew with the words of the chunk in hand, and it ends with the task.
 REMEMBERED = 600_000
 STEMS = 150_000
 #: A word of plain letters and then plain signs is cut between them by the tokenizer too, so both parts are encoded once each.
@@ -63,8 +63,6 @@ class WordTokens:
                 self.stems[part] = array("I", got.ids).tobytes()
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        if len(self.hashes) + len(words) > REMEMBERED:
-            self._forget()
         if len(self.stems) > STEMS:
             self.stems = {}
         split = [m.groups() if (m := _PARTS.fullmatch(w)) else (w, b"") for w in words]
@@ -89,13 +87,11 @@ class WordTokens:
         i = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         new = np.flatnonzero(self.hashes[i] != hashes) if len(self.hashes) else np.arange(len(hashes))
         if len(new):
+            if len(self.hashes) + len(new) > REMEMBERED:  # starts anew, with all words of this chunk whatever their number
+                self._forget()
+                new = np.arange(len(hashes))
             spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
-            before = len(self.hashes)
             self._learn(hashes[new], [data[a:z].tobytes() for a, z in spans])
-            if len(self.hashes) != before + len(new):  # the memory started anew
-                known = np.isin(hashes, hashes[new])
-                spans = zip(words.starts[first[~known]].tolist(), words.ends[first[~known]].tolist())
-                self._learn(hashes[~known], [data[a:z].tobytes() for a, z in spans])
             i = np.searchsorted(self.hashes, hashes)
         at, size = self.at[i][which], self.size[i][which]
         upto = np.concatenate([[0], np.cumsum(size)])

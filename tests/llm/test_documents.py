@@ -208,3 +208,13 @@ def test_plan_uses_every_piece_once(lengths):
         else:
             greedy.append(64 - n)
     assert sum(t for _, t in made) <= len(greedy) + 1
+
+
+def test_a_text_of_more_words_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    known = packing.WordTokens(VOCABULARY)
+    texts = ["some words that come first", " ".join(f"w{i}x some" for i in range(200)), "words after the long text"]
+    for text in texts:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        ids, bounds = known.ids(data, np.array([0, len(data)]), 0)
+        assert ids.tolist() == [*known.whole(text.encode()).tolist(), 0] and bounds.tolist() == [0, len(ids)]
