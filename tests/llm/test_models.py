@@ -119,6 +119,36 @@ def test_toxicity_catches_disguises_and_spares_clean_texts(spark):
     assert all(got[i].held_out == (crc(i, 3) == 1) for i in got)
 
 
+@pytest.mark.parametrize("every", [2, 3])
+def test_toxicity_where_many_labels_are_toxic(spark, every):
+    rng = np.random.default_rng(1)
+    docs, labels = [], []
+    for i in range(600):
+        w = list(rng.choice([f"word{k}" for k in range(50)], 40))
+        if i % every == 0:
+            w[rng.integers(40)] = "stupid"
+        elif i % 3 == 1:
+            w[rng.integers(40)] = "harmless"
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % every == 0)))
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert sum(r.predicted == (r.doc_id % every == 0) for r in got) >= 590
+
+
+def test_toxicity_adds_up_moderately_telling_words(spark):
+    rng = np.random.default_rng(2)
+    docs, labels = [], []
+    for i in range(1_500):
+        toxic = i % 2 == 0
+        told = [w for w in ("nasty", "rotten", "filthy", "dirty", "ugly", "foul") if rng.random() < (0.6 if toxic else 0.3)]
+        docs.append((i, " ".join([*rng.choice([f"word{k}" for k in range(50)], 20), *told])))
+        labels.append((i, 1, int(toxic)))
+    docs += [(9_000, "word1 nasty rotten filthy dirty ugly foul"), (9_001, "word1 nasty"), (9_002, "word1 word2")]
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("doc_id >= 9000")
+    score = {r.doc_id: r.score for r in got.collect()}
+    assert score[9_000] >= 0.7 and score[9_000] > score[9_001] > score[9_002]
+
+
 def test_toxicity_on_edge_rows(spark):
     _, labels = toxic_tables(spark)
     assert len(toxicity.toxicity(edge.table(spark), labels).collect()) == len(edge.rows())
