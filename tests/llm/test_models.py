@@ -94,6 +94,27 @@ def test_disguised_words_are_restored(letters, seen, plain):
     assert toxicity.plain(seen, letters) == plain
 
 
+@pytest.mark.parametrize("seen,plain", [
+    ("m.o.ro.n", "moron"), ("st-u-pid", "stupid"), ("st.u.pid", "stupid"), ("s__c__u__m", "scum"), ("iddiioott", "idiot"), ("the", "the"), ("with/that", "with/that"), ("pass", "pass"),
+])
+def test_mixed_disguises_are_restored(letters, seen, plain):
+    words = {w: 5 for w in "loser idiot pathetic scum worthless moron trash clown disgusting stupid the of that with".split()}
+    known = toxicity.Letters(letters.cost, letters.single, words={w: math.log(14) for w in words})
+    assert toxicity.plain(seen, known) == plain
+    if plain.isalpha():
+        assert toxicity.plain(seen, letters) == plain
+
+
+def test_pieces_between_blanks_and_mixed_disguises_score(spark):
+    docs, labels = toxic_tables(spark)
+    model = toxicity.learn(docs, labels)
+    texts = ["so st u pid word1", "word2 stu pid", "s tu p id", "sst-uu.pid word3", "ssttuuppiidd", "it is of a st word1", "word1 word2"]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id for r in got if r.score >= 0.7} == {0, 1, 2, 3, 4}
+    back = toxicity.restore(spark.createDataFrame([(1, "so st u pid, thing")], "doc_id long, text string"), model).first()
+    assert back.restored == "so stupid thing"
+
+
 def toxic_tables(spark, n=400):
     rng = np.random.default_rng(0)
     words = [f"word{i}" for i in range(50)]
