@@ -209,8 +209,8 @@ def frequency_table(df: DataFrame, col: str) -> DataFrame:
 def crosstab(df: DataFrame, r: str, c: str, wide: bool = False, zeros: bool = False) -> DataFrame:
     """Counts of the (r, c) value pairs that occur; rows with a NULL in either are dropped.
 
-    ``zeros`` adds the pairs that do not occur, and ``wide`` makes every value of ``c`` a column (which implies them): the levels of
-    ``c`` are then gathered, as they become the width of the result.
+    ``zeros`` adds the pairs that do not occur, from the product of both columns' distinct values. ``wide`` makes every value of
+    ``c`` a column (which implies them): the levels of ``c`` are then gathered, as they become the width of the result.
     """
     pairs = df.na.drop(subset=[r, c]).groupBy(quoted(r), quoted(c).cast("string").alias(c)).agg(F.count(F.lit(1)).alias("count"))
     if not (wide or zeros):
@@ -218,9 +218,9 @@ def crosstab(df: DataFrame, r: str, c: str, wide: bool = False, zeros: bool = Fa
     if wide:
         levels = [x[0] for x in pairs.select(quoted(c)).distinct().orderBy(quoted(c)).collect()]
         return pairs.groupBy(quoted(r)).pivot(c, levels).agg(F.sum("count")).na.fill(0)
-    levels = pairs.agg(F.array_sort(F.collect_set(quoted(c)))).scalar()
-    cells = pairs.groupBy(quoted(r)).agg(F.map_from_entries(F.collect_list(F.struct(quoted(c), "count"))).alias("_m"))
-    return cells.select(quoted(r), "_m", F.explode(levels).alias(c)).select(quoted(r), quoted(c), F.coalesce(F.try_element_at("_m", quoted(c)), F.lit(0)).alias("count"))
+    cells = pairs.select(quoted(r)).distinct().crossJoin(pairs.select(quoted(c)).distinct())
+    empty = cells.select(quoted(r), quoted(c), F.lit(0).cast("long").alias("count"))
+    return empty.unionByName(pairs).groupBy(quoted(r), quoted(c)).agg(F.sum("count").alias("count"))
 
 
 def counts_over_time(df: DataFrame, date: str, cat: str) -> DataFrame:

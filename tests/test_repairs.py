@@ -115,3 +115,11 @@ def test_findings_cover_every_column(spark):
     assert {r["column"] for r in issues} == set(names)
     assert {r["column"] for r in quality.root_causes(df, types).where("factor = 'extreme values'").collect()} == set(names)
     assert quality.detect_issues(df, types, most=3).count() == 3
+
+
+def test_crosstab_with_zeros_gathers_no_levels(rows):
+    df = rows([("a", 1), ("a", 2), ("b", 3), ("b", 3), (None, 4), ("c", None)], "x string, y int")
+    made = relational.crosstab(df, "x", "y", zeros=True)
+    want = {("a", "1"): 1, ("a", "2"): 1, ("b", "3"): 2, ("a", "3"): 0, ("b", "1"): 0, ("b", "2"): 0}
+    assert {(r[0], r[1]): r[2] for r in made.collect()} == want and made.count() == len(want)
+    assert "collect_" not in made._jdf.queryExecution().optimizedPlan().toString()
