@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sondage.llm import crosspolytope, mixing, multiindex, packing, pitmanyor, quality, simhash, substring, toxicity, urls
+from sondage.llm import crosspolytope, mixing, multiindex, packing, periodicity, pitmanyor, prefixtable, quality, simhash, substring, toxicity, turns, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,36 @@ copies AS (
 SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, round(rate, 6) AS rate,
   substr(md5('42#:' || doc_id || ':' || copy), 1, 16) AS shuffle_key, md5(text) AS text_md5
 FROM copies"""
+
+
+@query
+def op11_conversation_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired form of every conversation, after the set damage."""
+    rows = table(spark, folder, "conversations")
+    return turns.report(turns.damaged(rows), every=rows)
+
+
+@query
+def op12_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    import public_tokenizers
+
+    coded = prefixtable.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Number, longest and digests of every document's runs, after the set repetitions, and the digest of the text without them."""
+    found = periodicity.collapse(table(spark, folder, "documents"), plant=periodicity.planted_repeats, least=6, power=4)
+    best = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.p").alias("period"),
+        F.expr("(-1000 * best.l) div best.p").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
