@@ -407,6 +407,36 @@ def _features(o: DataFrame) -> DataFrame:
 register("fit_default_regression", "planted", lambda p: M.metrics_table(M.fit_default(p.select("event_id", "x", "event_type", "x_noisy"), "x_noisy", key="event_id"), p))
 register("fit_default_classification", "lineitem", lambda l: M.metrics_table(
     M.fit_default(l.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_linestatus"), "l_linestatus", key=["l_orderkey", "l_partkey"], trees=20), l))
+_THREE = "CASE WHEN value < 30 THEN 'low' WHEN value < 60 THEN 'middle' ELSE 'top' END"
+
+
+def _three(e: DataFrame) -> DataFrame:
+    """Events with a class that follows from ``value``, one in eleven of the next class."""
+    return e.selectExpr("event_id", "value", "user_id", f"CASE WHEN event_id % 11 = 4 THEN 'low' ELSE {_THREE} END AS band")
+
+
+def _three_predicted(e: DataFrame) -> DataFrame:
+    model = M.fit_default(_three(e), "band", key="event_id", features=["value", "user_id"])
+    out = M.predict_table(model, _three(e), probabilities=True)
+    total = F.aggregate(F.map_values("Probabilities_band"), F.lit(0.0), lambda a, x: a + x)
+    return out.select("event_id", "value", "band", "Predicted_band", F.col("Probabilities_band")[F.col("Predicted_band")].alias("p"), total.alias("total"))
+
+
+register(
+    "boosting_three_classes", "events",
+    lambda e: _three_predicted(e).groupBy("band").agg(
+        F.count(F.lit(1)).alias("rows"), (F.avg((F.col("Predicted_band") == F.expr(_THREE)).cast("int")) > 0.95).alias("found"),
+        F.bool_and(F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"), F.bool_and(F.col("p") > 0.34).alias("surest_wins"),
+    ),
+    f"""SELECT band, count(*) AS rows, true AS found, true AS sums_to_one, true AS surest_wins
+    FROM (SELECT CASE WHEN event_id % 11 = 4 THEN 'low' ELSE {_THREE} END AS band FROM events) GROUP BY band""",
+)
+register(
+    "compare_models_three_classes", "events",
+    lambda e: M.compare_models(_three(e), "band", "Classification", key="event_id", features=["value"], trees=10, boost=5)
+    .where("metric = 'accuracy'").select("model", (F.col("value") > F.when(F.col("model") == "Logistic Regression", 0.6).otherwise(0.85)).alias("good")),
+    "SELECT unnest(['Logistic Regression', 'Random Forest', 'Gradient Boosting']) AS model, true AS good",
+)
 register("compare_models", "planted", lambda p: M.compare_models(p.select("event_id", "x", "event_type", "x_noisy"), "x_noisy", key="event_id", trees=100, boost=100))
 
 

@@ -9,9 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -146,11 +147,38 @@ def _fit(df: DataFrame, target: str, problem: str, features: list[str], estimato
     return FittedModel(model, target, problem, features, _metrics(model.transform(test), problem), labels, {})
 
 
+def boosting(classes: int, rounds: int, seed: int = 42):
+    """Gradient boosting for a target of ``classes`` classes.
+
+    Two classes are one chain of trees. More are one chain against the rest for each class, fitted a few at a time; the class
+    with the largest margin wins, and :func:`class_probabilities` normalises the margins jointly.
+    """
+    one = GBTClassifier(maxIter=rounds, seed=seed)
+    return one if classes <= 2 else OneVsRest(classifier=one, parallelism=min(classes, 4))
+
+
+def class_probabilities(classes: int) -> Column:
+    """Probability of every class, in label order, from the margins (``rawPrediction``) of a fitted :func:`boosting`.
+
+    A chain's margin m stands for the odds exp(2m) of its class, as its logistic loss has it; the chances of all classes are
+    then brought to a sum of one.
+    """
+    chances = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+    if classes <= 2:
+        return chances  # the two margins of one chain are each other's negative
+    total = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(chances, lambda x: F.coalesce(F.try_divide(x, total), F.lit(1.0 / classes)))
+
+
+def _classes(rows: DataFrame, target: str) -> int:
+    return rows.agg(F.count_distinct(quoted(target))).first()[0]
+
+
 def fit_default(
     df: DataFrame, target: str | None = None, key: str | Sequence[str] | None = None,
     features: Sequence[str] | None = None, max_features: int | None = None, category_cap: int = 20, trees: int = 20, seed: int = 42,
 ) -> FittedModel:
-    """Default model: 20-tree depth-5 forest for regression, 20-iteration boosting for two classes (a forest for more).
+    """Default model: 20-tree depth-5 forest for regression, 20-iteration boosting for any number of classes.
 
     Trained on all complete rows; ``max_features`` optionally limits the predictors to the first ones.
     """
@@ -163,10 +191,8 @@ def fit_default(
     prep = build_features(rows, features, category_cap)
     if problem == REGRESSION:
         estimator = RandomForestRegressor(numTrees=trees, maxDepth=5, seed=seed)
-    elif rows.select(quoted(target)).distinct().limit(3).count() <= 2:
-        estimator = GBTClassifier(maxIter=trees, seed=seed)
     else:
-        estimator = RandomForestClassifier(numTrees=trees, maxDepth=5, seed=seed)
+        estimator = boosting(_classes(rows, target), trees, seed)
     model = _fit(rows, target, problem, features, estimator, key, prep)
     model.defaults = _defaults(rows, features)
     return model
@@ -201,7 +227,6 @@ def compare_models(
     features = list(features or [c for c in df.columns if c not in skip])
     rows = df.where(quoted(target).isNotNull())
     n = max(rows.count(), 1)  # a penalty of one on the sum of losses is one of 1/n on their mean
-    two = problem != REGRESSION and rows.select(quoted(target)).distinct().limit(3).count() <= 2
     if problem == REGRESSION:
         models = {
             "Ridge": LinearRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False),
@@ -212,9 +237,8 @@ def compare_models(
         models = {
             "Logistic Regression": LogisticRegression(maxIter=500, regParam=1.0 / n, standardization=False),
             "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed),
+            "Gradient Boosting": boosting(_classes(rows, target), boost, seed),
         }
-        if two:
-            models["Gradient Boosting"] = GBTClassifier(maxIter=boost, seed=seed)
     prep = build_features(rows, features, category_cap=None)
     main = "r2" if problem == REGRESSION else "accuracy"
     out = []
@@ -229,8 +253,13 @@ def compare_models(
     return table_of(df, out, "model string,metric string,value double,best boolean")
 
 
-def predict_table(model: FittedModel, df: DataFrame, defaults: Mapping[str, object] | None = None) -> DataFrame:
-    """Batch prediction: the input columns plus ``Predicted_<target>``; absent features take their defaults."""
+def predict_table(
+    model: FittedModel, df: DataFrame, defaults: Mapping[str, object] | None = None, probabilities: bool = False
+) -> DataFrame:
+    """Batch prediction: the input columns plus ``Predicted_<target>``; absent features take their defaults.
+
+    With ``probabilities`` a boosted classifier adds ``Probabilities_<target>``, a map from class to its probability.
+    """
     filled = df
     values = {**model.defaults, **(defaults or {})}
     for c in model.features:
@@ -243,7 +272,13 @@ def predict_table(model: FittedModel, df: DataFrame, defaults: Mapping[str, obje
     value = F.col(PREDICTION)
     if model.labels is not None:
         value = F.get(F.array(*[F.lit(v) for v in model.labels]), F.col(PREDICTION).cast("int"))
-    return scored.select(*[quoted(c) for c in df.columns], value.alias(f"Predicted_{model.target}"))
+    more = []
+    if probabilities:
+        if model.labels is None or "rawPrediction" not in scored.columns:
+            raise ValueError("probabilities come with classification only")
+        names = F.array(*[F.lit(v) for v in model.labels])
+        more = [F.map_from_arrays(names, class_probabilities(len(model.labels))).alias(f"Probabilities_{model.target}")]
+    return scored.select(*[quoted(c) for c in df.columns], value.alias(f"Predicted_{model.target}"), *more)
 
 
 # ------------------------------------------------------------------ clusters

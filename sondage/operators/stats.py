@@ -7,7 +7,7 @@ the handful of aggregated numbers that define it.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -45,8 +45,70 @@ def _complete(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(x.alias("a"), y.alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
+#: Columns up to which products are summed by one expression for each pair; wider tables go by blocks.
+_NARROW = 16
+_BLOCK = 16
+
+
 def _pearson_all(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(ia, ib, r) of all column pairs over their pairwise complete rows; NULL where a column does not vary.
+    """(ia, ib, r) of all column pairs over their pairwise complete rows; NULL where a column does not vary."""
+    if len(cols) < 2:
+        return _stacked(df, [])
+    return _pearson_narrow(df, cols) if len(cols) <= _NARROW else _pearson_blocks(df, cols)
+
+
+def _pearson_blocks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Correlations of many columns from one pass over the rows, in a plan that does not grow with their number.
+
+    With values shifted by their means and gaps as zero (v), their squares (q) and marks of what is present (m), the products
+    v'm, q'm, m'm and v'v hold the sums, squares, counts and products of every pair's common rows. A task adds them up over its batches
+    and sends out square blocks, which are summed by block; the pairs are put together from the cells.
+    """
+    size = len(cols)
+    slim = df.select(*[as_double(quoted(c)).alias(f"x{i}") for i, c in enumerate(cols)])
+    means = slim.agg(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(size)]).first()
+    shift = np.array([means[f"m{i}"] for i in range(size)])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4 * size, size))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns]) - shift
+                m = ~np.isnan(v)
+                v[~m] = 0.0
+                m = m.astype(float)
+                total += np.concatenate([v.T @ m, (v * v).T @ m, m.T @ m, v.T @ v])
+        if total.any():
+            rows, width = -(-4 * size // _BLOCK), -(-size // _BLOCK)
+            padded = np.zeros((rows * _BLOCK, width * _BLOCK))
+            padded[: 4 * size, :size] = total
+            cells = padded.reshape(rows, _BLOCK, width, _BLOCK).transpose(0, 2, 1, 3).reshape(-1)
+            ends = np.arange(rows * width + 1, dtype=np.int32) * _BLOCK * _BLOCK
+            number = np.arange(rows * width, dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(cells))
+            yield pa.RecordBatch.from_arrays([pa.array(number // width), pa.array(number % width), lists], ["i", "j", "cells"])
+
+    blocks = slim.mapInArrow(products, "i int, j int, cells array<double>")
+    summed = blocks.groupBy("i", "j").agg(F.array(*[F.sum(F.get("cells", F.lit(k))) for k in range(_BLOCK * _BLOCK)]).alias("cells"))
+    cell = summed.select("i", "j", F.posexplode("cells").alias("k", "s")).select(
+        (F.col("i") * _BLOCK + F.floor(F.col("k") / _BLOCK)).alias("u"), (F.col("j") * _BLOCK + F.col("k") % _BLOCK).alias("b"), "s"
+    ).where((F.col("u") < 4 * size) & (F.col("b") < size)).select(F.floor(F.col("u") / size).alias("kind"), (F.col("u") % size).alias("a"), "b", "s")
+    of = lambda kind, first: F.max(F.when((F.col("kind") == kind) & ((F.col("a") < F.col("b")) == F.lit(first)), F.col("s")))
+    pairs = cell.where("a <> b").groupBy(F.least("a", "b").cast("int").alias("ia"), F.greatest("a", "b").cast("int").alias("ib")).agg(
+        of(0, True).alias("sa"), of(0, False).alias("sb"), of(1, True).alias("qa"), of(1, False).alias("qb"), of(2, True).alias("n"), of(3, True).alias("p")
+    )
+    every = df.sparkSession.range(size).select(F.col("id").cast("int").alias("ia"), F.explode(F.sequence(F.col("id") + 1, F.lit(size))).alias("ib"))
+    every = every.where(F.col("ib") < size).select("ia", F.col("ib").cast("int").alias("ib"))
+    n, a, b, aa, bb = F.nullif(F.col("n"), F.lit(0.0)), F.col("sa"), F.col("sb"), F.col("qa"), F.col("qb")
+    va, vb = aa - a * a / n, bb - b * b / n
+    r = F.try_divide(F.col("p") - a * b / n, F.sqrt(F.greatest(va, F.lit(0.0))) * F.sqrt(F.greatest(vb, F.lit(0.0))))
+    known = F.when((va > aa * 1e-12) & (vb > bb * 1e-12), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    return every.join(pairs, ["ia", "ib"], "left").select("ia", "ib", known.alias("r"))
+
+
+def _pearson_narrow(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Correlations of a few columns as one sum for each pair.
 
     A first aggregate finds each column's mean and gaps (one number per column).  The second
     sums products of mean-shifted values: one sum per pair of gap-free columns, six where
@@ -97,82 +159,127 @@ def _pearson_all(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return summed.select(F.explode(F.array(*parts, *missing)).alias("e")).select("e.*")
 
 
-def _ranks(counts: DataFrame, col: str, out: str) -> DataFrame:
-    """(col, _w, out): average rank of each distinct value, from the counts of values."""
-    per_value = materialize(counts.groupBy(col).agg(F.sum("n").alias("_w")))
-    upto = global_prefix(per_value, F.col("_w"), "_upto", col)
-    return upto.select(col, "_w", (F.col("_upto") - F.col("_w") + (F.col("_w") + 1) / 2).alias(out))
+def _pair_counts(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(pair, a, b, w): how often two values meet in the complete rows of each pair of columns, all pairs in one pass."""
+    x = [as_double(quoted(c)) + F.lit(0.0) for c in cols]  # one zero
+    entries = F.array(*[F.struct(F.lit(k).alias("pair"), x[i].alias("a"), x[j].alias("b")) for k, (i, j) in enumerate(pairs)])
+    cells = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return materialize(cells.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("w")))
+
+
+def _pair_ranks(counts: DataFrame, col: str, out: str) -> DataFrame:
+    """(pair, col, _n, out): average rank of each distinct value in its pair."""
+    per_value = materialize(counts.groupBy("pair", col).agg(F.sum("w").alias("_n")))
+    upto = global_prefix(per_value, F.col("_n"), "_upto", col, partition_by="pair")
+    return upto.select("pair", col, "_n", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
 
 
-def _spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(r, n): Pearson correlation of average ranks over the pairwise complete rows."""
-    counts = materialize(_complete(df, a, b).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-    with_a = attach(counts, _ranks(counts, "a", "ra"), ["a"], how="inner").drop("_w")
-    both = attach(with_a, _ranks(counts, "b", "rb"), ["b"], how="inner").drop("_w")
-    mid = (scalar_row(counts.agg(F.sum("n").alias("t")))["t"] + 1) / 2
-    centred = both.select("n", (F.col("ra") - mid).alias("x"), (F.col("rb") - mid).alias("y"))
-    n, x, y = F.col("n"), F.col("x"), F.col("y")
-    return centred.agg(
-        F.try_divide(F.sum(n * x * y), F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y))).alias("r"), F.sum(n).alias("n")
+def _spearman_pairs(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(pair, r, n): Pearson correlation of average ranks over the complete rows of each pair, all pairs in one chain of jobs."""
+    counts = _pair_counts(df, cols, pairs)
+    with_a = attach(counts, _pair_ranks(counts, "a", "ra"), ["pair", "a"], how="inner").drop("_n")
+    both = attach(with_a, _pair_ranks(counts, "b", "rb"), ["pair", "b"], how="inner").drop("_n")
+    total = counts.groupBy("pair").agg(((F.sum("w") + 1) / 2).alias("mid"))  # one row per pair
+    centred = both.join(F.broadcast(total), "pair").select("pair", "w", (F.col("ra") - F.col("mid")).alias("x"), (F.col("rb") - F.col("mid")).alias("y"))
+    w, x, y = F.col("w"), F.col("x"), F.col("y")
+    return centred.groupBy("pair").agg(
+        F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y))).alias("r"), F.sum(w).alias("n")
     )
 
 
-_CHUNK = 1_000_000
-_GRID = 2048
+def _spearman_whole(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(ia, ib, r) of columns without gaps: each value has one rank whatever the other column, so ranks are made once for each column."""
+    rows = df.select(*[(as_double(quoted(c)) + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)])
+    entries = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(f"x{i}").alias("a")) for i in range(len(cols))])
+    counts = rows.select(F.explode(entries).alias("e")).select("e.*").groupBy("pair", "a").agg(F.count(F.lit(1)).alias("w"))
+    table = materialize(_pair_ranks(counts, "a", "r"))
+    for i in range(len(cols)):
+        own = table.where(F.col("pair") == i).select(F.col("a").alias(f"x{i}"), "_n", F.col("r").alias(f"r{i}"))
+        rows = attach(rows, own, [f"x{i}"], weight="_n").drop(f"x{i}", "_n")
+    return _pearson_all(rows, [f"r{i}" for i in range(len(cols))])
 
 
-def _kendall_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(r): Kendall's tau-b over the pairwise complete rows.
+def _gap_free(df: DataFrame, cols: Sequence[str]) -> list[int]:
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(as_double(quoted(c))).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    return [i for i in range(len(cols)) if counted[f"n{i}"] == counted["rows"]]
+
+
+def _spearman_all(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(ia, ib, r): pairs of gap-free columns by one rank of each value, the others by ranks among their common rows."""
+    whole = _gap_free(df, cols)
+    parts = []
+    if len(whole) > 1:
+        place = F.array(*[F.lit(i) for i in whole])
+        ranked = _spearman_whole(df, [cols[i] for i in whole])
+        parts.append(ranked.select(F.get(place, F.col("ia")).alias("ia"), F.get(place, F.col("ib")).alias("ib"), "r"))
+    rest = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols)) if i not in whole or j not in whole]
+    if rest:
+        parts.append(_by_pair(df, rest, _spearman_pairs(df, cols, rest)))
+    return _stacked(df, parts)
 
-    Equal pairs are merged, then numbered in (a, b) and in (b, a) order, which turns ties
-    into non-inversions.  Discordant pairs are inversions between the two numberings: pairs
-    in different row *and* column blocks are counted on the block grid (at most 2048 x 2048
-    cells), pairs sharing a row block or a column block inside that block.  Blocks are exact
-    position ranges of equal size, so none is oversized whatever the values look like.
-    """
-    pairs = materialize(_complete(df, a, b).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
-    numbered = with_global_index(pairs, ["a", "b"], out="x")
-    numbered = materialize(with_global_index(numbered, ["b", "a"], out="y"))
-    t = numbered.agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("n")).first()
-    m, n = t["m"], t["n"] or 0
-    size = max(1, math.ceil(max(m / _GRID, min(_CHUNK, m / 8))))
-    cells = numbered.withColumn("xb", F.floor(F.col("x") / size)).withColumn("yb", F.floor(F.col("y") / size))
-
-    grid = cells.groupBy("xb", "yb").agg(F.sum("w").alias("w"))
-    across = grid.groupBy(F.lit(0).alias("g")).applyInPandas(_grid_inversions, "d double")
-    in_rows = cells.groupBy("xb").applyInPandas(lambda p: _block_inversions(p, None), "d double")
-    in_cols = cells.groupBy("yb").applyInPandas(lambda p: _block_inversions(p, "xb"), "d double")
-    discordant = across.unionByName(in_rows).unionByName(in_cols).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
-
-    w = F.col("w").cast("double")
-    tied = lambda key: scalar_row(
-        numbered.groupBy(key).agg(F.sum("w").alias("w")).agg(F.coalesce(F.sum(w * (w - 1) / 2), F.lit(0.0)).alias("t"))
-    )["t"]
-    both = scalar_row(numbered.agg(F.coalesce(F.sum(w * (w - 1) / 2), F.lit(0.0)).alias("t")))["t"]
-    total = n * (n - 1) / 2.0
-    tx, ty = tied("a"), tied("b")
-    concordant_minus = total - tx - ty + both - 2 * F.col("d")
-    return discordant.select(
-        F.try_divide(concordant_minus, F.sqrt(F.lit(total) - tx) * F.sqrt(F.lit(total) - ty)).alias("r")
-    )
 
+def _stacked(df: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """The union of the parts; without any, an empty (ia, ib, r)."""
+    if not parts:
+        return df.sparkSession.createDataFrame([], "ia int, ib int, r double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
-def _grid_inversions(cells: pd.DataFrame) -> pd.DataFrame:
-    """Weighted count of cell pairs with an earlier row block and a later column block."""
-    grid = np.zeros((int(cells["xb"].max()) + 1, int(cells["yb"].max()) + 1))
-    grid[cells["xb"].to_numpy(dtype=int), cells["yb"].to_numpy(dtype=int)] = cells["w"].to_numpy(dtype=float)
-    later = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1]
-    later = np.concatenate([later[:, 1:], np.zeros((grid.shape[0], 1))], axis=1)
-    earlier = np.concatenate([np.zeros((1, grid.shape[1])), np.cumsum(later, axis=0)[:-1]], axis=0)
-    return pd.DataFrame({"d": [float((grid * earlier).sum())]})
 
+def _by_pair(df: DataFrame, pairs: Sequence[tuple[int, int]], found: DataFrame) -> DataFrame:
+    """(ia, ib, r) of every pair, NULL where it has no complete row."""
+    entries = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(i).alias("ia"), F.lit(j).alias("ib")) for k, (i, j) in enumerate(pairs)])
+    names = df.sparkSession.range(1).select(F.explode(entries).alias("e")).select("e.*")
+    return names.join(F.broadcast(found.select("pair", "r")), "pair", "left").select("ia", "ib", "r")  # one row per pair
 
-def _block_inversions(rows: pd.DataFrame, apart: str | None) -> pd.DataFrame:
-    """Weighted inversions inside a block; with ``apart``, only between rows that differ in that column."""
-    total = _inversions(rows)
-    if apart is not None:
-        total -= sum(_inversions(part) for _, part in rows.groupby(apart))
-    return pd.DataFrame({"d": [total]})
+
+#: Bits of a position that are left to one task: a group has 2^16 rows at most, whatever the table's size.
+_GROUP_BITS = 16
+
+
+def _kendall_pairs(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(pair, r): Kendall's tau-b over the complete rows of each pair, all pairs in one chain of jobs.
+
+    Equal pairs of values are merged, then numbered in (a, b) and in (b, a) order, which turns ties into non-inversions.
+    Discordant pairs are inversions of the two numberings, x and y. They are told apart by the highest bit in which their y differ:
+    where two y agree above bit k, one with the bit set that comes earlier in x is an inversion with each later one without it.
+    For a high bit that is a running sum over x of the rows with equal upper bits (bucketed, so no task holds such a group);
+    rows that agree above the low 16 bits are at most 65,536 and are counted together, bit by bit, in one task.
+    """
+    counts = _pair_counts(df, cols, pairs)
+    numbered = with_global_index(counts, ["a", "b"], "pair", out="x")
+    numbered = materialize(with_global_index(numbered, ["b", "a"], "pair", out="y"))
+    sizes = numbered.groupBy("pair").agg(F.count(F.lit(1)).alias("m"), F.sum("w").cast("double").alias("n"))
+    bits = int(sizes.agg(F.coalesce(F.max("m"), F.lit(1))).first()[0] - 1).bit_length()
+
+    low = numbered.withColumn("above", F.shiftright("y", _GROUP_BITS)).select("pair", "above", "x", "y", "w")
+    inside = low.groupBy("pair", "above").applyInPandas(_group_inversions, "pair int, d double")
+    parts = [inside]
+    if bits > _GROUP_BITS:
+        high = F.sequence(F.lit(_GROUP_BITS), F.lit(bits - 1))
+        spread = numbered.select("pair", "x", "y", "w", F.explode(high).alias("bit"))
+        spread = spread.withColumn("above", F.expr("shiftright(y, bit + 1)")).withColumn("on", F.expr("shiftright(y, bit) & 1"))
+        before = global_prefix(spread.drop("y"), F.col("w") * F.col("on"), "ones", "x", ["pair", "bit", "above"])
+        parts.append(before.where("on = 0").select("pair", (F.col("w").cast("double") * F.col("ones")).alias("d")))
+    discordant = _stacked(df, parts).groupBy("pair").agg(F.sum("d").alias("d"))
+
+    def tied(*keys: str) -> DataFrame:
+        w = F.col("w").cast("double")
+        merged = numbered.groupBy("pair", *keys).agg(F.sum("w").alias("w")) if len(keys) == 1 else numbered
+        return merged.groupBy("pair").agg(F.sum(w * (w - 1) / 2).alias("t" + "".join(keys)))
+
+    known = sizes  # from here on one row per pair
+    for more in (discordant, tied("a"), tied("b"), tied("a", "b")):
+        known = known.join(F.broadcast(more), "pair", "left")
+    total = F.col("n") * (F.col("n") - 1) / 2
+    above = total - F.col("ta") - F.col("tb") + F.col("tab") - 2 * F.coalesce("d", F.lit(0.0))
+    return known.select("pair", F.try_divide(above, F.sqrt(total - F.col("ta")) * F.sqrt(total - F.col("tb"))).alias("r"), F.col("n").cast("long").alias("n"))
+
+
+def _group_inversions(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"pair": [int(rows["pair"].iloc[0])], "d": [_inversions(rows)]})
 
 
 def _inversions(rows: pd.DataFrame) -> float:
@@ -192,19 +299,17 @@ def _inversions(rows: pd.DataFrame) -> float:
     return total
 
 
+def _kendall_all(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(ia, ib, r) of all column pairs."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return _by_pair(df, pairs, _kendall_pairs(df, cols, pairs)) if pairs else _stacked(df, [])
+
+
 def corr_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
     """(ia, ib, a, b, r): unrounded correlation of every column pair, upper triangle."""
     cols = list(cols)
     names = F.array(*[F.lit(c) for c in cols])
-    if method == "pearson":
-        t = _pearson_all(df, cols)
-    else:
-        make = {"spearman": _spearman_pair, "kendall": _kendall_pair}[method]
-        t = None
-        for i in range(len(cols)):
-            for j in range(i + 1, len(cols)):
-                one = make(df, cols[i], cols[j]).select(F.lit(i).alias("ia"), F.lit(j).alias("ib"), "r")
-                t = one if t is None else t.unionByName(one)
+    t = {"pearson": _pearson_all, "spearman": _spearman_all, "kendall": _kendall_all}[method](df, cols)
     return t.select("ia", "ib", F.get(names, F.col("ia")).alias("a"), F.get(names, F.col("ib")).alias("b"), "r")
 
 
@@ -251,8 +356,8 @@ def corr_test(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFra
         n = _complete(df, a, b).agg(F.count(F.lit(1)).alias("n"))
         row = _pearson_all(df, [a, b]).select("r", scalar_row(n)["n"].alias("n")).first()
     else:
-        row = _spearman_pair(df, a, b).first()
-    r, n = row["r"], row["n"]
+        row = _spearman_pairs(df, [a, b], [(0, 1)]).first()
+    r, n = (row["r"], row["n"]) if row else (None, 0)
     if r is None or n < 3:
         p = None
     elif abs(r) >= 1.0:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,13 +72,13 @@ def test_kendall_and_spearman_brute_force(rows, seed):
     num = sum(sign(p[0] - q[0]) * sign(p[1] - q[1]) for p in pairs for q in pairs)
     dx = sum(abs(sign(p[0] - q[0])) for p in pairs for q in pairs)
     dy = sum(abs(sign(p[1] - q[1])) for p in pairs for q in pairs)
-    assert T._kendall_pair(df, "a", "b").first()["r"] == pytest.approx(num / math.sqrt(dx * dy))
+    assert T.corr_pairs(df, ["a", "b"], "kendall").first()["r"] == pytest.approx(num / math.sqrt(dx * dy))
 
     def ranks(values):
         return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
 
     r = np.corrcoef(ranks([p[0] for p in pairs]), ranks([p[1] for p in pairs]))[0, 1]
-    assert T._spearman_pair(df, "a", "b").first()["r"] == pytest.approx(r)
+    assert T.corr_pairs(df, ["a", "b"], "spearman").first()["r"] == pytest.approx(r)
 
 
 def test_shapiro_known_weights(rows):
@@ -112,3 +113,60 @@ def test_perfect_and_constant_correlation(rows):
     df = rows([(float(i), 2.0 * i, 5.0, None if i % 2 else 1.0) for i in range(10)], "a double, b double, c double, d double")
     got = {(r["a"], r["b"]): r["r"] for r in T.corr_matrix(df, ["a", "b", "c", "d"]).collect()}
     assert got["a", "b"] == 1.0 and got["a", "c"] is None and got["c", "c"] is None and got["a", "d"] is None
+
+
+def _plain_rank_corr(table, method):
+    """Upper triangle of pandas' own pairwise-complete matrix."""
+    full = pd.DataFrame(table).corr(method=method)
+    return {(i, j): full.iloc[i, j] for i in range(len(full)) for j in range(i + 1, len(full))}
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
+def test_all_pairs_at_once(spark, monkeypatch, method):
+    """Columns with ties, gaps, opposite signs, one constant and one empty, against a plain pairwise matrix."""
+    rng = np.random.default_rng(4)
+    n = 90
+    table = {f"c{i}": rng.integers(0, 4 + 9 * i, n).astype(float) for i in range(4)}
+    table["gaps"] = np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n))
+    table["more gaps"] = np.where(rng.random(n) < 0.5, np.nan, -table["c3"])
+    table["one"], table["none"] = np.ones(n), np.full(n, np.nan)
+    df = spark.createDataFrame(pd.DataFrame(table)).repartition(3)
+    if method == "kendall":
+        want = {}
+        cols = list(table)
+        for i in range(len(cols)):
+            for j in range(i + 1, len(cols)):
+                a, b = table[cols[i]], table[cols[j]]
+                ok = ~(np.isnan(a) | np.isnan(b))
+                sa, sb = (np.sign(v[ok][:, None] - v[ok][None, :]) for v in (a, b))
+                down = math.sqrt(np.abs(sa).sum() * np.abs(sb).sum())
+                want[i, j] = (sa * sb).sum() / down if down else math.nan
+    else:
+        want = _plain_rank_corr(table, method)
+    for narrow, bits in ((16, 16), (2, 3)):
+        monkeypatch.setattr(T, "_NARROW", narrow)
+        monkeypatch.setattr(T, "_GROUP_BITS", bits)
+        got = {(r["ia"], r["ib"]): r["r"] for r in T.corr_pairs(df, list(table), method).collect()}
+        assert set(got) == set(want)
+        for k, v in want.items():
+            assert (got[k] is None) if math.isnan(v) else got[k] == pytest.approx(v, abs=1e-9), (k, got[k], v)
+
+
+def test_three_hundred_columns_in_one_small_plan(spark):
+    rng = np.random.default_rng(5)
+    wide = rng.normal(size=(60, 300))
+    wide[:, 7] = -3 * wide[:, 290] + 1
+    df = spark.createDataFrame(pd.DataFrame(wide, columns=[f"c{i}" for i in range(300)])).repartition(2)
+    out = T.corr_pairs(df, df.columns)
+    got = {(r["ia"], r["ib"]): r["r"] for r in out.collect()}
+    want = np.corrcoef(wide, rowvar=False)
+    assert len(got) == 300 * 299 // 2 and got[7, 290] == pytest.approx(-1.0)
+    assert max(abs(got[i, j] - want[i, j]) for i, j in got) < 1e-9
+
+
+def test_rank_correlation_without_rows_or_pairs(spark):
+    empty = spark.createDataFrame([], "a double, b double")
+    for method in ("pearson", "spearman", "kendall"):
+        assert [r["r"] for r in T.corr_pairs(empty, ["a", "b"], method).collect()] == [None]
+        assert T.corr_pairs(empty, ["a"], method).count() == 0
+    assert T.corr_test(empty, "a", "b", "spearman").first()["r"] is None

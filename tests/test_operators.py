@@ -274,3 +274,14 @@ def test_row_facts_flag_extremes(rows):
     assert got[0, "v"]["flag"] == "HIGH" and got[5, "v"]["flag"] == "normal" and got[0, "s"]["flag"] == "missing"
     compared = {r["column"]: r for r in I.row_comparison(df, "k", [4, 8], {"k": "numeric", "v": "numeric", "s": "categorical"}).collect()}
     assert compared["v"]["verdict"] == "consistent" and compared["k"]["delta"] == 4.0
+
+
+def test_boosting_of_ten_classes(rows):
+    """Ten bands of one column with gaps, and a class that is rare; every prediction is a known class and chances sum to one."""
+    data = [(i, float(i % 30) if i % 13 else None, f"band {i % 30 // 3}") for i in range(900)] + [(2000 + i, 29.5, "rare, 'quoted'") for i in range(40)]
+    df = rows(data, "id int, x double, band string")
+    model = M.fit_default(df.where("x is not null"), "band", key="id", features=["x"], trees=3)
+    out = M.predict_table(model, df.drop("band"), probabilities=True).collect()
+    truth, known = {r[0]: r[2] for r in data}, {r[2] for r in data}
+    assert len(out) == len(data) and all(r["Predicted_band"] == truth[r["id"]] for r in out if r["x"] is not None)
+    assert all(set(r["Probabilities_band"]) == known and abs(sum(r["Probabilities_band"].values()) - 1) < 1e-9 for r in out)

@@ -130,11 +130,12 @@ def test_semi_join_filter_beyond_broadcast(rows, conf):
     assert filter_in(df, "k", wanted).count() == 20
 
 
-def test_kendall_blocks(spark, folder, monkeypatch):
+def test_kendall_by_high_bits(spark, folder, conf, monkeypatch):
+    conf(buckets=5)
     p = table(spark, folder, "planted")
-    whole = T._kendall_pair(p, "x_noisy", "x_tied").first()["r"]
-    monkeypatch.setattr(T, "_CHUNK", 37)
-    assert T._kendall_pair(p, "x_noisy", "x_tied").first()["r"] == pytest.approx(whole, abs=1e-12)
+    whole = T.corr_pairs(p, ["x_noisy", "x_tied"], "kendall").first()["r"]
+    monkeypatch.setattr(T, "_GROUP_BITS", 4)
+    assert T.corr_pairs(p, ["x_noisy", "x_tied"], "kendall").first()["r"] == pytest.approx(whole, abs=1e-12)
 
 
 @pytest.mark.parametrize(
