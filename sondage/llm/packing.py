@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -167,35 +167,31 @@ def completion(room: int, left: dict[int, int], lengths: list[int], budget: int)
 
     Branch and bound: fillings are enumerated largest first, so one that another dominates (the same room in more and smaller
     pieces) comes later and only replaces the incumbent if it wastes less. The incumbent starts as the best fit. A branch ends
-    where its room is below the least length, or cannot lower the incumbent's waste. ``budget`` bounds the nodes; the
+    where its room is below the least length, or cannot lower the incumbent's waste. All pieces of a length are taken at once, so
+    a branch is as deep as there are different lengths in a sequence (63 of 2,048 tokens). ``budget`` bounds the nodes; the
     incumbent then stands.
     """
-    best: list[int] = []
+    best: list[tuple[int, int]] = []
     waste = room
-    used: dict[int, int] = {}
-    stack: list[int] = []
+    stack: list[tuple[int, int]] = []
     nodes = budget
 
     def descend(space: int, top: int) -> None:
         nonlocal best, waste, nodes
         if space < waste:
             best, waste = list(stack), space
-        if not waste or nodes <= 0:
-            return
-        i = min(top, bisect_right(lengths, space) - 1)
-        while i >= 0 and waste and nodes > 0:
-            n = lengths[i]
+        for i in range(min(top, bisect_right(lengths, space) - 1), -1, -1):
             # all that is left of this length and below cannot fill what would still be wasted
-            if upto[i] < space - waste + 1:
+            if not waste or nodes <= 0 or upto[i] < space - waste + 1:
                 return
-            if left[n] > used.get(n, 0):
+            n = lengths[i]
+            for times in range(min(left[n], space // n), 0, -1):
                 nodes -= 1
-                used[n] = used.get(n, 0) + 1
-                stack.append(n)
-                descend(space - n, i)
+                stack.append((n, times))
+                descend(space - n * times, i - 1)
                 stack.pop()
-                used[n] -= 1
-            i -= 1
+                if not waste or nodes <= 0:
+                    return
 
     upto = []
     total = 0
@@ -203,7 +199,49 @@ def completion(room: int, left: dict[int, int], lengths: list[int], budget: int)
         total += n * left[n]
         upto.append(total)
     descend(room, len(lengths) - 1)
-    return best
+    return [n for n, times in best for _ in range(times)]
+
+
+def best_fit(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing over the histogram: each piece, longest first, goes to the fullest sequence that can hold it.
+
+    Sequences of equal room are alike, so they are kept as one group; a sequence that takes a piece is the fullest that can take the
+    next of that length, so it takes as many as it holds.
+    """
+    rooms: dict[int, list[list]] = {}
+    order: list[int] = []  # rooms in use, rising
+
+    def add(room: int, own: tuple, times: int) -> None:
+        if room not in rooms:
+            rooms[room] = []
+            insort(order, room)
+        rooms[room].append([own, times])
+
+    for n in sorted((n for n, c in histogram.items() if c > 0), reverse=True):
+        c = histogram[n]
+        while c:
+            i = bisect_left(order, n)
+            if i == len(order):
+                each = size // n
+                if c >= each:
+                    add(size - each * n, ((n, each),), c // each)
+                    c %= each
+                if c:
+                    add(size - c * n, ((n, c),), 1)
+                break
+            room = order[i]
+            own, times = rooms[room][-1]
+            each = min(room // n, c)
+            used = min(times, c // each)
+            rooms[room][-1][1] -= used
+            if not rooms[room][-1][1]:
+                rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room]
+                    del order[i]
+            add(room - each * n, (*own, (n, each)), used)
+            c -= each * used
+    return [([n for n, t in own for _ in range(t)], times) for group in rooms.values() for own, times in group]
 
 
 def least_bins(histogram: dict[int, int], size: int) -> int:
@@ -221,32 +259,75 @@ def least_bins(histogram: dict[int, int], size: int) -> int:
 
 
 def fillings(room: int, left: dict[int, int], lengths: list[int], waste: int, most: int = 24, nodes: int = 600) -> list[list[int]]:
-    """Up to ``most`` undominated fillings of ``room`` that waste at most ``waste``, least waste first, then fewest pieces.
-
-    A filling to which another piece could be added is dominated and left out.
-    """
-    found: list[tuple[int, int, list[int]]] = []
-    used: dict[int, int] = {}
-    own: list[int] = []
+    """Up to ``most`` undominated fillings of ``room`` that waste at most ``waste``, least waste first, then fewest pieces."""
+    found: list[tuple[int, int, list[tuple[int, int]]]] = []
+    own: list[tuple[int, int]] = []
 
     def descend(space: int, top: int) -> None:
         nonlocal nodes
         nodes -= 1
-        if space <= waste and not any(left[lengths[i]] > used.get(lengths[i], 0) for i in range(bisect_right(lengths, space))):
-            found.append((space, len(own), list(own)))
+        if space <= waste and not dominated(own, left, lengths, space):
+            found.append((space, sum(t for _, t in own), list(own)))
         for i in range(min(top, bisect_right(lengths, space) - 1), -1, -1):
-            if nodes <= 0:
-                return
             n = lengths[i]
-            if left[n] > used.get(n, 0):
-                used[n] = used.get(n, 0) + 1
-                own.append(n)
-                descend(space - n, i)
+            for times in range(min(left[n], space // n), 0, -1):
+                if nodes <= 0:
+                    return
+                own.append((n, times))
+                descend(space - n * times, i - 1)
                 own.pop()
-                used[n] -= 1
 
     descend(room, len(lengths) - 1)
-    return [f for _, _, f in sorted(found)[:most]]
+    return [[n for n, t in f for _ in range(t)] for _, _, f in sorted(found)[:most]]
+
+
+def dominated(own: list[tuple[int, int]], left: dict[int, int], lengths: list[int], waste: int) -> bool:
+    """Whether another filling is at least as good: a piece left out would fit in besides, or in the place of shorter ones.
+
+    A piece of length x may replace pieces that are together s long if s <= x <= s + waste; one piece must be shorter than x.
+    Then whatever is done with x elsewhere can be done with the pieces that it replaces.
+    """
+    taken = dict(own)
+    out = 0  # lengths of which a piece is left out, as bits
+    for n in lengths:
+        if left[n] > taken.get(n, 0):
+            out |= 1 << n
+    one, many = 0, 0  # sums of one piece, and of several
+    for n, times in own:
+        every, step = 1, 1
+        while times > 0:
+            k = min(step, times)
+            every |= every << n * k
+            times -= k
+            step *= 2
+        several = every & ~(1 | 1 << n)
+        many |= several | (one | many) << n | _spread(one | many, several)
+        one |= 1 << n
+    return bool(out & (_upto(1, waste) & ~1 | _upto(many, waste) | _upto(one << 1, waste - 1)))
+
+
+def _spread(sums: int, steps: int) -> int:
+    """Sums of one of each."""
+    out, n = 0, 0
+    while steps:
+        zeros = (steps & -steps).bit_length() - 1
+        n += zeros
+        out |= sums << n
+        steps >>= zeros + 1
+        n += 1
+    return out
+
+
+def _upto(sums: int, more: int) -> int:
+    """Sums and all that are larger by at most ``more`` (none if that is negative)."""
+    if more < 0:
+        return 0
+    width = 1
+    while width <= more:
+        k = min(width, more + 1 - width)
+        sums |= sums << k
+        width += k
+    return sums
 
 
 def search(histogram: dict[int, int], size: int, bins: int, nodes: int) -> list[list[int]] | None:
@@ -296,25 +377,28 @@ def search(histogram: dict[int, int], size: int, bins: int, nodes: int) -> list[
 def plan(histogram: dict[int, int], size: int = 2048, budget: int = 3_000, part: int = 150) -> list[tuple[list[int], int]]:
     """(lengths of one sequence, how many such sequences) that use every piece of the histogram exactly once.
 
-    First the incumbent: the largest piece left is completed by ``completion``, and the filling found is repeated while the counts
-    last. If it needs more sequences than the lower bound, ``search`` repacks the pieces of the ``part`` sequences that waste most,
-    for fewer sequences, from the bound upwards; the others are full or nearly so and stay.
+    The incumbent is the better of best-fit decreasing and of bin completion (the largest piece left is completed by ``completion``,
+    and the filling found is repeated while the counts last), so the plan never needs more sequences than best fit. While it needs more
+    than the lower bound, ``search`` repacks the pieces of the ``part`` sequences that waste most into fewer; passes are repeated until
+    one brings nothing. Sequences outside that part are full or nearly so and stay.
     """
-    made = _incumbent(histogram, size, budget)
+    made = min(best_fit(histogram, size), _incumbent(histogram, size, budget), key=lambda m: sum(times for _, times in m))
     used, low = sum(times for _, times in made), least_bins(histogram, size)
-    if used == low:
-        return made
-    kept, loose = [], []
-    for own, times in sorted(made, key=lambda m: sum(m[0])):
-        take = min(times, part - len(loose))
-        loose += [own] * take
-        if times > take:
-            kept.append((own, times - take))
-    pieces_ = Counter(n for own in loose for n in own)
-    for fewer in range(min(used - low, 3), 0, -1):
-        better = search(dict(pieces_), size, len(loose) - fewer, budget // 6)
-        if better is not None:
-            return [*kept, *((own, 1) for own in better)]
+    while used > low:
+        kept, loose = [], []
+        for own, times in sorted(made, key=lambda m: sum(m[0])):
+            take = min(times, part - len(loose))
+            loose += [own] * take
+            if times > take:
+                kept.append((own, times - take))
+        pieces_ = dict(Counter(n for own in loose for n in own))
+        for fewer in range(min(used - low, len(loose) - least_bins(pieces_, size), 3), 0, -1):
+            better = search(pieces_, size, len(loose) - fewer, budget // 6)
+            if better is not None:
+                made, used = [*kept, *((own, 1) for own in better)], used - fewer
+                break
+        else:
+            break
     return made
 
 

@@ -1,6 +1,8 @@
 """Near copies, repeated passages and packing against plain one-machine versions."""
 
 import hashlib
+import bisect
+import random
 import zlib
 from collections import Counter
 
@@ -200,14 +202,62 @@ def test_plan_uses_every_piece_once(lengths):
         for n in own:
             used[n] += times
     assert used == histogram
-    greedy = []
+    assert sum(t for _, t in made) <= greedy(lengths, 64)
+
+
+def greedy(lengths, size):
+    """Sequences that best-fit decreasing needs, piece by piece."""
+    rooms = []
     for n in sorted(lengths, reverse=True):
-        fit = [i for i, room in enumerate(greedy) if room >= n]
-        if fit:
-            greedy[min(fit, key=lambda i: greedy[i])] -= n
-        else:
-            greedy.append(64 - n)
-    assert sum(t for _, t in made) <= len(greedy) + 1
+        i = bisect.bisect_left(rooms, n)
+        room = rooms.pop(i) if i < len(rooms) else size
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
+@hyp(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=200))
+def test_best_fit_over_the_histogram(lengths):
+    made = packing.best_fit(dict(Counter(lengths)), 64)
+    used = Counter()
+    for own, times in made:
+        assert sum(own) <= 64 and times > 0
+        used.update({n: k * times for n, k in Counter(own).items()})
+    assert used == Counter(lengths) and sum(t for _, t in made) == greedy(lengths, 64)
+
+
+def test_dominated_fillings():
+    left = {5: 1, 3: 2, 2: 1, 9: 1}
+    assert packing.dominated([(3, 1)], left, [2, 3, 5, 9], 2)  # the 2 fits in besides
+    assert packing.dominated([(3, 1), (2, 1)], left, [2, 3, 5, 9], 0)  # the 5 does as well as 3 and 2
+    assert not packing.dominated([(5, 1)], left, [2, 3, 5, 9], 0)
+    assert packing.dominated([(3, 2)], {3: 2, 7: 1}, [3, 7], 1)
+    assert not packing.dominated([(3, 2)], {3: 2, 5: 1}, [3, 5], 1)
+
+
+@pytest.mark.parametrize("histogram", [{1: 3000}, {1: 5000, 3: 4000, 700: 9}, {2048: 3, 1: 1}, {}])
+def test_plans_of_many_short_pieces(histogram):
+    made = packing.plan(histogram, 2048)
+    used = Counter()
+    for own, times in made:
+        assert sum(own) <= 2048
+        used.update({n: k * times for n, k in Counter(own).items()})
+    assert used == Counter(histogram) and sum(t for _, t in made) == packing.least_bins(histogram, 2048)
+
+
+def test_plans_never_need_more_than_best_fit():
+    for low, high, n, seed in ((500, 1100, 3000, 1), (300, 700, 2000, 2), (1, 2048, 2500, 3), (600, 700, 1500, 4)):
+        rng = random.Random(seed)
+        lengths = [rng.randint(low, high) for _ in range(n)]
+        made = packing.plan(dict(Counter(lengths)), 2048)
+        used, best = sum(t for _, t in made), greedy(lengths, 2048)
+        assert packing.least_bins(Counter(lengths), 2048) <= used <= best
+
+
+def test_packing_of_five_thousand_empty_texts(spark):
+    rows = [(i, None if i % 2 else "") for i in range(5000)] + [(5000, "the cat sat " * 900)]
+    used, bound = check_packing(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), VOCABULARY).collect())
+    assert used == bound
 
 
 def test_a_text_of_more_words_than_are_remembered(monkeypatch):
