@@ -98,12 +98,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_column: str = "ve
 
     Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component has no link and is its own
     component; vectors of different lengths are not compared; repeated rows are rows of their own, and rows that share a
-    ``vec_id`` share the component; rows without ``vec_id`` take part and keep a null component if their class has no other id;
+    ``vec_id`` but not the vector are judged apart; rows without ``vec_id`` take part, and their component is null if it holds no id;
     an empty table gives an empty result. Other columns are ignored.
     """
     rows = vectors(df, id_column, column)
     classes = rows.where("usable").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
-    classes = classes.withColumn("key", F.coalesce("least", F.xxhash64("v")))
+    digest = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), "v")), 16, "0") for k in (0, 1)])  # rows of one id may hold different vectors
+    classes = classes.withColumn("key", F.unhex(digest))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,11 +117,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_column: str = "ve
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), tables * (1 + probes)).cast(pa.list_(pa.int64()))
                 yield pa.record_batch([own.column(k) for k in ("key", "least", "n", "v")] + [flat], names=["key", "least", "n", "v", "codes"])
 
-    classes = held(classes.mapInArrow(place, "key long, least long, n long, v array<double>, codes array<long>"))
+    classes = held(classes.mapInArrow(place, "key binary, least long, n long, v array<double>, codes array<long>"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["bucket", "shard_a", "shard_b"]):
-            key, n, piece = (g.column(k).to_numpy() for k in ("key", "n", "piece"))
+            key, n, piece = (g.column(k).to_numpy() for k in ("key", "n", "piece"))  # key: 128 bits of the vector
             every, x = matrix(g.column("codes")).reshape(len(key), tables, 1 + probes), unit(matrix(g.column("v")))
             bucket = g.column("bucket")[0].as_py()
             split = g.column("shard_a")[0].as_py() != g.column("shard_b")[0].as_py()
@@ -143,7 +144,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_column: str = "ve
 
     entries = classes.select("key", F.explode(F.array_distinct("codes")).alias("bucket"))
     dealt = shards(entries, "bucket", "key", most, classes.select("key", "n", "v", "codes"))
-    found = held(dealt.mapInArrow(compare, "a long, b long, links long"))
+    found = held(dealt.mapInArrow(compare, "a binary, b binary, links long"))
     sums = found.groupBy("a").agg(F.sum("links").alias("links"))
     reach = components(found.select("a", "b"))
     owner = classes.join(reach, classes["key"] == reach["id"], "left").select("v", "key", "n", "least", F.coalesce("component", "key").alias("c"))

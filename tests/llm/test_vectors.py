@@ -105,3 +105,11 @@ def test_index_meets_every_code_within_the_radius():
         rows = index.near(codes[i], 100)
         radius = np.sort(away)[99]
         assert set(rows.tolist()) == set(np.flatnonzero(away <= radius).tolist())
+
+
+def test_vectors_that_share_an_id(spark):
+    """Two vectors of id 1 and one each of 2 and 3, all linked: three links each; an unlinked vector of id 3 keeps to itself."""
+    rows = [(1, [1.0, 0.0, 0.01]), (1, [1.0, 0.01, 0.0]), (2, [1.0, 0.02, 0.0]), (3, [1.0, 0.0, 0.02]), (3, [0.0, 1.0, 0.0]), (7, [0.0, 0.99, 0.01])]
+    for most in (4096, 2):
+        got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in crosspolytope.near_duplicates(table(spark, rows), tables=12, most=most).collect())
+        assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 3, True), (3, 3, 1, False), (7, 1, 3, False)]
