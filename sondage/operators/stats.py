@@ -14,8 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sondage.functions.columns import as_double, band, quoted
-from sondage.functions.pvalues import chi2_sf, f_sf, normal_ppf, normal_sf, t_two_sided
+from sondage.functions.columns import as_double, band, normal_cdf, normal_quantile, quoted
+from sondage.functions.pvalues import chi2_sf, f_sf, kolmogorov_sf, normal_ppf, normal_sf, t_two_sided
 from sondage.operators.relational import sample_n
 from sondage.operators.types import logical_types
 from sondage.plans.joins import attach, scalar_row
@@ -530,14 +530,52 @@ def anova(df: DataFrame, num: str, cat: str) -> DataFrame:
 # ------------------------------------------------------------------ normality
 
 
-def shapiro_wilk(df: DataFrame, col: str, key: str | Sequence[str], most: int = 5000, seed: int = 42) -> DataFrame:
-    """(w, p_value, n): Shapiro-Wilk on at most 5000 values sampled by key hash (the sample is part of the test's definition)."""
-    x = as_double(quoted(col))
-    keys = [key] if isinstance(key, str) else list(key)
-    slim = df.where(x.isNotNull()).select(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)], x.alias("v"))
-    rows = sample_n(slim, most, [f"k{i}" for i in range(len(keys))], seed)
-    w, p, n = _royston(np.sort(rows.select("v").toPandas()["v"].to_numpy(dtype=float)))
-    return one_row(df, w=w, p_value=p, n=n)
+def shapiro_wilk(
+    df: DataFrame, cols: str | Sequence[str], key: str | Sequence[str] | None = None, most: int | None = None, seed: int = 42
+) -> DataFrame:
+    """(column, w, p_value, n): Shapiro-Wilk over all values of each column.
+
+    W relates the values in order to the matching normal quantiles; places come from one ordered pass over all columns and
+    the sums from one aggregate, so no column is gathered. Royston's law of W is fitted for 8 to 5,000 values: outside,
+    the p-value is NULL. ``most`` tests a sample of at most that many rows instead, chosen by a hash of ``key``.
+    """
+    names = [cols] if isinstance(cols, str) else list(cols)
+    if most is not None:
+        keys = [key] if isinstance(key, str) else list(key or [])
+        if not keys:
+            raise ValueError("a sample needs a key")
+        slim = df.select(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)], *[as_double(quoted(c)).alias(f"x{i}") for i, c in enumerate(names)])
+        parts = [sample_n(slim.where(F.col(f"x{i}").isNotNull()), most, [f"k{j}" for j in range(len(keys))], seed).select(F.lit(c).alias("column"), F.col(f"x{i}").alias("value")) for i, c in enumerate(names)]
+        cells = parts[0]
+        for p in parts[1:]:
+            cells = cells.unionByName(p)
+    else:
+        cells = _cells(df, names)
+    return _shapiro_cells(materialize(cells), df, names)
+
+
+def _cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column, value) of all values that are there."""
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), (as_double(quoted(c)) + F.lit(0.0)).alias("value")) for c in names])
+    return df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull())
+
+
+def _shapiro_cells(cells: DataFrame, df: DataFrame, names: Sequence[str]) -> DataFrame:
+    basics = materialize(cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
+    placed = with_global_index(cells, "value", "column", out="i").join(F.broadcast(basics), "column")  # one row per column
+    x, n, i = F.col("value") - F.col("mean"), F.col("n"), F.col("i")
+    m = normal_quantile((i + F.lit(0.625)) / (n + F.lit(0.25)))
+    at = lambda place: F.max(F.when(i == place, F.col("value")))
+    summed = placed.groupBy("column").agg(
+        F.max("n").alias("n"), F.sum(m * x).alias("mx"), F.sum(m * m).alias("mm"), F.sum(x * x).alias("xx"),
+        at(F.lit(0)).alias("x1"), at(F.lit(1)).alias("x2"), at(n - 2).alias("y2"), at(n - 1).alias("y1"),
+    )
+    found = {r["column"]: r for r in summed.collect()}  # one row per column
+    out = []
+    for c in names:
+        w, p, size = _royston(found[c]) if c in found else (None, None, 0)
+        out.append((c, w, p, size))
+    return df.sparkSession.createDataFrame(out, "column string, w double, p_value double, n long")
 
 
 # Royston's (1995) polynomial coefficients for the weights and for the null distribution of W.
@@ -554,19 +592,21 @@ def _poly(coef: Sequence[float], x: float) -> float:
     return float(np.polynomial.polynomial.polyval(x, coef))
 
 
-def _royston(x: np.ndarray) -> tuple[float | None, float | None, int]:
-    n = len(x)
-    if n < 8 or x[0] == x[-1]:
+def _royston(r) -> tuple[float | None, float | None, int]:
+    """(w, p, n) from the sums over one column: only the two outermost weights differ from the scaled normal quantiles."""
+    n = r["n"]
+    if n < 8 or r["x1"] == r["y1"]:
         return None, None, n
-    m = np.array([normal_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    mm, u = float(m @ m), 1.0 / math.sqrt(n)
-    a = np.empty(n)
-    last = _poly(_ROYSTON_LAST, u) + m[-1] / math.sqrt(mm)
-    nxt = _poly(_ROYSTON_NEXT, u) + m[-2] / math.sqrt(mm)
-    phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * nxt**2)
-    a[2:-2] = m[2:-2] / math.sqrt(phi)
-    a[-1], a[-2], a[0], a[1] = last, nxt, -last, -nxt
-    w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()))
+    m1, m2 = (normal_ppf((n - k + 0.625) / (n + 0.25)) for k in (1, 2))
+    mm, u = r["mm"], 1.0 / math.sqrt(n)
+    last = _poly(_ROYSTON_LAST, u) + m1 / math.sqrt(mm)
+    nxt = _poly(_ROYSTON_NEXT, u) + m2 / math.sqrt(mm)
+    phi = (mm - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * nxt**2)
+    outer, inner = r["y1"] - r["x1"], r["y2"] - r["x2"]
+    ax = (r["mx"] - m1 * outer - m2 * inner) / math.sqrt(phi) + last * outer + nxt * inner
+    w = min(1.0, ax * ax / r["xx"])
+    if n > 5000:
+        return w, None, n
     if w >= 1.0:
         return w, 1.0, n
     if n <= 11:
@@ -610,37 +650,44 @@ def dagostino_k2(df: DataFrame, cols: str | Sequence[str]) -> DataFrame:
     return usable.select("column", (zs * zs + zk * zk).alias("k2")).withColumn("p_value", F.exp(-F.col("k2") / 2))
 
 
-def ks_normal(df: DataFrame, col: str) -> DataFrame:
-    """(ks, p_value): distance of the column to the normal with its own mean and sample deviation."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-
-    x = as_double(quoted(col))
-    rows = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    s = rows.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).first()
-    if not s["s"]:
-        return one_row(df, ks=None, p_value=None)
-    out = KolmogorovSmirnovTest.test(rows, "v", "norm", float(s["m"]), float(s["s"]))
-    return out.select(F.col("statistic").alias("ks"), F.col("pValue").alias("p_value"))
-
-
-def normality_table(df: DataFrame, cols: Sequence[str], key: str | Sequence[str]) -> DataFrame:
-    """(column, shapiro_w, shapiro_p, k2, k2_p, ks, ks_p, is_normal); normal means Shapiro p above 0.05."""
-    omnibus = dagostino_k2(df, list(cols)).select("column", "k2", F.col("p_value").alias("k2_p"))
-    out = None
-    for c in cols:
-        sw, ks = shapiro_wilk(df, c, key), ks_normal(df, c)
-        row = sw.select(
-            F.lit(c).alias("column"),
-            F.round("w", 4).alias("shapiro_w"),
-            F.round("p_value", 6).alias("shapiro_p"),
-            F.round(scalar_row(ks)["ks"], 4).alias("ks"),
-            F.round(scalar_row(ks)["p_value"], 6).alias("ks_p"),
-            F.coalesce(F.col("p_value") > 0.05, F.lit(False)).alias("is_normal"),
-        )
-        out = row if out is None else out.unionByName(row)
-    joined = out.join(F.broadcast(omnibus), "column", "left")  # one row per column
+def ks_normal(df: DataFrame, cols: str | Sequence[str]) -> DataFrame:
+    """(column, ks, p_value): greatest distance of each column's distribution from the normal with its own mean and sample deviation.
+
+    Both suprema lie at values that occur, before and after their jump, so counts of values and their running totals over
+    all columns are enough. NULL for a column that does not vary.
+    """
+    names = [cols] if isinstance(cols, str) else list(cols)
+    return _ks_cells(materialize(_cells(df, names)), df, names)
+
+
+def _ks_cells(cells: DataFrame, df: DataFrame, names: Sequence[str]) -> DataFrame:
+    basics = materialize(cells.groupBy("column").agg(F.count(F.lit(1)).alias("size"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")))
+    counts = materialize(cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("w")))
+    running = global_prefix(counts, F.col("w"), "upto", "value", "column").join(F.broadcast(basics), "column")  # one row per column
+    expected = normal_cdf((F.col("value") - F.col("mean")) / F.col("std"))
+    size = F.col("size").cast("double")
+    apart = F.greatest(F.col("upto") / size - expected, expected - (F.col("upto") - F.col("w")) / size)
+    found = {r["column"]: r for r in running.where("std > 0").groupBy("column").agg(F.max(apart).alias("d"), F.max("size").alias("n")).collect()}
+    out = [(c, found[c]["d"], kolmogorov_sf(found[c]["n"], found[c]["d"])) if c in found else (c, None, None) for c in names]
+    return df.sparkSession.createDataFrame(out, "column string, ks double, p_value double")
+
+
+def normality_table(df: DataFrame, cols: Sequence[str], key: str | Sequence[str] | None = None, most: int | None = None) -> DataFrame:
+    """(column, shapiro_w, shapiro_p, k2, k2_p, ks, ks_p, is_normal) over all rows, all columns in each job.
+
+    Normal means a Shapiro-Wilk p above 0.05, and above 5,000 values, where its law is not known, a D'Agostino p above 0.05. With
+    ``most`` Shapiro-Wilk is taken on a sample of at most that many rows by a hash of ``key``, and decides at any size.
+    """
+    names = list(cols)
+    cells = materialize(_cells(df, names))
+    shapiro = shapiro_wilk(df, names, key, most) if most is not None else _shapiro_cells(cells, df, names)
+    omnibus = dagostino_k2(df, names).select("column", "k2", F.col("p_value").alias("k2_p"))
+    apart = _ks_cells(cells, df, names).select("column", "ks", F.col("p_value").alias("ks_p"))
+    joined = shapiro.join(F.broadcast(omnibus), "column", "left").join(F.broadcast(apart), "column", "left")  # one row per column
     return joined.select(
-        "column", "shapiro_w", "shapiro_p", F.round("k2", 4).alias("k2"), F.round("k2_p", 6).alias("k2_p"), "ks", "ks_p", "is_normal"
+        "column", F.round("w", 4).alias("shapiro_w"), F.round("p_value", 6).alias("shapiro_p"), F.round("k2", 4).alias("k2"),
+        F.round("k2_p", 6).alias("k2_p"), F.round("ks", 4).alias("ks"), F.round("ks_p", 6).alias("ks_p"),
+        F.coalesce(F.coalesce("p_value", "k2_p") > 0.05, F.lit(False)).alias("is_normal"),
     )
 
 

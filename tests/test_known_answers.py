@@ -84,13 +84,72 @@ def test_kendall_and_spearman_brute_force(rows, seed):
 def test_shapiro_known_weights(rows):
     """Men's weights example of Shapiro and Wilk (1965): W = 0.79, far from normal."""
     x = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
-    r = T.shapiro_wilk(rows([(i, float(v)) for i, v in enumerate(x)], "k int, v double"), "v", "k").first()
-    assert r["w"] == pytest.approx(0.79, abs=0.005) and r["p_value"] < 0.01
+    df = rows([(i, float(v), 5.0, None) for i, v in enumerate(x)], "k int, v double, one double, none double")
+    for found in (T.shapiro_wilk(df, ["v", "one", "none"]), T.shapiro_wilk(df, ["v", "one", "none"], "k", most=5000)):
+        r = {x["column"]: x for x in found.collect()}
+        assert r["v"]["w"] == pytest.approx(0.79, abs=0.005) and r["v"]["p_value"] < 0.01 and r["v"]["n"] == 11
+        assert (r["one"]["w"], r["one"]["n"], r["none"]["w"], r["none"]["n"]) == (None, 11, None, 0)
+
+
+def test_normal_distribution_expressions(spark):
+    from statistics import NormalDist
+
+    from sondage.functions.columns import normal_cdf, normal_quantile
+
+    zs = [0.0, 1e-9, -1e-9] + [s * z for z in (0.1, 0.66, 0.67, 1.0, 3.0, 5.6, 5.7, 8.0, 20.0, 37.0, 40.0) for s in (1, -1)]
+    for r in spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_cdf(F.col("z")).alias("p")).collect():
+        want = 0.5 * math.erfc(-r["z"] / math.sqrt(2))
+        assert r["p"] == pytest.approx(want, rel=1e-12, abs=1e-300), r["z"]
+    ps = [1e-300, 1e-20, 1e-5, 0.01, 0.07, 0.08, 0.3, 0.5, 0.6, 0.93, 0.99, 1 - 1e-12]
+    for r in spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect():
+        assert r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-12, abs=1e-15), r["p"]
+
+
+def test_kolmogorov_law():
+    """The value published with the exact method; both branches meet."""
+    from sondage.functions.pvalues import kolmogorov_sf
+
+    assert kolmogorov_sf(10, 0.274) == pytest.approx(1 - 0.6284796154565, abs=1e-12)
+    assert kolmogorov_sf(1000, 0.04) == pytest.approx(kolmogorov_sf(1001, 0.04), abs=2e-3)
+    assert kolmogorov_sf(5, 0.0) == 1.0 and kolmogorov_sf(5, 1.0) == 0.0 and kolmogorov_sf(10**9, 0.5) == 0.0
+
+
+def test_normality_of_all_rows_against_plain_sums(rows, conf):
+    """Ties, gaps and many order buckets; W and D from sorted values one by one."""
+    from statistics import NormalDist
+
+    conf(buckets=6)
+    rng = random.Random(8)
+    data = [(i, float(rng.randint(0, 40)), rng.gauss(5, 2) if rng.random() > 0.2 else None) for i in range(700)]
+    df = rows(data, "id int, tied double, gaps double")
+    w = {r["column"]: r for r in T.shapiro_wilk(df, ["tied", "gaps"]).collect()}
+    ks = {r["column"]: r for r in T.ks_normal(df, ["tied", "gaps"]).collect()}
+    for k, c in ((1, "tied"), (2, "gaps")):
+        x = np.sort([r[k] for r in data if r[k] is not None])
+        n = len(x)
+        m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+        u, mm = 1 / math.sqrt(n), float(m @ m)
+        a = np.empty(n)
+        a[-1] = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[-1] / math.sqrt(mm)], u)
+        a[-2] = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(mm)], u)
+        a[0], a[1] = -a[-1], -a[-2]
+        a[2:-2] = m[2:-2] / math.sqrt((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a[-1] ** 2 - 2 * a[-2] ** 2))
+        assert w[c]["w"] == pytest.approx((a @ x) ** 2 / ((x - x.mean()) ** 2).sum(), abs=1e-10) and w[c]["n"] == n
+        p = np.array([NormalDist(x.mean(), x.std(ddof=1)).cdf(v) for v in x])
+        assert ks[c]["ks"] == pytest.approx(max(max((np.arange(n) + 1) / n - p), max(p - np.arange(n) / n)), abs=1e-10)
+
+
+def test_normality_verdict_beyond_the_law_of_w(spark):
+    df = spark.range(6000).select("id", F.randn(7).alias("normal"), F.pow(F.randn(7), F.lit(2.0)).alias("skewed"))
+    t = {r["column"]: r for r in T.normality_table(df, ["normal", "skewed"]).collect()}
+    assert t["normal"]["shapiro_p"] is None and t["normal"]["is_normal"] and not t["skewed"]["is_normal"]
+    t = {r["column"]: r for r in T.normality_table(df, ["normal", "skewed"], "id", most=500).collect()}
+    assert t["normal"]["shapiro_p"] > 0.01 and not t["skewed"]["is_normal"]
 
 
 def test_normality_tells_normal_from_skewed(spark):
     df = spark.range(3000).select("id", F.randn(7).alias("normal"), F.pow(F.randn(7), F.lit(2.0)).alias("skewed")).cache()
-    t = {r["column"]: r for r in T.normality_table(df, ["normal", "skewed"], "id").collect()}
+    t = {r["column"]: r for r in T.normality_table(df, ["normal", "skewed"]).collect()}
     assert t["normal"]["is_normal"] and not t["skewed"]["is_normal"]
     assert t["normal"]["k2_p"] > 0.01 > t["skewed"]["k2_p"] and t["normal"]["ks"] < 0.03 < t["skewed"]["ks"]
 
