@@ -2,7 +2,7 @@
 
 Spark rows have no position.  A global running calculation over an ordered table is
 done in *order buckets*: consecutive key ranges whose bounds come from a small key
-sample.  The bucket of a row is a deterministic expression of its key, so lost tasks
+sample (the driver sees at most 1,023 bounds; tables with more buckets cut them finer in tasks).  The bucket of a row is a deterministic expression of its key, so lost tasks
 recompute to the same place and nothing has to be frozen.  Per-bucket subtotals give
 each bucket its carry-in (one row per bucket, so that side is always small), and the
 rest is an ordinary window inside a bucket.
@@ -15,15 +15,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondage.functions.columns import quoted
-from sondage.plans.joins import null_safe
-from sondage.session import settings
+from sondage.plans.joins import attach, null_safe
+from sondage.session import materialize, settings
 
 _OVERSAMPLE = 32
+#: Most buckets whose bounds the driver sees; more are cut out of these in tasks.
+_COARSE = 1024
 BUCKET = "_bucket"
 
 
@@ -36,38 +39,87 @@ def _bucket_count(df: DataFrame, rows: int) -> int:
     return max(1, by_size, by_cores)
 
 
-def order_bounds(df: DataFrame, keys: Sequence[str]) -> pa.Table:
-    """Upper key bounds of the order buckets, from a sample of about 32 keys per bucket."""
+@dataclass(frozen=True)
+class Bounds:
+    """Upper key bounds of the order buckets.
+
+    ``coarse`` are at most 1,023 keys, whatever the table's size. Where more buckets are wanted, ``fine`` is a table of the bounds
+    inside each coarse bucket (``_coarse``, ``_edges``: a sorted array of at most ``inner`` keys), made and kept by the executors.
+    """
+
+    coarse: pa.Table
+    fine: DataFrame | None = None
+    inner: int = 0
+
+    def keys(self, spark, names: Sequence[str]) -> DataFrame:
+        """The named key columns of all bounds."""
+        out = spark.createDataFrame(self.coarse.select(names))
+        if self.fine is None:
+            return out
+        return out.unionByName(self.fine.select(F.explode("_edges").alias("e")).select(*[F.col("e").getField(n).alias(n) for n in names]))
+
+
+def _sampled(keys: DataFrame, rows: int, buckets: int) -> DataFrame:
+    share = min(1.0, buckets * _OVERSAMPLE / max(rows, 1))
+    return (keys if share >= 1.0 else keys.sample(share, seed=42)).distinct()
+
+
+def order_bounds(df: DataFrame, keys: Sequence[str]) -> Bounds:
+    """Bounds of the order buckets, from samples of about 32 keys per bucket; the driver takes those of the coarse ones only."""
     only_keys = df.select(*[quoted(k).alias(k) for k in keys])
     rows = only_keys.count()
     buckets = _bucket_count(df, rows)
     if buckets == 1:
-        return only_keys.limit(0).toArrow()
-    share = min(1.0, buckets * _OVERSAMPLE / rows)
-    picked = only_keys if share >= 1.0 else only_keys.sample(share, seed=42)
-    ordered = picked.distinct().orderBy(*keys).toArrow()
-    step = max(1, ordered.num_rows // buckets)
-    return ordered.take(list(range(step - 1, ordered.num_rows, step))[: buckets - 1])
-
-
-def with_buckets(df: DataFrame, keys: Sequence[str], bounds: pa.Table) -> DataFrame:
-    """Add the bucket number: how many bounds are below the row's key (binary search)."""
-    out = df.withColumn(BUCKET, F.lit(0))
-    size = bounds.num_rows
-    if size == 0:
-        return out
+        return Bounds(only_keys.limit(0).toArrow())
+    coarse = min(buckets, _COARSE)
+    ordered = _sampled(only_keys, rows, coarse).orderBy(*[quoted(k) for k in keys]).toArrow()
+    step = max(1, ordered.num_rows // coarse)
+    bounds = Bounds(ordered.take(list(range(step - 1, ordered.num_rows, step))[: coarse - 1]))
+    if buckets <= _COARSE:
+        return bounds
+    # about 32 sampled keys for each fine bucket, numbered inside their coarse one; every 32nd is a bound
+    each = math.ceil(buckets / coarse)
+    marked = with_buckets(_sampled(only_keys, rows, buckets), keys, bounds).withColumnRenamed(BUCKET, "_coarse")
+    inside = Window.partitionBy("_coarse").orderBy(*[quoted(k) for k in keys])
+    sized = marked.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("_coarse"))).withColumn("_nth", F.row_number().over(inside))
+    every = F.greatest(F.lit(1), F.ceil(F.col("_size") / each))
     key = F.struct(*[quoted(k).alias(k) for k in keys])
-    held = df.sparkSession.createDataFrame(bounds)
-    edges = held.agg(F.array_sort(F.collect_list(F.struct(*[quoted(k).alias(k) for k in keys]))).alias("e")).scalar()
-    step = 1 << (size.bit_length() - 1)
+    fine = sized.where((F.col("_nth") % every == 0) & (F.col("_nth") < F.col("_size"))).groupBy("_coarse").agg(F.array_sort(F.collect_list(key)).alias("_edges"))
+    fine = materialize(fine)  # a sample drawn again could differ
+    return Bounds(bounds.coarse, fine, fine.agg(F.coalesce(F.max(F.size("_edges")), F.lit(0))).first()[0])
+
+
+def _below(out: DataFrame, edges: Column, size: Column, most: int, key: Column, name: str) -> DataFrame:
+    """Add the number of ``edges`` (sorted, ``size`` of them and at most ``most``) that are below the key, by binary search."""
+    out = out.withColumn(name, F.lit(0))
+    step = 1 << (most.bit_length() - 1) if most else 0
     while step:
-        probe = F.col(BUCKET) + F.lit(step - 1)
-        inside = (F.col(BUCKET) + F.lit(step) <= size) & (F.get(edges, probe) < key)
-        out = out.withColumn(BUCKET, F.col(BUCKET) + F.when(inside, F.lit(step)).otherwise(F.lit(0)))
+        probe = F.col(name) + F.lit(step - 1)
+        inside = (F.col(name) + F.lit(step) <= size) & (F.get(edges, probe) < key)
+        out = out.withColumn(name, F.col(name) + F.when(inside, F.lit(step)).otherwise(F.lit(0)))
         step //= 2
     return out
 
 
+def with_buckets(df: DataFrame, keys: Sequence[str], bounds: Bounds) -> DataFrame:
+    """Add the bucket number: how many bounds are below the row's key, among the coarse ones and then among those of its coarse bucket.
+
+    Keys compare field by field with NULL first, so rows with a NULL in one key column are spread by the others.
+    """
+    size = bounds.coarse.num_rows
+    if size == 0:
+        return df.withColumn(BUCKET, F.lit(0))
+    key = F.struct(*[quoted(k).alias(k) for k in keys])
+    held = df.sparkSession.createDataFrame(bounds.coarse)
+    edges = held.agg(F.array_sort(F.collect_list(F.struct(*[quoted(k).alias(k) for k in keys]))).alias("e")).scalar()
+    out = _below(df, edges, F.lit(size), size, key, BUCKET)
+    if bounds.fine is None:
+        return out
+    joined = attach(out.withColumnRenamed(BUCKET, "_coarse"), bounds.fine, ["_coarse"])
+    placed = _below(joined, F.col("_edges"), F.coalesce(F.size("_edges"), F.lit(0)), bounds.inner, key, "_fine")
+    return placed.withColumn(BUCKET, F.col("_coarse") * (bounds.inner + 1) + F.col("_fine")).drop("_coarse", "_fine", "_edges")
+
+
 class OrderedPass:
     """Bucketed view of ``df`` in the unique order ``order_by`` inside each ``partition_by`` group."""
 
@@ -81,21 +133,25 @@ class OrderedPass:
         self.window = inside.orderBy(*[quoted(k).asc() for k in self.order])
         self.opposite = inside.orderBy(*[quoted(k).desc() for k in self.order])
 
+    def _small(self, table: DataFrame) -> DataFrame:
+        """A table of at most two rows per bucket: broadcast while the buckets are the coarse ones, else as Spark sees fit."""
+        return F.broadcast(table) if self.bounds.fine is None else table
+
     def subtotals(self, **aggs: Column) -> DataFrame:
         """One row per (partition crossing a bucket bound, bucket): at most two per bucket."""
         rows = self.rows
-        if self.parts and self.bounds.num_rows:
-            crossing = rows.sparkSession.createDataFrame(self.bounds.select(self.parts)).distinct()
+        if self.parts and self.bounds.coarse.num_rows:
+            crossing = self.bounds.keys(rows.sparkSession, self.parts).distinct()
             crossing = crossing.withColumnsRenamed({p: f"_c_{p}" for p in self.parts})
             rows = rows.join(
-                F.broadcast(crossing), null_safe(rows, crossing, self.parts, [f"_c_{p}" for p in self.parts]), "left_semi"
+                self._small(crossing), null_safe(rows, crossing, self.parts, [f"_c_{p}" for p in self.parts]), "left_semi"
             )
         elif self.parts:
             rows = rows.where(F.lit(False))
         return rows.groupBy(*[quoted(p) for p in self.parts], BUCKET).agg(*[c.alias(n) for n, c in aggs.items()])
 
     def carry(self, totals: DataFrame, **carried: Column) -> DataFrame:
-        """Rows with per-bucket carry-ins joined on (bucket table, so always small enough to broadcast)."""
+        """Rows with per-bucket carry-ins joined on."""
         names = {p: f"_c_{p}" for p in self.parts}
         small = totals.select(
             *[quoted(p).alias(names[p]) for p in self.parts],
@@ -105,7 +161,7 @@ class OrderedPass:
         cond = F.col(BUCKET) == F.col("_c_bucket")
         for p in self.parts:
             cond = cond & quoted(p).eqNullSafe(F.col(names[p]))
-        return self.rows.join(F.broadcast(small), cond, "left").drop("_c_bucket", *names.values())
+        return self.rows.join(self._small(small), cond, "left").drop("_c_bucket", *names.values())
 
     def bucket_window(self, forward: bool = True):
         w = Window.partitionBy(*[quoted(p) for p in self.parts])

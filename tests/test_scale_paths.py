@@ -92,6 +92,31 @@ def test_buckets_follow_the_order_and_split_a_dominating_partition(spark, rows,
     assert all(x["b"] < y["a"] for x, y in zip(ends, ends[1:]))
 
 
+def test_ten_thousand_buckets(spark, conf):
+    """More buckets than the driver holds bounds for: every bucket small, in order, and the results those of one bucket."""
+    conf(buckets=10_000)
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_000).alias("k"), (F.col("id") % 5).alias("v"))
+    bounds = order_bounds(df, ["k"])
+    assert bounds.coarse.num_rows < 1024 and bounds.fine is not None
+    per = with_buckets(df, ["k"], bounds).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_bucket").collect()
+    assert len(per) > 8_000 and max(r["n"] for r in per) <= 40
+    assert all(a["hi"] < b["lo"] for a, b in zip(per, per[1:]))
+    assert with_global_index(df, "k").where("row_index <> k").count() == 0
+    grouped = with_global_index(df.withColumn("g", F.col("k") % 3), "k", "g")
+    assert grouped.where("row_index <> floor(k / 3)").count() == 0
+
+
+def test_buckets_of_a_key_that_is_mostly_null(spark, conf):
+    """Rows without the first key are spread by the second; one bucket more or less apart from the others' size."""
+    conf(buckets=12)
+    df = spark.range(6000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("a"), F.col("id").alias("b"))
+    sizes = [r["count"] for r in with_buckets(df, ["a", "b"], order_bounds(df, ["a", "b"])).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 1500
+    placed = with_global_index(df, ["a", "b"]).orderBy("row_index").collect()
+    assert [r["row_index"] for r in placed] == list(range(6000))
+    assert [(r["a"] is not None, r["a"], r["b"]) for r in placed] == sorted((r["a"] is not None, r["a"], r["b"]) for r in placed)
+
+
 def test_fill_reaches_across_empty_buckets(spark, rows, conf):
     conf(buckets=10)
     data = [(0, 7.0)] + [(i, None) for i in range(1, 200)] + [(200, 9.0)]
