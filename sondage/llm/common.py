@@ -16,8 +16,15 @@ U = np.uint64
 
 
 def held(df: DataFrame) -> DataFrame:
-    """Result written once to the shared checkpoint folder, for a table that several jobs read."""
-    return materialize(df)
+    """Result written once to the shared checkpoint folder, for a table that several jobs read.
+
+    The shuffle files behind it are of no more use; executors remove them when the driver's collector finds them unused, so it is asked to look.
+    """
+    jvm = df.sparkSession.sparkContext._jvm
+    out = materialize(df)
+    del df
+    jvm.System.gc()
+    return out
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
