@@ -22,8 +22,9 @@ from sondage.functions.columns import quoted
 from sondage.llm.common import documents, release
 
 SPACE = "▁"
-#: Most parts and most pairs that a task remembers; beyond it the memory starts anew. Longer parts are not remembered.
-REMEMBERED = 300_000
+#: Most words and parts of words, and most pairs of tokens, that a worker remembers; beyond it the memory starts anew. Longer words are not remembered.
+REMEMBERED = 800_000
+PAIRS = 1_000_000
 LONGEST = 200
 #: About this many bytes of text are worked on at a time.
 CHUNK = 2_000_000
@@ -65,11 +66,13 @@ class PrefixTable:
             if self._merges(i)[0]:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        # no piece goes on to a space from another character, and some characters stand alone in all pieces: text may be cut there
-        longer = [p for p in self.ids if len(p) > 1]
-        self.cuts_at_spaces = not any(SPACE in p.lstrip(SPACE) for p in longer)
-        lone = "".join(c for c in "\n\r\t " if not any(c in p for p in longer))
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[{lone}]|[^{SPACE}{lone}]+" if lone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        # two characters that no piece holds side by side are never merged, so text may be cut between them: before a space
+        # that ends something, and between a letter and a sign that never follows a letter
+        inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.cuts_at_spaces = not any(b == SPACE != a for a, b in inside)
+        self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        signs = {c for c in map(chr, range(128)) if not c.isalnum()} - {b for a, b in inside if a.isalpha()}
+        self.tail = re.compile(f"(.*[^\\W\\d_])([{re.escape(''.join(sorted(signs)))}]+)", re.DOTALL)
         # where the model writes a text just as it is but for spaces, the library need not normalize it
         probe = "Aéé ﬁ Ａ  b\t½\n​\x00　c "
         self.plain = self.model.normalize(probe) == SPACE + probe.replace(" ", SPACE)
@@ -108,7 +111,7 @@ class PrefixTable:
         """
         if first == UNKNOWN or second == UNKNOWN:
             return True
-        key = first << 32 | second
+        key = first * len(self.bytes_of) + second
         got = self.compatible.get(key)
         if got is None:
             rights, lefts = self._merges(first)[1], self._merges(second)[2]
@@ -128,7 +131,7 @@ class PrefixTable:
                     j += 1
                 else:
                     break
-            if len(self.compatible) >= REMEMBERED:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             self.compatible[key] = got
         return got
@@ -138,21 +141,25 @@ class PrefixTable:
     def part(self, text: str) -> array:
         """Ids of a part of normalized text. ``last[i]`` is the last token of the first i characters, ``back[i]`` where it starts."""
         n = len(text)
+        if n == 1:
+            only = self.ids.get(text)
+            return array("i", [only] if only is not None else [self.byte_ids[b] for b in text.encode()])
         last, back = [UNKNOWN] * (n + 1), [-1] * (n + 1)
-        back[0] = 0
-        done = 0
-        fits = self.fits
+        fits, compatible, size = self.fits, self.compatible, len(self.bytes_of)
+        found = 0  # the last place that a token ends at
         for end, (token, length) in self.automaton.iter(text):
-            end += 1
-            while done < end - 1:  # places that no token ends at: a character that the vocabulary lacks
-                done += 1
-                if back[done] < 0:
-                    back[done] = done - 1
-            if back[end] >= 0:
+            if end < found:
                 continue
-            start = end - length
-            if start == 0 or fits(last[start], token):
-                last[end], back[end] = token, start
+            start = end + 1 - length
+            if start:
+                before = last[start]
+                good = compatible.get(before * size + token)
+                if good is None:
+                    good = fits(before, token)
+                if not good:
+                    continue
+            found = end + 1
+            last[found], back[found] = token, start
         ids: list[int] = []
         i = n
         while i:
@@ -171,18 +178,33 @@ class PrefixTable:
         text = (SPACE + text.replace(" ", SPACE) if text else "") if self.plain else self.model.normalize(text)
         out = array("i")
         known = self.known
-        for part in self.cut.findall(text) if self.cuts_at_spaces else [text]:
-            ids = known.get(part)
-            if ids is None:
-                ids = self.part(part)
-                if len(part) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = ids
-            out += ids
+        for word in self.cut.findall(text) if self.cuts_at_spaces else [text]:
+            ids = known.get(word)
+            out += self._word(word) if ids is None else ids
         out.append(self.end)
         return out
 
+    def _word(self, word: str) -> array:
+        """Ids of a word that is not known, by those of its parts."""
+        known = self.known
+        if len(known) >= REMEMBERED:
+            known.clear()
+        cut = self.tail.fullmatch(word)
+        if cut:
+            out = array("i")
+            for text in cut.groups():
+                ids = known.get(text)
+                if ids is None:
+                    ids = self.part(text)
+                    if len(text) <= LONGEST:
+                        known[text] = ids
+                out += ids
+        else:
+            out = self.part(word)
+        if len(word) <= LONGEST:
+            known[word] = out
+        return out
+
     # ------------------------------------------------------------------ decoding
 
     def decode(self, ids) -> str:
