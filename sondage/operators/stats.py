@@ -385,6 +385,8 @@ def eta_squared(df: DataFrame, cat: str, num: str) -> DataFrame:
 
 def eta_matrix(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
     """(category, numeric, eta_squared, strength) of every pair, from one grouped pass over (category, value)."""
+    if not cats or not nums:
+        return df.sparkSession.createDataFrame([], "category string, numeric string, eta_squared double, strength string")
     whole = df.agg(
         *[F.avg(as_double(quoted(c))).alias(f"m{i}") for i, c in enumerate(nums)],
         *[(F.var_pop(as_double(quoted(c))) * F.count(as_double(quoted(c)))).alias(f"t{i}") for i, c in enumerate(nums)],
@@ -556,6 +558,8 @@ def shapiro_wilk(
 
 def _cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, value) of all values that are there."""
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, value double")
     entries = F.array(*[F.struct(F.lit(c).alias("column"), (as_double(quoted(c)) + F.lit(0.0)).alias("value")) for c in names])
     return df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull())
 

@@ -23,6 +23,14 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTION = (T.FloatType, T.DoubleType)
 
 
+def no_columns(df: DataFrame) -> DataFrame:
+    """The table with one empty number, for results about no column at all: made for it and emptied, they have the right schema."""
+    return df.withColumn(_NONE, F.lit(None).cast("double"))
+
+
+_NONE = "_no_column"
+
+
 def wide_to_long(one_row_per_group: DataFrame, cols: Sequence[str], fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Turn ``<i>_<field>`` columns of a wide aggregate into one row per column ``cols[i]``."""
     entries = F.array(
@@ -37,6 +45,8 @@ def wide_to_long(one_row_per_group: DataFrame, cols: Sequence[str], fields: Sequ
 
 def fused(df: DataFrame, cols: Sequence[str], aggs: Mapping[str, object], by: Sequence[str] = ()) -> DataFrame:
     """Run ``aggs`` (field -> function of a Column) on every column in one aggregate; one row per column."""
+    if not cols:
+        return fused(no_columns(df), [_NONE], aggs, by).where(F.lit(False))
     exprs = [make(quoted(c)).alias(f"_{i}_{field}") for i, c in enumerate(cols) for field, make in aggs.items()]
     wide = df.groupBy(*[quoted(b) for b in by]).agg(*exprs) if by else df.agg(*exprs)
     return wide_to_long(wide, cols, list(aggs), by)
@@ -58,6 +68,8 @@ def _slots(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
 
 def value_counts_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by.., column, whole, fraction, text, n): how often each non-null value occurs in each column."""
+    if not cols:
+        return value_counts_long(no_columns(df), [_NONE], by).where(F.lit(False))
     entries = []
     for c in cols:
         whole, fraction, text = _slots(df, c)
@@ -80,6 +92,8 @@ def value_order() -> Column:
 
 def columns_frame(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, position) of the given columns, as a DataFrame without touching data."""
+    if not cols:
+        return columns_frame(df, [_NONE]).where(F.lit(False))
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position")) for i, c in enumerate(cols)])
     return df.sparkSession.range(1).select(F.explode(entries).alias("e")).select("e.*")
 
@@ -134,6 +148,8 @@ def quantiles_long(
     :func:`_ranked_quantiles`, which never gathers a group.
     """
     names = [q_name(q) for q in qs]
+    if not cols:
+        return quantiles_long(no_columns(df), [_NONE], qs, by, accuracy).where(F.lit(False))
     if accuracy is not None or use_sketch(df):
         probs = F.array(*[F.lit(float(q)) for q in qs])
         if accuracy is not None:
@@ -244,6 +260,8 @@ def numeric_base(
     Quantiles are a second aggregate: ``percentile`` cannot be code-generated and would pull
     the moments out of generated code with it.
     """
+    if not cols:
+        return numeric_base(no_columns(df), [_NONE], qs, by, fields, accuracy).where(F.lit(False))
     keys = [quoted(b) for b in by]
     raw = list(dict.fromkeys(r for f in fields for r in _NEEDS[f]))
     slim = df.select(*keys, *[as_double(quoted(c)).alias(f"_x{i}") for i, c in enumerate(cols)])
@@ -303,6 +321,8 @@ def second_pass(
     ``stats`` has one row per column (``position`` and ``fields``); it reaches the rows as a
     scalar subquery.  Each aggregate is a function of (value, {field: Column}).
     """
+    if not cols:
+        return second_pass(no_columns(df), [_NONE], stats, fields, aggs).where(F.lit(False))
     known = scalar_row(stats_map(stats, cols, fields))
     exprs = []
     for i, c in enumerate(cols):
