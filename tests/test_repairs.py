@@ -1,6 +1,7 @@
 """Cases that clean tables do not show: NaN, big numbers, dotted names, wide rows, many columns, repeated commits."""
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pytest
@@ -97,7 +98,34 @@ def test_versions_are_never_overwritten(spark, rows, tmp_path):
     (tmp_path / "table" / "log").write_text("not a table")
     with pytest.raises(Exception):
         VersionedTable(spark, root).commit(rows([(9,)], "x int"))
-    assert v.spark.read.parquet(f"{root}/v000001").count() == 1
+    (kept,) = (tmp_path / "table").glob("v000001-*")
+    assert v.spark.read.parquet(str(kept)).count() == 1
+
+
+def test_versions_of_two_writers_and_of_one_that_dies(spark, rows, tmp_path):
+    root = str(tmp_path / "table")
+    v = VersionedTable(spark, root)
+    v.commit(rows([(1,)], "x int"))
+    v.commit(rows([(1,), (2,)], "x int"))
+    late = VersionedTable(spark, root)
+    late.latest = lambda: 2  # both start from version 2
+    v.restore(1)
+    with pytest.raises(AnalysisException):
+        late.restore(2)
+    with pytest.raises(AnalysisException):
+        late.commit(rows([(9,)], "x int"))
+    assert [r["version"] for r in v.log().orderBy("version").collect()] == [1, 2, 3] and v.load(3).count() == 1
+    dying = VersionedTable(spark, root)
+    dying._record = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        dying.commit(rows([(7,)], "x int"))
+    assert v.latest() == 3 and v.commit(rows([(1,), (2,), (3,)], "x int")) == 4 and v.load().count() == 3
+    assert not list((tmp_path / "table" / "_drafts").glob("[!.]*"))
+
+    taken = VersionedTable(spark, str(tmp_path / "race"))
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: taken._put("log/000001.json", f"{i}\n"), range(8)))
+    assert sum(made) == 1 and (tmp_path / "race" / "log" / "000001.json").read_text() == f"{made.index(True)}\n"
 
 
 def test_no_temporary_folder_on_a_cluster():
