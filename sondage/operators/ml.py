@@ -10,14 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sondage.functions.columns import as_double, numeric_columns, quoted
+from sondage.operators.centres import best_centres
 from sondage.operators.relational import sample_n
 from sondage.operators.stats import one_row
 from sondage.operators.tablefacts import table_of
@@ -285,36 +285,38 @@ def predict_table(
 
 
 def _standardised(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Complete rows with a ``features`` vector of (x - mean) / population deviation."""
+    """Complete rows with a ``_z`` array of (x - mean) / population deviation (0 for a constant column)."""
     complete = df.na.drop(subset=list(cols))
     s = scalar_row(
         complete.agg(
             *[a for i, c in enumerate(cols) for a in (F.avg(as_double(quoted(c))).alias(f"m{i}"), F.stddev_pop(as_double(quoted(c))).alias(f"s{i}"))]
         )
     )
-    scaled = complete.withColumns(
-        {f"_z{i}": F.coalesce(F.try_divide(as_double(quoted(c)) - s[f"m{i}"], s[f"s{i}"]), F.lit(0.0)) for i, c in enumerate(cols)}
-    )
-    names = [f"_z{i}" for i in range(len(cols))]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(scaled).drop(*names)
+    scaled = [F.coalesce(F.try_divide(as_double(quoted(c)) - s[f"m{i}"], s[f"s{i}"]), F.lit(0.0)) for i, c in enumerate(cols)]
+    return complete.withColumn("_z", F.array(*scaled))
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42, restarts: int = 10) -> DataFrame:
-    """Complete rows with ``cluster`` ("Cluster i"): k-means on standardised columns, best of several seeds."""
+    """Complete rows with ``cluster`` ("Cluster i"): k-means on standardised columns, best of several starts run together.
+
+    Clusters are numbered by their centres in the order of ``cols``. Fewer than ``k`` where there are fewer different rows.
+    """
     rows = _standardised(df, cols)
-    points = materialize(rows.select("features"))
+    names = [f"z{i}" for i in range(len(cols))]
+    points = rows.select(*[F.get("_z", F.lit(i)).alias(n) for i, n in enumerate(names)])
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if points.rdd.getNumPartitions() < cores:  # few input splits: give the iterations all cores
+    if points.rdd.getNumPartitions() < cores:  # few input splits: give the passes all cores
         points = points.repartition(cores)
-    points = points.persist()
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="_c").fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    points.unpersist()
-    labelled = best.transform(rows)
-    return labelled.withColumn("cluster", F.concat(F.lit("Cluster "), F.col("_c").cast("string"))).drop("features", "_c")
+    centres = best_centres(materialize(points), names, k, seed, restarts)
+    if not len(centres):
+        return rows.withColumn("cluster", F.lit(None).cast("string")).drop("_z")
+    away = F.transform(
+        F.lit(centres.tolist()),
+        lambda c: F.aggregate(F.zip_with(c, "_z", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v),
+    )
+    number = F.array_position("_away", F.array_min("_away")) - 1
+    labelled = rows.withColumn("_away", away).withColumn("cluster", F.concat(F.lit("Cluster "), number.cast("string")))
+    return labelled.drop("_z", "_away")
 
 
 def cluster_profile(clustered: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -423,7 +425,7 @@ def anomaly_drivers(df: DataFrame, cols: Sequence[str], flag: str = "is_anomaly"
     The target is the anomaly flag as 0/1.  It is fitted as a regression: a classification
     tree drops splits whose two sides have the same majority, which for rare flags is all of them.
     """
-    rows = _standardised(df, cols).withColumn("label", quoted(flag).cast("double"))
+    rows = _standardised(df, cols).select("*", array_to_vector("_z").alias("features"), quoted(flag).cast("double").alias("label"))
     model = RandomForestRegressor(numTrees=trees, maxDepth=6, maxBins=128, seed=seed).fit(rows.select("features", "label"))
     weights = model.featureImportances.toArray()
     found = [{"column": c, "importance": float(w)} for c, w in zip(cols, weights)]
