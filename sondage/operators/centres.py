@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +14,24 @@ _ROUNDS = 2  # rounds of oversampling, each of twice as many rows as there are c
 _TOLERANCE = 1e-4
 
 
-def _blocks(batch: pa.RecordBatch, cells: int) -> Iterator[np.ndarray]:
-    x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+def packed(points: DataFrame) -> DataFrame:
+    """(x): rows of numbers in blocks, each the bytes of a matrix, so that a pass reads them as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                yield pa.record_batch([pa.array([np.ascontiguousarray(x, dtype=np.float64).tobytes()])], names=["x"])
+
+    return points.mapInArrow(run, "x binary")
+
+
+def _blocks(batch: pa.RecordBatch, width: int, cells: int) -> Iterator[np.ndarray]:
     step = max(_CELLS // max(cells, 1), 1)
-    for at in range(0, len(x), step):
-        yield x[at : at + step]
+    for value in batch.column("x"):
+        x = np.frombuffer(value.as_buffer(), dtype=np.float64).reshape(-1, width)
+        for at in range(0, len(x), step):
+            yield x[at : at + step]
 
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -27,16 +40,15 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0.0, out=out)
 
 
-def _draw(points: DataFrame, sets: list[np.ndarray], most: int, seed: int, step: int) -> list[np.ndarray]:
+def _draw(blocks: DataFrame, width: int, sets: list[np.ndarray], most: int, seed: int, step: int) -> list[np.ndarray]:
     """For each set of centres, up to ``most`` rows drawn without replacement by their squared distance from it (alike, where a
     set is empty). Rows with the least exponential variates of those rates are such a draw, so one pass does without the total."""
-    width = len(points.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
         best = [(np.empty(0), np.empty((0, width))) for _ in sets]
         for b in batches:
-            for x in _blocks(b, max(len(c) for c in sets) or 1):
+            for x in _blocks(b, width, max(len(c) for c in sets)):
                 for r, c in enumerate(sets):
                     rate = _squares(x, c).min(axis=1) if len(c) else np.ones(len(x))
                     at = np.flatnonzero(rate > 0)
@@ -48,7 +60,7 @@ def _draw(points: DataFrame, sets: list[np.ndarray], most: int, seed: int, step:
             if len(key):
                 yield pa.record_batch([pa.array(np.full(len(key), r)), pa.array(key), pa.array(rows.tolist())], names=["r", "key", "x"])
 
-    drawn = points.mapInArrow(run, "r long, key double, x array<double>")
+    drawn = blocks.mapInArrow(run, "r long, key double, x array<double>")
     order = Window.partitionBy("r").orderBy("key", "x")
     drawn = drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     out = [[] for _ in sets]
@@ -57,16 +69,15 @@ def _draw(points: DataFrame, sets: list[np.ndarray], most: int, seed: int, step:
     return [np.vstack([c, np.array(o).reshape(-1, width)]) for c, o in zip(sets, out)]
 
 
-def _sums(points: DataFrame, sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def _sums(blocks: DataFrame, width: int, sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """For each set of centres in one pass: rows nearest to each centre, their sums, and the cost of all rows."""
-    width = len(points.columns)
     first = np.append(0, np.cumsum([len(c) for c in sets]))
     every = np.vstack(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(every), width + 2))  # rows, cost, sums
         for b in batches:
-            for x in _blocks(b, len(every)):
+            for x in _blocks(b, width, len(every)):
                 away = _squares(x, every)
                 for lo, hi in zip(first, first[1:]):
                     near = away[:, lo:hi].argmin(axis=1)
@@ -79,7 +90,7 @@ def _sums(points: DataFrame, sets: list[np.ndarray]) -> list[tuple[np.ndarray, n
         yield pa.record_batch([pa.array(used), *[pa.array(total[used, j]) for j in range(width + 2)]], names=["c", *names])
 
     names = [f"s{j}" for j in range(width + 2)]
-    parts = points.mapInArrow(run, "c long," + ",".join(f"{n} double" for n in names))
+    parts = blocks.mapInArrow(run, "c long," + ",".join(f"{n} double" for n in names))
     total = np.zeros((len(every), width + 2))
     for row in parts.groupBy("c").agg(*[F.sum(n).alias(n) for n in names]).collect():  # one row a centre
         total[row["c"]] = row[1:]
@@ -111,26 +122,25 @@ def _means(centres: np.ndarray, load: np.ndarray, sums: np.ndarray) -> np.ndarra
     return np.where(load[:, None] > 0, sums / np.maximum(load, 1)[:, None], centres)
 
 
-def best_centres(points: DataFrame, cols: Sequence[str], k: int, seed: int, restarts: int, rounds: int = 20) -> np.ndarray:
-    """Centres of the cheapest of ``restarts`` runs of k-means over the numbers ``cols``, sorted; fewer than ``k`` where
+def best_centres(blocks: DataFrame, width: int, k: int, seed: int, restarts: int, rounds: int = 20) -> np.ndarray:
+    """Centres of the cheapest of ``restarts`` runs of k-means over the :func:`packed` rows of ``width`` numbers, sorted; fewer than ``k`` where
     there are fewer different rows, none for an empty table.
 
     Every pass over the rows serves all runs: a first row for each, two rounds that draw 2k far rows for each, the weights of
     those candidates, then at most ``rounds`` of Lloyd's steps (a settled run leaves the passes) and the costs. The driver holds
-    restarts x (4k + 1) candidates. ``points`` is read once a pass and has to be cheap to read and stable.
+    restarts x (4k + 1) candidates. ``blocks`` is read once a pass and has to be cheap to read and stable.
     """
-    points = points.select(*cols)
-    sets = _draw(points, [np.empty((0, len(cols)))] * restarts, 1, seed, 0)
+    sets = _draw(blocks, width, [np.empty((0, width))] * restarts, 1, seed, 0)
     if not len(sets[0]):
         return sets[0]
     for step in range(_ROUNDS):
-        sets = _draw(points, sets, 2 * k, seed, step + 1)
-    weights = _sums(points, sets)
+        sets = _draw(blocks, width, sets, 2 * k, seed, step + 1)
+    weights = _sums(blocks, width, sets)
     sets = [_reduce(c, w, k, np.random.default_rng([seed, r])) for r, (c, (w, _, _)) in enumerate(zip(sets, weights))]
     open_ = list(range(restarts))
     for _ in range(rounds):
         moving = []
-        for r, (load, sums, _) in zip(open_, _sums(points, [sets[r] for r in open_])):
+        for r, (load, sums, _) in zip(open_, _sums(blocks, width, [sets[r] for r in open_])):
             moved = _means(sets[r], load, sums)
             if np.sqrt(((moved - sets[r]) ** 2).sum(axis=1)).max() > _TOLERANCE:
                 moving.append(r)
@@ -138,6 +148,6 @@ def best_centres(points: DataFrame, cols: Sequence[str], k: int, seed: int, rest
         open_ = moving
         if not open_:
             break
-    cost = [c for _, _, c in _sums(points, sets)]
+    cost = [c for _, _, c in _sums(blocks, width, sets)]
     best = sets[int(np.argmin(cost))]
     return best[np.lexsort(best.T[::-1])]

@@ -12,18 +12,19 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sondage.functions.columns import as_double, numeric_columns, quoted
-from sondage.operators.centres import best_centres
+from sondage.operators.centres import best_centres, packed
+from sondage.operators.features import Features
 from sondage.operators.relational import sample_n
 from sondage.operators.stats import one_row
 from sondage.operators.tablefacts import table_of
 from sondage.operators.types import NUMERIC_LEVELS, logical_types, of_type
 from sondage.plans.joins import scalar_row
-from sondage.plans.values import q_name, quantiles_long, top_per_column
+from sondage.plans.values import q_name, quantiles_long
 from sondage.session import materialize
 
 REGRESSION, CLASSIFICATION = "Regression", "Classification"
@@ -42,60 +43,16 @@ def detect_problem(df: DataFrame, target: str | None = None) -> DataFrame:
 # ------------------------------------------------------------------ features
 
 
-def _ident(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def build_features(
-    df: DataFrame, features: Sequence[str], category_cap: int | None = 20, scale: bool = True, impute: bool = True
+    df: DataFrame, features: Sequence[str], category_cap: int | None = None, scale: bool = True, impute: bool = True
 ) -> Pipeline:
-    """Pipeline from raw columns to a feature vector.
+    """Pipeline from raw columns to a feature vector; see :class:`Features`.
 
-    Numbers: median imputation and standardisation.  Everything else as text: gaps become the
-    most frequent value, values beyond the ``category_cap`` most frequent become "Other", then
-    one-hot (unseen values get the all-zero code).  The frequent values are fixed from ``df``
-    (at most ``category_cap`` per column).
+    ``category_cap`` keeps that many categories of a column and makes the others one; without it every category has a place.
     """
     numeric = [c for c in features if c in numeric_columns(df)]
     other = [c for c in features if c not in numeric]
-    exprs = [f"CAST({_ident(c)} AS DOUBLE) AS {_ident('num_' + str(i))}" for i, c in enumerate(numeric)]
-    if other:
-        texts = df.select(*[quoted(c).cast("string").alias(c) for c in other])
-        tops: dict[str, list[str]] = {c: [] for c in other}
-        for r in top_per_column(texts, other, category_cap or 1).orderBy("rank").collect():
-            tops[r["column"]].append(r["value"])
-        for i, c in enumerate(other):
-            value = f"CAST({_ident(c)} AS STRING)"
-            if tops[c] and impute:
-                value = f"coalesce({value}, {_text(tops[c][0])})"
-            if category_cap and tops[c]:
-                kept = ", ".join(_text(v) for v in tops[c])
-                value = f"CASE WHEN {value} IS NULL OR {value} IN ({kept}) THEN {value} ELSE 'Other' END"
-            exprs.append(f"{value} AS {_ident('cat_' + str(i))}")
-    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
-    inputs = []
-    if numeric:
-        raw = [f"num_{i}" for i in range(len(numeric))]
-        if impute:
-            stages.append(Imputer(strategy="median", inputCols=raw, outputCols=[f"{c}_filled" for c in raw]))
-            raw = [f"{c}_filled" for c in raw]
-        stages.append(VectorAssembler(inputCols=raw, outputCol="num_vector", handleInvalid="keep"))
-        if scale:
-            stages.append(StandardScaler(inputCol="num_vector", outputCol="num_scaled", withMean=True))
-        inputs.append("num_scaled" if scale else "num_vector")
-    if other:
-        raw = [f"cat_{i}" for i in range(len(other))]
-        codes = [f"{c}_code" for c in raw]
-        hots = [f"{c}_hot" for c in raw]
-        stages.append(StringIndexer(inputCols=raw, outputCols=codes, handleInvalid="keep", stringOrderType="frequencyDesc"))
-        stages.append(OneHotEncoder(inputCols=codes, outputCols=hots, handleInvalid="keep"))
-        inputs += hots
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[Features(numeric, other, FEATURES, category_cap, scale, impute)])
 
 
 @dataclass
@@ -176,7 +133,7 @@ def _classes(rows: DataFrame, target: str) -> int:
 
 def fit_default(
     df: DataFrame, target: str | None = None, key: str | Sequence[str] | None = None,
-    features: Sequence[str] | None = None, max_features: int | None = None, category_cap: int = 20, trees: int = 20, seed: int = 42,
+    features: Sequence[str] | None = None, max_features: int | None = None, category_cap: int | None = None, trees: int = 20, seed: int = 42,
 ) -> FittedModel:
     """Default model: 20-tree depth-5 forest for regression, 20-iteration boosting for any number of classes.
 
@@ -307,7 +264,7 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42, resta
     cores = df.sparkSession.sparkContext.defaultParallelism
     if points.rdd.getNumPartitions() < cores:  # few input splits: give the passes all cores
         points = points.repartition(cores)
-    centres = best_centres(materialize(points), names, k, seed, restarts)
+    centres = best_centres(materialize(packed(points)), len(cols), k, seed, restarts)
     if not len(centres):
         return rows.withColumn("cluster", F.lit(None).cast("string")).drop("_z")
     away = F.transform(

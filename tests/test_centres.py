@@ -20,10 +20,11 @@ def test_cost_is_no_worse_than_that_of_separate_runs(spark):
     points = materialize(spark.createDataFrame(x.tolist(), "a double, b double, c double").repartition(5))
     vectors = VectorAssembler(inputCols=points.columns, outputCol="features").transform(points)
     apart = min(KMeans(k=7, seed=s).fit(vectors).summary.trainingCost for s in range(5))
-    found = centres.best_centres(points, points.columns, 7, 42, 5)
+    blocks = centres.packed(points)
+    found = centres.best_centres(blocks, 3, 7, 42, 5)
     assert found.shape == (7, 3) and _cost(x, found) <= apart * 1.01
     assert np.array_equal(found, found[np.lexsort(found.T[::-1])])
-    ((load, sums, cost),) = centres._sums(points, [found])
+    ((load, sums, cost),) = centres._sums(blocks, 3, [found])
     near = ((x[:, None, :] - found[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert load.tolist() == np.bincount(near, minlength=7).tolist() and np.isclose(cost, _cost(x, found))
     assert np.allclose(sums, [x[near == c].sum(axis=0) for c in range(7)])
@@ -33,8 +34,8 @@ def test_passes_do_not_grow_with_restarts(spark, monkeypatch):
     points = materialize(spark.range(3000).selectExpr("rand(3) AS a", "rand(4) AS b"))
     calls = []
     real = centres._sums
-    monkeypatch.setattr(centres, "_sums", lambda p, sets: calls.append(len(sets)) or real(p, sets))
-    centres.best_centres(points, ["a", "b"], 4, 1, 10, rounds=6)
+    monkeypatch.setattr(centres, "_sums", lambda p, w, sets: calls.append(len(sets)) or real(p, w, sets))
+    centres.best_centres(centres.packed(points), 2, 4, 1, 10, rounds=6)
     assert len(calls) <= 8 and calls[0] == 10
 
 
