@@ -11,6 +11,7 @@ from sondage.operators.types import logical_types, of_type
 from sondage.plans.joins import attach, scalar_row
 from sondage.plans.values import (
     columns_frame,
+    digest_counts_long,
     distinct_stats,
     fused,
     numeric_base,
@@ -163,7 +164,7 @@ def nunique_table(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
         return fused(
             df, cols, {"nunique": lambda c: F.approx_count_distinct(c), "missing": lambda c: F.count_if(c.isNull())}
         ).drop("position")
-    counted = value_counts_long(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
+    counted = digest_counts_long(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
     missing = fused(df, cols, {"missing": lambda c: F.count_if(c.isNull())})
     return missing.join(F.broadcast(counted), "column", "left").select(
         "column", F.coalesce("nunique", F.lit(0)).alias("nunique"), "missing"
@@ -349,9 +350,9 @@ def _counts(df: DataFrame, col: str) -> DataFrame:
 
 def entropy(df: DataFrame, col: str) -> DataFrame:
     """(entropy): Shannon entropy in nats with the 1e-10 guard inside the log."""
-    counts = _counts(df, col)
+    counts = digest_counts_long(df, [col])
     total = scalar_row(df.agg(F.count(quoted(col)).alias("n")))["n"]
-    p = F.col("count") / total
+    p = F.col("n") / total
     return counts.agg((-F.sum(p * F.ln(p + 1e-10))).alias("entropy"))
 
 

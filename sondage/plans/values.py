@@ -80,6 +80,24 @@ def value_counts_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()
     return present.groupBy(*keys, "column", "whole", "fraction", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
+def digest_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, d1, d2, n): how often each non-null value occurs, the value known by its 128-bit digest.
+
+    For figures that need no value shown: 16 bytes of a value are shuffled, however long its text.
+    """
+    if not cols:
+        return digest_counts_long(no_columns(df), [_NONE]).where(F.lit(False))
+    entries = []
+    for c in cols:
+        whole, fraction, text = _slots(df, c)
+        value = whole if isinstance(type_of(df, c), _WHOLE) else fraction if isinstance(type_of(df, c), _FRACTION) else text
+        entries.append(
+            F.when(value.isNotNull(), F.struct(F.lit(c).alias("column"), F.xxhash64(value).alias("d1"), F.xxhash64(F.lit(1), value).alias("d2")))
+        )
+    cells = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    return cells.groupBy("column", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+
+
 def shown() -> Column:
     """Display text of a long-form value."""
     return F.coalesce(F.col("text"), F.col("whole").cast("string"), F.col("fraction").cast("string"))
