@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sondage.functions.columns import as_double, atomic_columns, quoted, type_of
 from sondage.plans.joins import attach, is_small, scalar_row
-from sondage.plans.values import q_name, quantiles_long
+from sondage.plans.values import q_name, quantiles_long, wide_to_long
 
 #: Longest list of values that becomes a literal; a longer one is joined.
 _LITERALS = 200
@@ -177,6 +177,21 @@ def group_multi(df: DataFrame, by: str, value: str) -> DataFrame:
     )
 
 
+def group_tables(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
+    """(category, level, column, count, mean, sum): every number in the groups of every category, from one aggregate over all rows."""
+    if not cats or not nums:
+        return df.sparkSession.createDataFrame([], "category string, level string, column string, count long, mean double, sum double")
+    levels = F.array(*[F.struct(F.lit(c).alias("category"), quoted(c).cast("string").alias("level")) for c in cats])
+    rows = df.select(F.explode(levels).alias("_e"), *[as_double(quoted(c)).alias(f"_x{i}") for i, c in enumerate(nums)])
+    rows = rows.select("_e.*", *[f"_x{i}" for i in range(len(nums))]).where(F.col("level").isNotNull())
+    aggs = []
+    for i in range(len(nums)):
+        x = F.col(f"_x{i}")
+        aggs += [F.count(x).alias(f"_{i}_count"), F.avg(x).alias(f"_{i}_mean"), F.coalesce(F.sum(x), F.lit(0.0)).alias(f"_{i}_sum")]
+    wide = rows.groupBy("category", "level").agg(*aggs)
+    return wide_to_long(wide, nums, ["count", "mean", "sum"], ["category", "level"]).drop("position")
+
+
 def top_groups_by_mean(df: DataFrame, cat: str, num: str, n: int = 10) -> DataFrame:
     return group_agg(df, cat, num, "mean").orderBy(F.desc_nulls_last(f"mean_{num}"), quoted(cat)).limit(n)
 

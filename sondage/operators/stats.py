@@ -424,7 +424,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     Only occurring pairs are needed: the statistic is sum(O^2/E) - N.  With one degree of
     freedom the continuity correction is applied on the four cells.  V divides by all rows.
     """
-    cells = df.na.drop(subset=[a, b]).groupBy(quoted(a).alias("a"), quoted(b).alias("b")).agg(F.count(F.lit(1)).alias("o"))
+    cells = materialize(df.na.drop(subset=[a, b]).groupBy(quoted(a).alias("a"), quoted(b).alias("b")).agg(F.count(F.lit(1)).alias("o")))
     rows = cells.groupBy("a").agg(F.sum("o").alias("ra"))
     cols = cells.groupBy("b").agg(F.sum("o").alias("cb"))
     placed = attach(attach(cells, rows, ["a"], how="inner"), cols, ["b"], how="inner")
