@@ -9,9 +9,12 @@ from sondage.functions import columns as C
 from sondage.operators import facts as I
 from sondage.operators import ml as M
 from sondage.operators import quality as Q
+from sondage.operators import relational as L
+from sondage.operators import sketches as K
 from sondage.operators import stats as T
 from sondage.operators import timeseries as R
-from sondage.operators.profile import sigma_counts
+from sondage.operators.features import dictionary
+from sondage.operators.profile import nunique_table, sigma_counts
 
 _DIRTY = ["orderkey", "custkey", "orderstatus", "totalprice", "sparse_col", "const_col", "orderdate", "orderpriority"]
 _DIRTY_NUM = ["orderkey", "custkey", "totalprice", "sparse_col"]
@@ -441,7 +444,20 @@ for _f, (_t, _d, _v, _label, _unit, _step) in _RESAMPLE.items():
 
 register("detect_problem", "orders", lambda o: M.detect_problem(o),
          "SELECT 'o_totalprice' AS target, CASE WHEN count(DISTINCT o_totalprice) > 10 THEN 'Regression' ELSE 'Classification' END AS problem FROM orders")
-register("build_features", "orders", lambda o: _features(o))
+register(
+    "build_features", "orders", lambda o: _features(o),
+    """SELECT o_orderkey, CAST(2 + (SELECT count(DISTINCT o_orderstatus) + count(DISTINCT o_orderpriority) FROM orders) AS INTEGER) AS width,
+    round((o_custkey - m1) / s1, 4) AS custkey_scaled, round((o_totalprice - m2) / s2, 4) AS price_scaled
+    FROM orders, (SELECT avg(o_custkey) AS m1, stddev_samp(o_custkey) AS s1, avg(o_totalprice) AS m2, stddev_samp(o_totalprice) AS s2 FROM orders)""",
+)
+register(
+    "category_dictionary", "dirty_orders",
+    lambda d: dictionary(d, ["orderstatus", "orderkey", "orderpriority"]),
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) - 1 AS number
+        FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c}""" for c in ("orderstatus", "orderkey", "orderpriority")
+    ),
+)
 
 
 def _features(o: DataFrame) -> DataFrame:
@@ -495,6 +511,25 @@ def _predicted(p: DataFrame) -> DataFrame:
 
 register("predict_table", "planted", _predicted)
 register("predict_table_rows", "planted", lambda p: _predicted(p).agg(F.count(F.lit(1)).alias("rows")), "SELECT count(*) AS rows FROM planted")
+_KCOLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _kmeans_facts(l: DataFrame) -> DataFrame:
+    """Rows, clusters, whether nearly all rows are in the cluster of the nearest mean, and whether clusters explain a third of the variance."""
+    done = M.kmeans(l, _KCOLS, 4, restarts=10)
+    base = done.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(_KCOLS)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(_KCOLS)])
+    z = done.crossJoin(F.broadcast(base)).select("cluster", *[((F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, c in enumerate(_KCOLS)])
+    means = z.groupBy("cluster").agg(*[F.avg(f"z{i}").alias(f"c{i}") for i in range(3)])
+    away = sum((F.col(f"z{i}") - F.col(f"c{i}")) * (F.col(f"z{i}") - F.col(f"c{i}")) for i in range(3))
+    own = z.join(F.broadcast(means), "cluster").agg(F.sum(away).alias("inside"), F.count(F.lit(1)).alias("rows"))
+    every = means.agg(F.collect_list(F.struct("cluster", "c0", "c1", "c2")).alias("e"), F.count(F.lit(1)).alias("clusters"))
+    dist = lambda e: sum((F.col(f"z{i}") - e[f"c{i}"]) * (F.col(f"z{i}") - e[f"c{i}"]) for i in range(3))
+    near = F.array_min(F.transform("e", lambda e: F.struct(dist(e).alias("d"), e["cluster"].alias("c"))))["c"]
+    settled = z.crossJoin(F.broadcast(every)).agg(F.avg((near == F.col("cluster")).cast("int")).alias("share"), F.max("clusters").alias("clusters"))
+    return own.crossJoin(settled).select("rows", "clusters", (F.col("share") > 0.99).alias("nearest"), (F.col("inside") < F.col("rows") * 2).alias("explains"))
+
+
+register("kmeans_facts", "lineitem", _kmeans_facts, "SELECT count(*) AS rows, CAST(4 AS BIGINT) AS clusters, true AS nearest, true AS explains FROM lineitem")
 register("kmeans", "lineitem", lambda l: M.cluster_profile(M.kmeans(l, ["l_quantity", "l_extendedprice", "l_discount"], 4, restarts=10), ["l_quantity", "l_extendedprice", "l_discount"]))
 register(
     "isolation_forest_counts", "planted",
@@ -635,3 +670,39 @@ def _report(d: DataFrame) -> DataFrame:
 
 
 register("report_tables", "dirty_orders", _report)
+register(
+    "group_tables", "dirty_orders", lambda d: L.group_tables(d, ["orderstatus", "orderpriority"], ["totalprice", "custkey"]),
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS category, {c} AS level, '{x}' AS "column", count({x}) AS count, round(avg({x}), 4) AS mean, round(CAST(coalesce(sum({x}), 0) AS DOUBLE), 4) AS sum
+        FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c}""" for c in ("orderstatus", "orderpriority") for x in ("totalprice", "custkey")
+    ),
+)
+
+
+def _merged_profile(l: DataFrame) -> DataFrame:
+    """A profile merged from five parts, its estimates judged against exact figures."""
+    states = None
+    for p in range(5):
+        one = K.profile_state(l.where(F.col("l_orderkey") % 5 == p), ["l_quantity", "l_extendedprice"])
+        states = one if states is None else states.unionByName(one)
+    t = K.state_profile(K.merge_states(states))
+    x = F.when(F.col("column") == "l_quantity", F.col("l_quantity").cast("double")).otherwise(F.col("l_extendedprice").cast("double"))
+    cells = l.select(F.explode(F.array(F.lit("l_quantity"), F.lit("l_extendedprice"))).alias("column"), "l_quantity", "l_extendedprice").select("column", x.alias("x"))
+    ranks = cells.join(F.broadcast(t), "column").groupBy("column").agg(
+        F.avg((F.col("x") <= F.col("q0_5")).cast("int")).alias("upto"), F.avg((F.col("x") < F.col("q0_5")).cast("int")).alias("below"), F.count_distinct("x").alias("k")
+    )
+    close = (F.col("below") <= 0.52) & (F.col("upto") >= 0.48) & (F.abs(F.col("nunique") / F.col("k") - 1) < 0.05)
+    return t.join(F.broadcast(ranks), "column").select("column", "rows", "missing", "mean", "std", "min", "max", close.alias("close"))
+
+
+register(
+    "profile_of_parts", "lineitem", _merged_profile,
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
+        round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, true AS close FROM lineitem""" for c in ("l_quantity", "l_extendedprice")
+    ),
+)
+register(
+    "nunique_documents", "documents", nunique_table,
+    " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS nunique, count(*) - count({c}) AS missing FROM documents""" for c in ("doc_id", "text", "lang", "source", "n_chars")),
+)
