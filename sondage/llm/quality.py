@@ -239,5 +239,11 @@ def with_score(docs: DataFrame, model: Model, column: str = "quality_score") ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` with a quality score of ``cut`` or more, with their columns."""
-    return with_score(docs, learn(docs, labels, most), "_quality").where(F.col("_quality") >= cut).drop("_quality")
+    """The rows of ``docs`` with a quality score of ``cut`` or more, with their columns, whatever their names.
+
+    Null and empty texts and null columns are scored like any other; repeated rows each stay or go; an empty table stays empty.
+    """
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, learn(docs, labels, most), name).where(F.col(name) >= cut).drop(name)

@@ -265,19 +265,22 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns, the text of rows with repeats replaced by the kept words and ``n_chars`` (if there) by their length.
 
-    Rows of which nothing is left go; a text without repeats stays as it is, white space included.
+    Rows of which nothing is left go; a text without repeats stays as it is, white space included. Null and empty texts stay;
+    of repeated rows only the first keeps repeated windows; an empty table stays empty; columns may have any name.
     """
-    spans = repeated_spans(docs).select(F.col("did").alias("_cut_id"), F.col("rk").alias("_cut_rk"), F.col("spans").alias("_cut"))
+    spans = repeated_spans(docs).select(F.col("did").alias("cut_id"), F.col("rk").alias("cut_rk"), F.col("spans").alias("cut"))
     did = F.coalesce(quoted("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    joined = docs.join(spans, (did == F.col("_cut_id")) & (F.xxhash64(F.coalesce(quoted("text"), F.lit(""))) == F.col("_cut_rk")), "left")
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), did.alias("id"), F.xxhash64(F.coalesce(quoted("text"), F.lit(""))).alias("rk"))
+    joined = rows.join(spans, (F.col("id") == F.col("cut_id")) & (F.col("rk") == F.col("cut_rk")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         kept = [None if t is None else b" ".join(keep_words(t.encode(), s)[0]).decode("utf-8", "replace") for t, s in zip(text, spans)]
         return pd.Series(kept, dtype=object)
 
-    there = F.col("_cut").isNotNull()
-    out = joined.withColumn("_kept", cut(F.when(there, quoted("text")), "_cut")).where("_kept is null or _kept <> ''")
+    there = F.col("cut").isNotNull()
+    out = joined.withColumn("kept", cut(F.when(there, F.col("row")["text"]), "cut")).where("kept is null or kept <> ''")
+    changed = {"text": F.coalesce("kept", F.col("row")["text"])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(there, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(quoted("n_chars")))
-    return out.withColumn("text", F.coalesce("_kept", quoted("text"))).select(*[quoted(c) for c in docs.columns])
+        changed["n_chars"] = F.when(there, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings as hyp, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sondage.llm import packing, queries, simhash, substring
@@ -88,6 +89,68 @@ def test_hot_shards_are_cut_without_losing_links(spark):
     assert whole == cut
 
 
+def plain_wide(text, shingle=5):
+    words = (text or "").encode().lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(len(words) - shingle + 1, min(len(words), 1)))]
+    out = []
+    for w in range(simhash.WIDE):
+        own = hashes if w == 0 else [int(x) for x in simhash.scramble(np.array([(h + w * 0x9E3779B97F4A7C15) % (1 << 64) for h in hashes], dtype=np.uint64))]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)))
+    return out
+
+
+def test_wide_fingerprints_match_plain_ones():
+    for text in ["", " \t", "one", "A b c d e", "the quick brown fox jumps over the lazy dog again " * 3]:
+        assert simhash.wide_fingerprint(text.encode()).tolist() == plain_wide(text)
+
+
+@pytest.mark.parametrize("leaf", [4, 2_048])
+def test_wide_tree_finds_the_classes_of_all_pairs(monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "_LEAF", leaf)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (12, simhash.WIDE)).astype(np.uint64)
+    codes = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (12, simhash.WIDE)).astype(np.uint64)) for _ in range(15)]), axis=0)
+    whole = [sum(int(x) << (64 * i) for i, x in enumerate(c)) for c in codes]
+    for radius in (2, 5, 8):
+        label, group = simhash.wide_labels(codes, radius), plain_classes(whole, radius)
+        assert len(set(zip(label.tolist(), group))) == len(set(group)) == len(set(label.tolist()))
+    ends = np.array([[0] * 4, [(1 << 64) - 1] * 4], dtype=np.uint64)
+    assert simhash.wide_labels(ends, 42).tolist() == [0, 1]
+
+
+def test_similar_documents_are_kept_once(spark):
+    rng = np.random.default_rng(9)
+    words = [f"word{i}" for i in range(3_000)]
+    rows, near, clean = [], set(), set()
+    for k in range(300):
+        text = rng.choice(words, 250).tolist()
+        rows.append((10 * k, " ".join(text)))
+        clean.add(10 * k)
+        for c in (1, 2):
+            other = list(text)
+            for at in rng.choice(250, c, replace=False):  # one or two words changed: 0.96 to 0.92 of the shingles stay
+                other[at] = "changed"
+            rows.append((10 * k + c, " ".join(other)))
+            near.add(10 * k + c)
+        half = text[:125] + rng.choice(words, 125).tolist()  # a third of all shingles in common
+        rows.append((10 * k + 5, " ".join(half)))
+        clean.add(10 * k + 5)
+    kept = {r.doc_id for r in simhash.keep_similar_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert clean <= kept and len(near & kept) <= 0.03 * len(near)
+
+
+def test_similar_documents_on_edge_rows_and_clashing_names(spark):
+    names = ["_keep_id", "_cut", "_quality", "w0", "fp", "bucket", "row", "kept", "keep_id"]
+    docs = edge.table(spark).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)  if n != "fp"])
+    for step in (simhash.keep_similar_first, simhash.keep_first, substring.strip_repeats):
+        out = step(docs)
+        assert out.columns == docs.columns and out.count() > 0
+        assert out.select(*[n for n in names if n != "fp"]).distinct().count() == 1
+        assert step(docs.limit(0)).count() == 0
+    ids = sorted(str(r.doc_id) for r in simhash.keep_similar_first(docs).collect())
+    assert len(ids) == len(set(ids)) and "5" not in ids and "10" not in ids and "2" not in ids
+
+
 def plain_repeats(rows, size=20):
     first, out = {}, []
     key = lambda i: -(1 << 63) if i is None else i
