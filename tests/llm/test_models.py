@@ -1,6 +1,7 @@
 """Language model, toxicity, quality, urls and mixing."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -246,10 +247,15 @@ URLS = [
 ]
 
 
-def test_urls_against_plain_rules(spark):
+@pytest.fixture(scope="module")
+def url_model(spark):
+    return urls.train(urls.seed_urls(spark))
+
+
+def test_urls_against_plain_rules(spark, url_model):
     rows = [(i, u, "h", "p", 1) for i, u in enumerate(URLS)] + [(0, None, "h", "p", 1), (None, "http://x.com/", "h", "p", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, `verdict.x` int")
-    model = urls.train(urls.seed_urls(spark))
+    model = url_model
     got = urls.judge(pages, queries.URL_RULES, model).collect()
     want = Counter((r[0], *plain_url(r[1]), plain_rule(*plain_url(r[1]), queries.URL_RULES)) for r in rows)
     assert Counter((r.page_id, r.host, r.path, r.rule) for r in got) == want
@@ -260,11 +266,34 @@ def test_urls_against_plain_rules(spark):
     assert {r.verdict for r in urls.judge(pages, [], None).collect()} == {"allow"}
 
 
-def test_url_model_tells_held_out_words(spark):
-    seeds = urls.seed_urls(spark)
-    held = seeds.where("crc32(cast(url as binary)) % 5 = 0")
-    got = urls.judge(held.withColumnRenamed("label", "page_id"), [], urls.train(seeds.join(held, "url", "left_anti"))).collect()
-    assert np.mean([(r.verdict == "block") == (r.page_id == 1) for r in got]) > 0.85
+def test_url_model_tells_held_out_urls(spark):
+    seeds = urls.seed_urls(spark, frames=20).cache()
+    apart = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    model = urls.train(seeds.where(~apart), features=1 << 16)
+    got = urls.judge(seeds.where(apart).withColumnRenamed("label", "page_id"), [], model, cut=0.2).collect()
+    seeds.unpersist()
+    assert np.mean([r.verdict == "block" for r in got if r.page_id == 1]) > 0.7
+    assert np.mean([r.verdict == "allow" for r in got if r.page_id == 0]) > 0.9
+
+
+def test_url_verdicts_do_not_depend_on_other_pages(spark, url_model, tmp_path):
+    hosts = ["poker-roulette.test", "www.casino-bonus.test", "shop.cheap-replica.test", "phishing.test", "m.warez-torrent.test"]
+    plain = ["orchard.test", "www.lakeview-museum.test", "m.brendal.test", "university-library.test"]
+    asked = [f"http://{h}/en/{n}" for n, h in enumerate(hosts + plain)]
+    beside = [f"https://www.plimsol{n}.example.org/de/{n}" for n in range(3_000)]
+    pages = spark.createDataFrame(list(enumerate(asked + beside)), "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    within = queries.QUERIES["op1_url_filters"](spark, str(tmp_path)).where(f"page_id < {len(asked)}").collect()
+    alone = urls.judge(pages.where(f"page_id < {len(asked)}"), [], url_model, cut=0.06).collect()
+    want = {n: "block" if n < len(hosts) else "allow" for n in range(len(asked))}
+    assert {r.page_id: r.verdict for r in within} == {r.page_id: r.verdict for r in alone} == want
+
+
+def test_url_seed_twins_differ_in_their_words_alone(spark):
+    rows = urls.seed_urls(spark, frames=2, others=3).collect()
+    assert Counter(r.label for r in rows) == {1: 2 * len(urls.UNWANTED), 0: 6 * len(urls.UNWANTED)}
+    frame = [re.sub(r"//((?:www|m|blog|shop|en|static)\.)?[^./]+", r"//\1*", r.url) for r in rows]
+    assert all(len(set(frame[k : k + 4])) == 1 for k in range(0, len(frame), 4))
 
 
 # ------------------------------------------------------------------ mixing
