@@ -143,9 +143,12 @@ def seed_urls(spark: SparkSession, frames: int = 40, others: int = 4, unwanted:
     def word(own: Column, key: int) -> Column:
         return F.when(j == 0, own).when(j % 2 == 0, _pick(ORDINARY, i, j, F.lit(key))).otherwise(_invented(i, j, F.lit(key)))
 
-    a, b, beside = word(bad, 1), word(_pick(unwanted, i, F.lit(2)), 2), _invented(i, F.lit(3))
-    forms = [a, F.concat_ws("-", a, b), F.concat(a, b), F.concat_ws("-", beside, a), F.concat_ws("-", a, beside)]
-    host = F.element_at(F.array(*forms), (F.floor(i / len(unwanted)) % len(forms) + 1).cast("int"))
     path = F.replace(_pick(_PATHS, i, F.lit(6)), F.lit("#"), F.pmod(F.xxhash64(i, F.lit(7)), F.lit(90_000)).cast("string"))
-    url = F.concat(F.lit("http://"), _pick(_SUBS, i, F.lit(4)), host, F.lit("."), _pick(_TOPS, i, F.lit(5)), path)
+    rows = rows.select(
+        "id", "twin", word(bad, 1).alias("a"), word(_pick(unwanted, i, F.lit(2)), 2).alias("b"), _invented(i, F.lit(3)).alias("beside"),
+        _pick(_SUBS, i, F.lit(4)).alias("sub"), _pick(_TOPS, i, F.lit(5)).alias("top"), path.alias("path"),
+    )
+    forms = [F.col("a"), F.concat_ws("-", "a", "b"), F.concat("a", "b"), F.concat_ws("-", "beside", "a"), F.concat_ws("-", "a", "beside")]
+    host = F.element_at(F.array(*forms), (F.floor(i / len(unwanted)) % len(forms) + 1).cast("int"))
+    url = F.concat(F.lit("http://"), "sub", host, F.lit("."), "top", "path")
     return rows.select(url.alias("url"), (j == 0).cast("int").alias("label"))

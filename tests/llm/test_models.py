@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sondage.llm import mixing, pitmanyor, quality, queries, toxicity, urls
 from tests.conftest import SMALL
@@ -267,13 +268,13 @@ def test_urls_against_plain_rules(spark, url_model):
 
 
 def test_url_model_tells_held_out_urls(spark):
-    seeds = urls.seed_urls(spark, frames=20).cache()
+    seeds = urls.seed_urls(spark).cache()
     apart = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    model = urls.train(seeds.where(~apart), features=1 << 16)
-    got = urls.judge(seeds.where(apart).withColumnRenamed("label", "page_id"), [], model, cut=0.2).collect()
+    model = urls.train(seeds.where(~apart))
+    got = urls.judge(seeds.where(apart).withColumnRenamed("label", "page_id"), [], model, cut=0.06).collect()
     seeds.unpersist()
-    assert np.mean([r.verdict == "block" for r in got if r.page_id == 1]) > 0.7
-    assert np.mean([r.verdict == "allow" for r in got if r.page_id == 0]) > 0.9
+    assert np.mean([r.verdict == "block" for r in got if r.page_id == 1]) > 0.9
+    assert np.mean([r.verdict == "allow" for r in got if r.page_id == 0]) > 0.85
 
 
 def test_url_verdicts_do_not_depend_on_other_pages(spark, url_model, tmp_path):
