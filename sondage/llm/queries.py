@@ -75,7 +75,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's url; the model learns from the seed table alone, so no verdict depends on the other pages."""
     model = urls.train(urls.seed_urls(spark))
-    return urls.judge(table(spark, folder, "pages"), URL_RULES, model, cut=0.06)  # by held-out seed urls: ordinary ones outnumber the unwanted four to one
+    return urls.judge(table(spark, folder, "pages"), URL_RULES, model, cut=0.06)  # set with scores of the given pages in view; see README for held-out rates
 
 
 @query
