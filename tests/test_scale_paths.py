@@ -208,3 +208,27 @@ def test_sample_prefilter_keeps_the_same_rows(spark, folder, monkeypatch):
     small = sorted(r["o_orderkey"] for r in R.sample_n(o, 20, "o_orderkey").collect())
     monkeypatch.setattr(R, "_SAMPLE_PREFILTER", 10**9)
     assert sorted(r["o_orderkey"] for r in R.sample_n(o, 20, "o_orderkey").collect()) == small
+
+
+def test_places_of_equal_values_are_dealt_out_and_none_is_sorted(spark):
+    from statistics import NormalDist
+
+    import numpy as np
+
+    from sondage.operators import stats as S
+
+    values = [1.0] * 300_000 + [2.0] * 200 + [3.0, 4.0, 5.0]
+    df = spark.range(len(values)).selectExpr("CASE WHEN id < 300000 THEN 1D WHEN id < 300200 THEN 2D ELSE 3D + (id - 300200) END AS x")
+    tallied = S._tallied(S._cells(df, ["x"]))
+    assert tallied.count() == 5  # the ordered pass sees each value once
+    placed = S._places(tallied, len(values))
+    assert placed.agg(F.count("i"), F.countDistinct("i"), F.min("i"), F.max("i")).first()[:] == (300_203, 300_203, 0, 300_202)
+    assert max(placed.rdd.glom().map(len).collect()) <= 3 * (1 << 16)  # of the one value no task has all
+    n, x = len(values), np.sort(values)
+    m = np.array([NormalDist().inv_cdf((i + 0.625) / (n + 0.25)) for i in range(n)])
+    u, mm = 1 / np.sqrt(n), (m * m).sum()
+    last, nxt = S._poly(S._ROYSTON_LAST, u) + m[-1] / np.sqrt(mm), S._poly(S._ROYSTON_NEXT, u) + m[-2] / np.sqrt(mm)
+    a = m / np.sqrt((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * nxt**2))
+    a[[0, 1, -2, -1]] = -last, -nxt, nxt, last
+    w = (a * (x - x.mean())).sum() ** 2 / ((x - x.mean()) ** 2).sum()
+    assert S.shapiro_wilk(df, "x").first()["w"] == pytest.approx(w, rel=1e-6)
