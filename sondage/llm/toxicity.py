@@ -33,6 +33,7 @@ SUBSTITUTE, SKIP, REPEAT, DOUBLE = 1.5, 0.3, 0.7, 3.0  # channel costs, in nats;
 UNKNOWN, SIGN, BLANK = 6.0, 2.3, 2.0  # costs of a word that is not known, of a sign in it, and of an inserted blank
 PREFIXES = (4, 5, 6)
 LONGEST_PIECE, MOST_PIECES = 3, 16  # letters of a piece between blanks, pieces of a word
+KNOWN_SHARE = 1 / 8192  # least share of labelled documents that a known word is in (three documents at least): bounds the model, not the rows
 REMEMBERED = 300_000
 
 _APART = re.compile(r"[^\W\d_](?:[.\-_*~·,/\\][^\W_]){2,}|[^\W\d_]+[.\-_*~·][^\W\d_]+")
@@ -228,23 +229,44 @@ def weight(bad: int, good: int, base: float, shrink: float, telling: float) -> f
     return log_odds((bad + shrink * base) / (n + shrink)) - log_odds(base) if far >= telling else 0.0
 
 
-def calibrated(sums: np.ndarray, toxic: np.ndarray, base: float, prior: float = 1.0) -> tuple[float, float]:
-    """(start, slope) of the log odds of being toxic over the sum of weights: Newton steps, held near (log odds of base, 1)."""
-    at = centre = np.array([log_odds(base), 1.0])
-    x = np.stack([np.ones(len(sums)), sums], axis=1)
+def calibrated(sums: DataFrame, base: float, prior: float = 1.0) -> tuple[float, float]:
+    """(start, slope) of the log odds of being toxic over the sum of weights: Newton steps, held near (log odds of base, 1).
 
-    def loss(at: np.ndarray) -> float:
-        z = x @ at
-        return float((np.logaddexp(0, z) - toxic * z).sum() + prior / 2 * ((at - centre) ** 2).sum())
+    ``sums`` (sum, toxic, count) stays where it is: a pass brings back the loss and its slopes at all steps that may be taken.
+    """
+    centre = np.array([log_odds(base), 1.0])
+    names = ["loss", "h0", "h1", "h2", "g0", "g1"]
+
+    def totals(points: list[np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(points), 6))
+            for b in batches:
+                x, y, k = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("sum", "toxic", "count"))
+                for i, at in enumerate(points):
+                    z = at[0] + at[1] * x
+                    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                    h, g = k * p * (1 - p), k * (p - y)
+                    out[i] += [(k * (np.logaddexp(0, z) - y * z)).sum(), h.sum(), (h * x).sum(), (h * x * x).sum(), g.sum(), (g * x).sum()]
+            yield pa.record_batch([pa.array(np.arange(len(points))), *[pa.array(out[:, j]) for j in range(6)]], names=["i", *names])
+
+        out = np.zeros((len(points), 6))
+        parts = sums.mapInArrow(run, "i long, " + ", ".join(f"{n} double" for n in names))
+        for r in parts.groupBy("i").agg(*[F.sum(n) for n in names]).collect():  # one row a point
+            out[r[0]] = r[1:]
+        for i, at in enumerate(points):
+            out[i, 0] += prior / 2 * ((at - centre) ** 2).sum()
+        return out
 
+    at, sizes = centre, [0.5**i for i in range(21)]
+    here = totals([at])[0]
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior * np.eye(2), x.T @ (p - toxic) + prior * (at - centre))
-        size = 1.0
-        while loss(at - size * step) > loss(at) and size > 1e-6:
-            size /= 2
-        at = at - size * step
-        if np.abs(size * step).max() < 1e-9:
+        step = np.linalg.solve(np.array([[here[1], here[2]], [here[2], here[3]]]) + prior * np.eye(2), here[4:] + prior * (at - centre))
+        if np.abs(step).max() < 1e-9:
+            break
+        after = totals([at - s * step for s in sizes])
+        best = next((i for i in range(len(sizes)) if after[i, 0] <= here[0]), len(sizes) - 1)
+        at, here = at - sizes[best] * step, after[best]
+        if np.abs(sizes[best] * step).max() < 1e-9:
             break
     return float(at[0]), max(float(at[1]), 0.0)
 
@@ -282,16 +304,15 @@ class Model:
         return self.heaviest(f for f in self.cues if f[-1] == "$" and len(f) > 4 and f[:-1] in whole)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, toxic) of labelled training rows: those whose crc32 remainder by 3 is not 1, at most ``most`` of them by hash."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of all labelled training rows: those whose crc32 remainder by 3 is not 1."""
     rows = labels.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("toxic").cast("int").alias("toxic"))
     rows = rows.where((remainder("doc_id", 3) != 1) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents(docs).join(F.broadcast(some), "doc_id")  # at most ``most`` rows of 12 bytes
+    return documents(docs).join(rows, "doc_id")
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, shrink: float = 10.0, telling: float = 6.0) -> Model:
-    """Model from at most ``most`` labelled documents, whose whole texts are read.
+def learn(docs: DataFrame, labels: DataFrame, shrink: float = 10.0, telling: float = 6.0) -> Model:
+    """Model from all labelled documents, whose whole texts are read.
 
     A cue is a word or beginning of a word of positive ``weight``. A beginning that owes most of its toxic documents to whole
     words that are cues themselves is none. The calibration is fitted to the labelled documents, each weighed by counts that
@@ -314,14 +335,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, shrink: float
         for lo in range(0, len(rows), 100_000):
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 100_000]), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "key", "bad", "good"])
 
-    counted = held(labelled(docs, labels, most).mapInArrow(count, "kind string, key string, bad long, good long").groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    counted = held(labelled(docs, labels).mapInArrow(count, "kind string, key string, bad long, good long").groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     n = counted.where("kind = 'n'").first()
     n_bad, n_good = (n["bad"], n["good"]) if n else (0, 0)
     base = (n_bad + 0.5) / (n_bad + n_good + 1)
     good = F.greatest(F.col("good") - 1, F.lit(0))  # a clean document that leaves itself out
     share = F.col("bad") / (F.col("bad") + good)
     far = F.col("bad") * F.log(share / base) + F.when(good > 0, good * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    # every cue has several toxic documents among at most ``most``, every letter pair comes from them
+    # features that tell, and letter pairs: a part of the vocabulary, whatever the rows
     found = counted.where("kind = 'f' and bad > 0").where((share > base) & (far >= telling * (1 - 1e-9))).select("key", "bad", "good").collect()
     counts = {r["key"]: (r["bad"], r["good"]) for r in found}
     whole = [(f[:-1], bad) for f, (bad, good) in counts.items() if f.endswith("$") and weight(bad, good, base, shrink, telling)]
@@ -343,12 +364,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, shrink: float
             yield pa.record_batch([pa.array(sums, pa.float64()), pa.array(kinds, pa.int32())], names=["sum", "toxic"])
 
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    fitted = labelled(docs, labels, most).mapInArrow(alone, "sum double, toxic int").groupBy("sum", "toxic").count().collect()  # at most ``most`` rows
-    times = [r["count"] for r in fitted]
-    start, slope = calibrated(np.repeat([r["sum"] for r in fitted], times), np.repeat([float(r["toxic"]) for r in fitted], times), base)
+    fitted = held(labelled(docs, labels).mapInArrow(alone, "sum double, toxic int").groupBy("sum", "toxic").count())
+    start, slope = calibrated(fitted, base)
     cues = {f: w for f, (bad, good) in sorted(counts.items()) if (w := weight(bad, good, base, shrink, telling))}
     pairs = {r["key"]: r["bad"] for r in counted.where("kind = 'p'").collect()}
-    known = counted.where("kind = 'f' and key like '%$' and bad + good > 2").selectExpr("key", "bad + good as n").collect()  # of at most ``most`` documents
+    known = counted.where("kind = 'f' and key like '%$'").where(F.col("bad") + F.col("good") >= max(3, KNOWN_SHARE * (n_bad + n_good))).selectExpr("key", "bad + good as n").collect()
     words = {r["key"][:-1]: r["n"] for r in known if r["key"][:-1].isalpha()}
     return Model(cues, Letters.learn(pairs, words=words), start, slope)
 
@@ -422,7 +442,7 @@ def restore(docs: DataFrame, model: Model, column: str = "restored") -> DataFram
     return docs.withColumn(column, run(quoted("text")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, cut: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; see ``learn`` and ``score``."""
-    scored = score(docs, learn(docs, labels, most))
+    scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

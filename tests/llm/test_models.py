@@ -337,3 +337,24 @@ def test_copies_follow_the_poisson_law(spark):
     assert abs(n.mean() - 1.7) < 0.05 and abs(n.var() - 1.7) < 0.1
     big = np.array([r._copies for r in mixing.replicate(df.limit(500), mixing.rates(df, epochs=1000.0)).select("_copies").collect()])
     assert abs(big.mean() - 1000) < 8 and abs(big.std() - 1000**0.5) < 5
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS int) AS toxic")
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "'a text' AS text")
+    taught = toxicity.labelled(docs, labels)
+    ids = [i for i in range(30_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert taught.count() == len(ids) == taught.agg(F.countDistinct("doc_id")).first()[0] and len(ids) < 20_500
+    more = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS int) AS toxic")
+    assert toxicity.labelled(more.selectExpr("doc_id", "'a text' AS text"), more).count() > 39_000
+
+
+def test_calibration_of_counted_sums_is_the_plain_fit(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, 500) * 0.7
+    y = (rng.random(500) < 1 / (1 + np.exp(2 - 1.3 * x))).astype(float)
+    sums = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "sum double, toxic int").groupBy("sum", "toxic").count()
+    start, slope = toxicity.calibrated(sums, 0.3)
+    p = 1 / (1 + np.exp(-(start + slope * x)))
+    pull = [start - toxicity.log_odds(0.3), slope - 1]  # at the least loss all slopes of it are zero
+    assert np.allclose([(p - y).sum() + pull[0], ((p - y) * x).sum() + pull[1]], 0, atol=1e-6)
