@@ -59,3 +59,13 @@ def test_every_row_is_in_its_nearest_cluster(spark, folder):
     away = ((z.to_numpy()[:, None, :] - means.to_numpy()[None]) ** 2).sum(axis=2)
     assert (means.index[away.argmin(axis=1)] == pdf["cluster"]).mean() > 0.99
     assert out.select(F.count_distinct("cluster")).first()[0] == 4
+
+
+def test_labels_run_in_generated_code_and_equal_distances_go_to_the_first(spark):
+    df = spark.createDataFrame([(float(v), 0.0) for v in (0, 1, 2, 50, 51, 52, 100, 101, 102)], "a double, b double")
+    found = ml.kmeans(df, ["a", "b"], 3)
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.a // 50, r.cluster) for r in found.collect()) == [(float(c), f"Cluster {c}") for c in range(3) for _ in range(3)]
+    blocks = centres.packed(spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "x double"))
+    (load, sums, cost), = centres._sums(blocks, 1, [np.array([[0.0], [2.0], [2.0]])])
+    assert load.tolist() == [2, 1, 0] and sums.tolist() == [[1.0], [2.0], [0.0]] and cost == 1
