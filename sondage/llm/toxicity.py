@@ -35,6 +35,8 @@ PREFIXES = (4, 5, 6)
 LONGEST_PIECE, MOST_PIECES = 3, 16  # letters of a piece between blanks, pieces of a word
 KNOWN_SHARE = 1 / 8192  # least share of labelled documents that a known word is in (three documents at least): bounds the model, not the rows
 REMEMBERED = 300_000
+#: Bits of the filter that tells documents with a label before texts are shuffled: a fixed size; a full filter lets more pass, never less.
+LABEL_BITS = 1 << 25
 
 _APART = re.compile(r"[^\W\d_](?:[.\-_*~·,/\\][^\W_]){2,}|[^\W\d_]+[.\-_*~·][^\W\d_]+")
 _DRAWN = re.compile(r"(.)\1\1")
@@ -96,6 +98,10 @@ def decode(seen: str, letters: Letters) -> str:
     paths: dict[str, tuple[float, str]] = {"^": (0.0, "")}
     for i, c in enumerate(seen):
         before = seen[i - 1] if i else ""
+        if len(paths) == 1 and c != before and c.isalpha():  # nothing to choose
+            ((last, (cost, text)),) = paths.items()
+            paths = {c: (cost + letters.step(last, c), text + c)}
+            continue
         if c.isalpha():
             options = [(c, 0.0)]
         else:
@@ -107,7 +113,10 @@ def decode(seen: str, letters: Letters) -> str:
             for last, (cost, text) in paths.items():
                 after[last] = (cost + skip, text)
         for x, own in options:
-            best = min(((cost + own + letters.step(last, x), text) for last, (cost, text) in paths.items()), key=lambda v: v[0])
+            best = (math.inf, "")
+            for last, (cost, text) in paths.items():
+                if (whole := cost + own + letters.step(last, x)) < best[0]:
+                    best = (whole, text)
             if x not in after or best[0] < after[x][0]:
                 after[x] = (best[0], best[1] + x)
         paths = after
@@ -116,7 +125,7 @@ def decode(seen: str, letters: Letters) -> str:
 
 def reading(core: str, letters: Letters) -> str:
     """The likelier of a word as it stands and what ``decode`` makes of it; a known word stays."""
-    if core in letters.words:
+    if core in letters.words or core.isalpha() and not _DOUBLED.search(core):
         return core
     parts = [x for x in _CUTS.split(core) if x]
     apart = len(parts) > 1 and sum(c.isalpha() for c in core) > 1 and all(c.isalpha() or c in LOOKS_LIKE or c in SEPARATORS for c in core)
@@ -139,6 +148,8 @@ def reading(core: str, letters: Letters) -> str:
 
 def piece(word: str, letters: Letters) -> int:
     """0 for a word that is no piece of another between blanks, 1 for a short one, 2 for a short one that is not known."""
+    if len(word) > LONGEST_PIECE and word.isalpha():
+        return 0
     core = word.lower().strip(EDGE)
     if not 0 < len(core) <= LONGEST_PIECE or not all(c.isalpha() or c in LOOKS_LIKE for c in core):
         return 0
@@ -286,8 +297,12 @@ class Model:
 
     def heaviest(self, found: Iterable[str]) -> tuple[int, float]:
         """(number, weight) of the cue of most weight among features; (-1, 0) if there is none."""
-        best = max((f for f in found if f in self.cues), key=self.cues.__getitem__, default=None)
-        return (self.number[best], self.cues[best]) if best else (-1, 0.0)
+        best, most = None, 0.0
+        for f in found:
+            v = self.cues.get(f)
+            if v is not None and (best is None or v > most):
+                best, most = f, v
+        return (self.number[best], most) if best else (-1, 0.0)
 
     def of_word(self, word: str) -> tuple[int, float]:
         core = plain(word, self.letters)
@@ -305,10 +320,18 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of all labelled training rows: those whose crc32 remainder by 3 is not 1."""
+    """(doc_id, text, toxic) of all labelled training rows: those whose crc32 remainder by 3 is not 1.
+
+    Only texts that a bit array of the labelled ids lets pass are shuffled to their labels. The labels are never broadcast, however
+    few they are, so that what is written grows with the input and does not leap at a size.
+    """
     rows = labels.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("toxic").cast("int").alias("toxic"))
     rows = rows.where((remainder("doc_id", 3) != 1) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return documents(docs).join(rows, "doc_id")
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(LABEL_BITS - 1))
+    word, bit = F.shiftright(place, 6).alias("_word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))")
+    bits = rows.select(word, bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))  # LABEL_BITS / 64 rows at most
+    passed = documents(docs).withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return passed.select("doc_id", "text").join(rows.hint("merge"), "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, shrink: float = 10.0, telling: float = 6.0) -> Model:
@@ -321,16 +344,32 @@ def learn(docs: DataFrame, labels: DataFrame, shrink: float = 10.0, telling: flo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good, pairs, n = Counter(), Counter(), Counter(), [0, 0]
+        held_in: Counter = Counter()  # word as it stands -> documents whose letter pairs are still to be counted
+        known: dict[str, list[str]] = {}
+
+        def count_pairs() -> None:
+            for w, k in held_in.items():
+                core = plain(w, None)
+                if core.isalpha():
+                    for x, y in zip("^" + core, core + "$"):
+                        pairs[x + y] += k
+            held_in.clear()
+
         for b in batches:
             for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist()):
-                found = set()
-                for w in set(text.as_py().decode("utf-8", "replace").split()):
-                    core = plain(w, None)
-                    found.update(features(core))
-                    if core.isalpha():
-                        pairs.update(map("".join, zip("^" + core, core + "$")))
+                found, own = set(), set(text.as_py().decode("utf-8", "replace").split())
+                held_in.update(own)
+                for w in own:
+                    if (of := known.get(w)) is None:
+                        of = known[w] = features(plain(w, None))
+                    found.update(of)
                 (bad if toxic else good).update(found)
                 n[toxic] += 1
+                if len(known) > REMEMBERED:
+                    known.clear()
+                if len(held_in) > REMEMBERED:
+                    count_pairs()
+        count_pairs()
         rows = [("f", f, bad[f], good[f]) for f in bad.keys() | good.keys()] + [("p", p, c, 0) for p, c in pairs.items()] + [("n", "", n[1], n[0])]
         for lo in range(0, len(rows), 100_000):
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 100_000]), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "key", "bad", "good"])
@@ -352,15 +391,24 @@ def learn(docs: DataFrame, labels: DataFrame, shrink: float = 10.0, telling: flo
     counts = {f: (bad, good) for f, (bad, good) in counts.items() if f.endswith("$") or owed[f] < 0.7 * bad}
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[dict, dict] = {}, {}  # a word's heaviest cue as clean and as toxic documents that leave themselves out weigh it
+
+        def heaviest(w: str, toxic: int) -> tuple[float, str] | None:
+            own = [f for f in features(plain(w, None)) if f in shared.value]
+            return max(((weight(shared.value[f][0] - toxic, shared.value[f][1] - (1 - toxic), base, shrink, telling), f) for f in own), default=None)
+
         for b in batches:
             sums, kinds = [], b.column("toxic").to_pylist()
             for text, toxic in zip(b.column("text"), kinds):
                 best: dict[str, float] = {}
-                for core in {plain(w, None) for w in set(text.as_py().decode("utf-8", "replace").split())}:
-                    own = [(weight(shared.value[f][0] - toxic, shared.value[f][1] - (1 - toxic), base, shrink, telling), f) for f in features(core) if f in shared.value]
-                    if own:
-                        best[max(own)[1]] = max(own)[0]
-                sums.append(sum(best.values()))
+                for w in set(text.as_py().decode("utf-8", "replace").split()):
+                    if w not in known[toxic]:
+                        known[toxic][w] = heaviest(w, toxic)
+                    if found := known[toxic][w]:
+                        best[found[1]] = found[0]
+                sums.append(math.fsum(best.values()))
+                if len(known[toxic]) > REMEMBERED:
+                    known[toxic].clear()
             yield pa.record_batch([pa.array(sums, pa.float64()), pa.array(kinds, pa.int32())], names=["sum", "toxic"])
 
     shared = docs.sparkSession.sparkContext.broadcast(counts)

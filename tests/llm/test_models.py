@@ -358,3 +358,20 @@ def test_calibration_of_counted_sums_is_the_plain_fit(spark):
     p = 1 / (1 + np.exp(-(start + slope * x)))
     pull = [start - toxicity.log_odds(0.3), slope - 1]  # at the least loss all slopes of it are zero
     assert np.allclose([(p - y).sum() + pull[0], ((p - y) * x).sum() + pull[1]], 0, atol=1e-6)
+
+
+def test_toxicity_shuffles_labelled_texts_alone(spark, monkeypatch):
+    """Labels are not broadcast, however few, and texts without a label stay where they are; a full filter loses no row."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(0, 20_000, 10).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 20 = 0 AS int) AS toxic")
+    taught = toxicity.labelled(docs, labels)
+    plan = taught._jdf.queryExecution().optimizedPlan()
+    both = plan
+    while both.nodeName() != "Join":
+        both = both.children().head()
+    assert "strategy=merge" in both.hint().toString()
+    passed = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, both.children().head()).count()
+    expected = sorted(tuple(r) for r in taught.collect())
+    assert len(expected) <= passed <= 1.05 * len(expected)
+    monkeypatch.setattr(toxicity, "LABEL_BITS", 64)  # every bit is set: all texts pass
+    assert sorted(tuple(r) for r in toxicity.labelled(docs, labels).collect()) == expected
