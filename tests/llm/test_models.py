@@ -375,3 +375,14 @@ def test_toxicity_shuffles_labelled_texts_alone(spark, monkeypatch):
     assert len(expected) <= passed <= 1.05 * len(expected)
     monkeypatch.setattr(toxicity, "LABEL_BITS", 64)  # every bit is set: all texts pass
     assert sorted(tuple(r) for r in toxicity.labelled(docs, labels).collect()) == expected
+
+
+def test_url_model_has_places_for_met_buckets_alone(spark):
+    """Every step of the training brings a number for each place to the driver; the buckets of the table are far fewer than all."""
+    seeds = urls.seed_urls(spark, frames=4)
+    model = urls.train(seeds, rounds=5)
+    rows = urls.split(seeds).select(urls.grams(F.col("_host"), F.col("_path")).alias("_grams"))
+    met = urls.bucketed(rows, 1 << 19).select(F.explode("_buckets")).distinct().count()
+    assert model.regression.numFeatures == met < 50_000
+    unmet = spark.createDataFrame([(1, "")], "page_id long, url string").select("page_id", F.array(F.lit("\u2603\u2603")).alias("_grams"))
+    assert model.transform(unmet).first()["_features"].numNonzeros() == 0
