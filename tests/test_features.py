@@ -101,3 +101,16 @@ def test_group_tables_cover_every_pair(rows):
     got = {(r["category"], r["level"], r["column"]): tuple(r)[3:] for r in relational.group_tables(df, ["s", "g"], ["x", "y"]).collect()}
     assert len(got) == 8 and got["s", "a", "x"] == (1, 2.0, 2.0) and got["g", "1", "x"] == (2, 5.0, 10.0) and got["s", "b", "y"] == (0, None, 0.0)
     assert relational.group_tables(df, [], ["x"]).count() == 0
+
+
+def test_boosting_fits_merged_rows(spark):
+    """The chains read weighted bins, as many as there are different ones; rare codes and near cuts are told apart."""
+    rows = spark.range(60_000).selectExpr("id", "(id * 7919) % 60000 / 600.0 AS value", "IF(id % 400 = 7, 'rare', 'usual') AS kind")
+    rows = rows.selectExpr("id", "value", "kind", "CASE WHEN kind = 'rare' THEN 'odd' WHEN value < 30 THEN 'low' WHEN value < 33 THEN 'thin' ELSE 'top' END AS band")
+    model = ml.fit_default(rows, "band", key="id", trees=5)
+    merged = model.pipeline.stages[-1]
+    assert isinstance(merged, ml.BinnedModel) and all(len(c) <= ml.BINS for c in merged.binned.cuts)
+    out = ml.predict_table(model, rows, probabilities=True)
+    assert out.columns == ["id", "value", "kind", "band", "Predicted_band", "Probabilities_band"]
+    right = {r[0]: r[1] for r in out.groupBy("band").agg(F.avg((F.col("band") == F.col("Predicted_band")).cast("int"))).collect()}
+    assert min(right.values()) > 0.9 and right["odd"] == 1.0
