@@ -114,3 +114,34 @@ def test_boosting_fits_merged_rows(spark):
     assert out.columns == ["id", "value", "kind", "band", "Predicted_band", "Probabilities_band"]
     right = {r[0]: r[1] for r in out.groupBy("band").agg(F.avg((F.col("band") == F.col("Predicted_band")).cast("int"))).collect()}
     assert min(right.values()) > 0.9 and right["odd"] == 1.0
+
+
+def test_regression_trees_fit_merged_rows(spark):
+    """Boosting on merged rows is that of all rows; a forest draws every row for every tree; rows that hardly repeat stay as they are."""
+    rows = spark.range(20_000).selectExpr("id", "id % 12 AS x", "IF(id % 400 = 7, 'rare', 'usual') AS kind", "(id % 12) * (id % 12) + IF(id % 400 = 7, 90, 0) + (id * 7919) % 101 / 10.0 AS y")
+    ready = ml.build_features(rows, ["x", "kind"]).fit(rows).transform(rows).withColumn(ml.LABEL, F.col("y").cast("double"))
+    ready = ready.coalesce(2).select("id", ml.LABEL, ml.FEATURES).cache()
+    set_up = lambda e: e.setLabelCol(ml.LABEL).setFeaturesCol(ml.FEATURES).setPredictionCol(ml.PREDICTION)
+    predicted = lambda m: [r[0] for r in m.transform(ready).orderBy("id").select(ml.PREDICTION).limit(2_000).collect()]
+    merged = ml.MergedRegression(set_up(ml.GBTRegressor(maxIter=5, seed=1))).fit(ready)
+    assert isinstance(merged, ml.BinnedModel)
+    assert np.allclose(predicted(merged), predicted(set_up(ml.GBTRegressor(maxIter=5, seed=1)).fit(ready)), rtol=1e-9)
+    metrics, plain = ml._merged_metrics(merged, ready), ml._metrics(merged.transform(ready), ml.REGRESSION)
+    assert all(abs(metrics[k] - plain[k]) < 1e-9 for k in plain)
+
+    forest = ml.MergedRegression(set_up(ml.RandomForestRegressor(numTrees=12, maxDepth=8, featureSubsetStrategy="all", seed=1))).fit(ready)
+    assert isinstance(forest, ml.BinnedModel) and len(forest.model.trees) == 12
+    whole = ml._metrics(set_up(ml.RandomForestRegressor(numTrees=12, maxDepth=8, featureSubsetStrategy="all", seed=1)).fit(ready).transform(ready), ml.REGRESSION)
+    assert abs(ml._merged_metrics(forest, ready)["r2"] - whole["r2"]) < 0.01
+
+    own = ready.withColumn(ml.FEATURES, ml.array_to_vector(F.array(*[F.rand(i) for i in range(6)])))
+    assert not isinstance(ml.MergedRegression(set_up(ml.GBTRegressor(maxIter=1, seed=1))).fit(own), ml.BinnedModel)
+
+
+def test_draws_of_a_forest_are_of_single_rows(spark):
+    placed = spark.range(40_000).selectExpr("id % 4 AS _cell", "CAST(id % 4 * 10 + (id * 7919) % 1009 / 1009.0 AS DOUBLE) AS y").withColumnRenamed("y", ml.LABEL)
+    got = ml._draws(placed, 4, 50, seed=3).toPandas()
+    assert len(got) == 200 and len(set(got["_rows"])) > 60
+    assert abs(got["_rows"].mean() - 10_000) < 40 and 70 < got["_rows"].std() < 135  # Poisson sums: a deviation of 100
+    spread = (got[ml.LABEL] - got["_cell"] * 10).std()
+    assert 0.0015 < spread < 0.006  # the deviation of a row, 0.29, over the root of 10,000 drawn ones
