@@ -232,3 +232,51 @@ def test_places_of_equal_values_are_dealt_out_and_none_is_sorted(spark):
     a[[0, 1, -2, -1]] = -last, -nxt, nxt, last
     w = (a * (x - x.mean())).sum() ** 2 / ((x - x.mean()) ** 2).sum()
     assert S.shapiro_wilk(df, "x").first()["w"] == pytest.approx(w, rel=1e-6)
+
+
+@pytest.mark.parametrize("margin", [0.005, 0.0])
+def test_sliced_quantiles_are_exact(spark, monkeypatch, margin):
+    """Order statistics of large tables come out of slices; where a sample misses one, out of the whole column."""
+    from sondage.plans import values
+
+    df = spark.range(40_000).selectExpr(
+        "IF(id % 5 > 0, pow(id * 7919 % 40000, 1.7), NULL) AS skewed", "id % 3 AS tied", "7 AS same", "CAST(NULL AS DOUBLE) AS none", "IF(id % 4 = 0, double('nan'), -1.0 * id) AS holes",
+        "CASE WHEN id < 300 THEN double('-inf') WHEN id > 39800 THEN double('inf') ELSE id * 0.5 END AS wide",
+    )
+    qs, cols = [0.5, 0.05, 0.0, 0.25, 0.999, 1.0], df.columns
+    whole = {r["column"]: r for r in df.sparkSession.createDataFrame(values.quantiles_long(df, cols, qs).toArrow()).collect()}
+    monkeypatch.setattr(values, "use_sketch", lambda d: False)
+    monkeypatch.setattr(values, "_SAMPLED", 2_000)
+    monkeypatch.setattr(values, "_MARGIN", margin)
+    placed, old = [], values.global_prefix
+    monkeypatch.setattr(values, "global_prefix", lambda d, *a, **k: placed.append(d.agg({"n": "sum"}).first()[0]) or old(d, *a, **k))
+    got = values.quantiles_long(df, cols, qs)
+    assert got.columns == ["column", "position", *[values.q_name(q) for q in qs]]
+    for r in got.collect():
+        for q in map(values.q_name, qs):
+            a, b = r[q], whole[r["column"]][q]
+            assert a == b or (a is not None and abs(a - b) < 1e-9 * max(1.0, abs(b)))
+    assert len(placed) == 1 and placed[0] < 200_000
+
+
+def test_few_values_are_placed_for_a_quantile(spark, monkeypatch):
+    from sondage.plans import values
+
+    df = spark.range(50_000).selectExpr("id * 7919 % 50000 + 0.5 AS x")
+    monkeypatch.setattr(values, "use_sketch", lambda d: False)
+    held, old = [], values.global_prefix
+    monkeypatch.setattr(values, "global_prefix", lambda d, *a, **k: held.append(d.count()) or old(d, *a, **k))
+    assert values.quantiles_long(df, ["x"], [0.5, 0.25]).first()["q0_25"] == 12_500.25
+    assert held[0] < 2_500
+
+
+def test_issues_count_different_values_of_texts_only(rows, monkeypatch):
+    from sondage.operators import quality, tablefacts
+
+    df = rows([(i, i * 0.5, f"t{i}", f"g{i % 3}") for i in range(60)], "k int, x double, t string, g string")
+    asked, stats, distinct = [], tablefacts.distinct_stats, tablefacts.nunique_table
+    monkeypatch.setattr(tablefacts, "distinct_stats", lambda d, c: asked.append(list(c)) or stats(d, c))
+    monkeypatch.setattr(tablefacts, "nunique_table", lambda d, c: asked.append(list(c)) or distinct(d, c))
+    found = quality.detect_issues(df).collect()
+    assert [(r["issue"], r["column"], r["count"]) for r in found] == [("high cardinality", "t", 60)]
+    assert asked == [["g"], ["t"]]
