@@ -280,3 +280,29 @@ def test_issues_count_different_values_of_texts_only(rows, monkeypatch):
     found = quality.detect_issues(df).collect()
     assert [(r["issue"], r["column"], r["count"]) for r in found] == [("high cardinality", "t", 60)]
     assert asked == [["g"], ["t"]]
+
+
+def test_report_measures_once(spark, folder, monkeypatch):
+    """Sections are those of the operators alone, but quantiles, repeats and different values are measured once for all of them."""
+    from sondage.operators import facts, profile, quality, stats, tablefacts
+    from sondage.plans import values
+
+    d = table(spark, folder, "dirty_orders")
+    plain = lambda t: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in t.collect())
+    alone = {"summary": profile.dataset_summary(d), "cleaning": quality.cleaning_recommendations(d), "importance": stats.important_columns(d), "health": quality.health_scores(d)}
+    alone = {name: plain(t) for name, t in alone.items()}
+    asked = {"quantiles": [], "distinct": [], "repeats": 0}
+    quantiles, digests, repeats = values.quantiles_long, profile.digest_counts_long, profile.duplicate_count
+
+    def repeated(df):
+        asked["repeats"] += 1
+        return repeats(df)
+
+    monkeypatch.setattr(values, "quantiles_long", lambda df, cols, *a: asked["quantiles"].extend(cols) or quantiles(df, cols, *a))
+    monkeypatch.setattr(profile, "digest_counts_long", lambda df, cols: asked["distinct"].extend(cols) or digests(df, cols))
+    monkeypatch.setattr(profile, "duplicate_count", repeated)
+    monkeypatch.setattr(tablefacts, "duplicate_count", repeated)
+    report = facts.report_tables(d)
+    assert {name: plain(report[name]) for name in alone} == alone
+    assert sorted(asked["quantiles"]) == sorted(profile.numeric_columns(d))
+    assert sorted(asked["distinct"]) == sorted(d.columns) and asked["repeats"] == 1
