@@ -116,8 +116,9 @@ def test_boosting_fits_merged_rows(spark):
     assert min(right.values()) > 0.9 and right["odd"] == 1.0
 
 
-def test_regression_trees_fit_merged_rows(spark):
+def test_regression_trees_fit_merged_rows(spark, monkeypatch):
     """Boosting on merged rows is that of all rows; a forest draws every row for every tree; rows that hardly repeat stay as they are."""
+    monkeypatch.setattr(ml, "MERGED_ROWS", 10_000)
     rows = spark.range(20_000).selectExpr("id", "id % 12 AS x", "IF(id % 400 = 7, 'rare', 'usual') AS kind", "(id % 12) * (id % 12) + IF(id % 400 = 7, 90, 0) + (id * 7919) % 101 / 10.0 AS y")
     ready = ml.build_features(rows, ["x", "kind"]).fit(rows).transform(rows).withColumn(ml.LABEL, F.col("y").cast("double"))
     ready = ready.coalesce(2).select("id", ml.LABEL, ml.FEATURES).cache()
@@ -134,6 +135,8 @@ def test_regression_trees_fit_merged_rows(spark):
     whole = ml._metrics(set_up(ml.RandomForestRegressor(numTrees=12, maxDepth=8, featureSubsetStrategy="all", seed=1)).fit(ready).transform(ready), ml.REGRESSION)
     assert abs(ml._merged_metrics(forest, ready)["r2"] - whole["r2"]) < 0.01
 
+    few = ml.MergedRegression(set_up(ml.GBTRegressor(maxIter=1, seed=1))).fit(ready.limit(9_000))
+    assert not isinstance(few, ml.BinnedModel)
     own = ready.withColumn(ml.FEATURES, ml.array_to_vector(F.array(*[F.rand(i) for i in range(6)])))
     assert not isinstance(ml.MergedRegression(set_up(ml.GBTRegressor(maxIter=1, seed=1))).fit(own), ml.BinnedModel)
 
