@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings as hyp, strategies as st
@@ -331,3 +332,31 @@ def test_a_text_of_more_words_than_are_remembered(monkeypatch):
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         ids, bounds = known.ids(data, np.array([0, len(data)]), 0)
         assert ids.tolist() == [*known.whole(text.encode()).tolist(), 0] and bounds.tolist() == [0, len(ids)]
+
+
+def test_plain_words_go_to_the_tokenizer_together():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdeßéñÉÀ", k=rng.randint(1, 9))) + "".join(rng.choices(".,!?$*", k=rng.randint(0, 2))) for _ in range(400)) for _ in range(5)] + ["", "... Ab, ab"]
+    known = packing.WordTokens(VOCABULARY)
+    want = [known.whole(t.encode()).tolist() for t in texts]
+    calls, bare = [], known.bare
+
+    class Counted:
+        def encode_batch_fast(self, given, **more):
+            calls.append(len(given))
+            return bare.encode_batch_fast(given, **more)
+
+    known.bare, known.tokenizer = Counted(), None  # words of plain letters and signs need no reading one by one
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    ids, bounds = known.ids(data, offsets, 0)
+    assert [ids[a : z - 1].tolist() for a, z in zip(bounds, bounds[1:])] == want
+    parts = {p for t in texts for w in t.split() for p in (w.rstrip(".,!?$*").encode(), w[len(w.rstrip(".,!?$*")) :].encode()) if p}
+    assert sum(calls) <= -(-len(parts) // packing.TOGETHER) < len(parts) / 10
+
+
+def test_other_words_are_read_as_the_tokenizer_reads_them():
+    texts = ["it's 2024 don't \u6f22\u5b57 a<|b x\u0301y caf\u00e9?! caf\u00e9 \u00c9T\u00c9... a!b $$$ \u00d7\u00f7 \u00aa", "", "IT'S <|endoftext|> ?", "\u00c3\u00a9 !\u00e9"]
+    got = list(packing.token_ids(pa.array([t.encode() for t in texts], pa.binary()), VOCABULARY, 0))
+    whole = packing.WordTokens(VOCABULARY).whole
+    assert [g.tolist() for g in got] == [[*whole(t.encode()).tolist(), 0] for t in texts]
