@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sondage.llm.common import LOWER, Words, chunks, distinct, documents, held, release
+from sondage.llm.common import LOWER, Words, chunks, distinct, documents, gathered, held, letters, lowered, release
 
 # ------------------------------------------------------------------ tokens
 
@@ -25,10 +25,8 @@ REMEMBERED = 600_000
 #: Parts of words that go to the tokenizer as one text.
 TOGETHER = 256
 _WORKER: dict[str, WordTokens] = {}
-_SIGN, _LETTER, _SECOND = (np.zeros(256, dtype=bool) for _ in range(3))
+_SIGN = np.zeros(256, dtype=bool)
 _SIGN[list(b".,;:!?&#$%*|()")] = True
-_LETTER[97:123] = True
-_SECOND[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True  # after C3: letters of Latin-1
 #: The signs (UTF-16) that byte-level vocabularies have for bytes: printable ones their own, the others from 256 up; a blank stays one.
 _SIGNS = np.arange(256, dtype="<u2")
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
@@ -36,15 +34,6 @@ _SIGNS[_OTHERS] = np.arange(256, 256 + len(_OTHERS))
 _SIGNS[32] = 32
 
 
-def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the spans in a row with a blank after each, and the spans in them."""
-    size = ends - starts
-    to = np.cumsum(size + 1)
-    out = data[np.minimum(np.repeat(starts - (to - size - 1), size + 1) + np.arange(to[-1] if len(to) else 0), max(len(data) - 1, 0))]
-    out[to - 1] = 32
-    return out, to - size - 1, to - 1
-
-
 def cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where the signs begin, odd) of words: a word of plain letters and then plain signs is cut between them by the tokenizer too.
 
@@ -53,10 +42,7 @@ def cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     if not len(starts):
         return ends, np.zeros(0, dtype=bool)
     row, lo, hi = gathered(data, starts, ends)
-    letter = _LETTER[row]
-    two = np.flatnonzero((row[:-1] == 0xC3) & _SECOND[row[1:]])
-    letter[two] = letter[two + 1] = True
-    stem = np.minimum.reduceat(np.where(letter, len(row), np.arange(len(row))), lo) - lo  # the blank is no letter
+    stem = np.minimum.reduceat(np.where(letters(row), len(row), np.arange(len(row))), lo) - lo  # the blank is no letter
     odd = stem + np.add.reduceat(_SIGN[row], lo, dtype=np.int64) != hi - lo
     return np.where(odd, ends, starts + stem), odd
 
@@ -107,10 +93,7 @@ class WordTokens:
 
     def _together(self, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each) of parts that lie in ``row`` with a blank after each."""
-        row = row.copy()
-        capital = np.flatnonzero((row[:-1] == 0xC3) & (row[1:] >= 0x80) & (row[1:] <= 0x9E)) + 1
-        row[capital] += 0x20
-        signs, edges = _SIGNS[row], [*lo[::TOGETHER].tolist(), len(row)]
+        signs, edges = _SIGNS[lowered(row)], [*lo[::TOGETHER].tolist(), len(row)]
         texts = [signs[a : z - 1].tobytes().decode("utf-16-le") for a, z in zip(edges, edges[1:])]
         got = [np.array(x.ids, dtype=np.uint32) for x in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate(got) if got else np.zeros(0, dtype=np.uint32)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sondage.functions.columns import quoted
-from sondage.llm.common import Words, chunks, documents, held, remainder
+from sondage.llm.common import Words, beginnings, chunks, distinct, documents, gathered, held, letters as letter_bytes, lowered, remainder
 
 # Fixed values of the channel: which letters a sign may stand for.
 LOOKS_LIKE = {
@@ -35,6 +35,8 @@ PREFIXES = (4, 5, 6)
 LONGEST_PIECE, MOST_PIECES = 3, 16  # letters of a piece between blanks, pieces of a word
 KNOWN_SHARE = 1 / 8192  # least share of labelled documents that a known word is in (three documents at least): bounds the model, not the rows
 REMEMBERED = 300_000
+#: About this many bytes of text are worked on at a time.
+CHUNK = 2_000_000
 #: Bits of the filter that tells documents with a label before texts are shuffled: a fixed size; a full filter lets more pass, never less.
 LABEL_BITS = 1 << 25
 
@@ -195,6 +197,112 @@ def features(core: str) -> list[str]:
     return [core + "$", *[core[:n] for n in PREFIXES if len(core) >= n]] if core else []
 
 
+def _table(signs: str) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[[ord(c) for c in signs if ord(c) < 128]] = True
+    return out
+
+
+_EDGES = _table(re.sub("[ \\t]", "", EDGE))
+_PLAIN_EDGES = _table(re.sub(r"[$+ \t]", "", EDGE))  # signs at the edge that stand for no letter
+#: Blanks of ``str.split`` besides those of ``Words``, and the bytes that they start with.
+_BLANKS = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_LEADS = _table("\x1c\x1d\x1e\x1f")
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def split(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words of a chunk as ``str.split`` has them."""
+    if _LEADS[data].any():
+        data = np.frombuffer(_BLANKS.sub(lambda m: b" " * len(m[0]), data.tobytes()), dtype=np.uint8)
+    return Words(data, offsets)
+
+
+class Cores:
+    """Different words of a chunk in lower case; one of plain letters between signs of ``edges`` is without these signs.
+
+    ``which`` of the different words each word is; core i is ``row[lo[i]:hi[i]]``, and ``plain`` if it is such a word, else as it stands.
+    """
+
+    def __init__(self, words: Words, edges: np.ndarray):
+        _, first, self.which = distinct(words.hashes())
+        self.starts, self.ends, self.data = words.starts[first], words.ends[first], words.data
+        row, lo, hi = gathered(words.data, self.starts, self.ends)
+        self.row = row = lowered(row)
+        own, at = letter_bytes(row), np.arange(len(row))
+        begin, end = np.minimum.reduceat(np.where(own, at, len(row)), lo), np.maximum.reduceat(np.where(own, at, -1), lo) + 1
+        n = np.add.reduceat(own, lo, dtype=np.int64)
+        self.plain = (n > 0) & (end - begin == n) & (n + np.add.reduceat(edges[row], lo, dtype=np.int64) == hi - lo)
+        self.lo, self.hi = np.where(self.plain, begin, lo), np.where(self.plain, end, hi)
+
+    def texts(self, which: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(number, word as it stands) of some."""
+        for i, a, z in zip(which.tolist(), self.starts[which].tolist(), self.ends[which].tolist()):
+            yield i, self.data[a:z].tobytes()
+
+    def put(self, which: np.ndarray, cores: list[str]) -> None:
+        """Other cores for some words."""
+        row = [c.encode() for c in cores]
+        size = np.array([len(c) for c in row], dtype=np.int64)
+        self.lo[which] = len(self.row) + np.cumsum(size + 1) - size - 1
+        self.hi[which] = self.lo[which] + size
+        self.row = np.concatenate([self.row, np.frombuffer(b"".join(c + b" " for c in row), dtype=np.uint8)])
+
+
+def hashed(texts: Iterable[str]) -> np.ndarray:
+    """Hashes of texts without blanks, as ``feature_table`` has them."""
+    row = np.frombuffer("".join(t + " " for t in texts).encode(), dtype=np.uint8)
+    return Words(row, np.array([0, len(row)])).hashes()
+
+
+def feature_table(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of cores: (bytes, starts, ends, hashes) of all of them, and for each core where its features are, -1 where it has less."""
+    some, full = np.flatnonzero(hi > lo), np.full((len(lo), 1 + len(PREFIXES)), -1, dtype=np.int64)
+    row, lo, hi = gathered(row, lo[some], hi[some], b"$ ")
+    begins = (row & 0xC0) != 0x80
+    number, places = np.cumsum(begins) - 1, np.flatnonzero(begins)
+    of, ends = [np.arange(len(some))], [hi + 1]
+    for n in PREFIXES:
+        long = np.flatnonzero(number[hi] - number[lo] >= n)
+        of, ends = [*of, long], [*ends, places[number[lo[long]] + n]]
+    at = 0
+    for k, own in enumerate(of):
+        full[some[own], k] = np.arange(at, at + len(own))
+        at += len(own)
+    of, ends = np.concatenate(of), np.concatenate(ends)
+    return row, lo[of], ends, beginnings(row, lo, hi + 2, of, ends), full
+
+
+class Hashes:
+    """Numbers of values by hash."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
+
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """Which each is; -1 for none."""
+        if not len(self.sorted):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        i = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[i] == hashes, self.order[i], -1)
+
+
+def doubled(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Whether cores of plain letters, in a row with signs after each, hold a letter twice in a row."""
+    if not len(lo):
+        return np.zeros(0, dtype=bool)
+    same = np.zeros(len(row), dtype=bool)
+    same[:-1] = (row[:-1] == row[1:]) & (row[:-1] < 128)
+    same[:-3] |= (row[:-3] == 0xC3) & (row[2:-1] == 0xC3) & (row[1:-2] == row[3:])
+    return np.logical_or.reduceat(same, lo)
+
+
+def owners(words: Words) -> np.ndarray:
+    """The document that each word is in."""
+    return np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+
+
 def short_runs(kind: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
     """(first word, end) of runs within a document of words whose ``piece`` is not 0, two at least and one of them not known."""
     start = np.zeros(len(kind) + 1, dtype=bool)
@@ -215,8 +323,9 @@ def set_apart(words: Words) -> list[tuple[int, int]]:
     one &= lead != 124
     owner = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
     edge = np.flatnonzero(np.diff(np.concatenate([[False], one, [False]]).astype(np.int8)))
+    edge = edge.reshape(-1, 2)
     out = []
-    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+    for a, b in edge[edge[:, 1] - edge[:, 0] >= 4].tolist():
         cut = [a, *(np.flatnonzero(np.diff(owner[a:b])) + a + 1).tolist(), b]
         out += [(x, y) for x, y in zip(cut, cut[1:]) if y - x >= 4]
     return out
@@ -343,36 +452,63 @@ def learn(docs: DataFrame, labels: DataFrame, shrink: float = 10.0, telling: flo
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, good, pairs, n = Counter(), Counter(), Counter(), [0, 0]
-        held_in: Counter = Counter()  # word as it stands -> documents whose letter pairs are still to be counted
-        known: dict[str, list[str]] = {}
-
-        def count_pairs() -> None:
-            for w, k in held_in.items():
-                core = plain(w, None)
-                if core.isalpha():
-                    for x, y in zip("^" + core, core + "$"):
-                        pairs[x + y] += k
-            held_in.clear()
+        pairs, latin, n = Counter(), np.zeros(1 << 16, dtype=np.int64), [0, 0]
+        found: list[tuple] = []  # hashes, texts and documents of features, summed up now and then
+
+        def summed() -> tuple:
+            hashes, bad, good = (np.concatenate([f[i] for f in found]) for i in (0, 2, 3))
+            values, first, code = distinct(hashes)
+            return values, pa.concat_arrays([f[1] for f in found]).take(pa.array(first)), *(np.bincount(code, x, len(first)).astype(np.int64) for x in (bad, good))
 
         for b in batches:
-            for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist()):
-                found, own = set(), set(text.as_py().decode("utf-8", "replace").split())
-                held_in.update(own)
-                for w in own:
-                    if (of := known.get(w)) is None:
-                        of = known[w] = features(plain(w, None))
-                    found.update(of)
-                (bad if toxic else good).update(found)
-                n[toxic] += 1
-                if len(known) > REMEMBERED:
-                    known.clear()
-                if len(held_in) > REMEMBERED:
-                    count_pairs()
-        count_pairs()
-        rows = [("f", f, bad[f], good[f]) for f in bad.keys() | good.keys()] + [("p", p, c, 0) for p, c in pairs.items()] + [("n", "", n[1], n[0])]
+            kinds = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            n[1] += int(kinds.sum())
+            n[0] += len(kinds) - int(kinds.sum())
+            for from_, to, data, offsets in chunks(b.column("text"), CHUNK):
+                words = split(data, offsets)
+                if not len(words):
+                    continue
+                toxic, cores = kinds[from_:to], Cores(words, _EDGES)
+                m = len(cores.plain)
+                held_in = pd.unique(owners(words) * m + cores.which)  # different words of the documents as they stand
+                doc, word = held_in // m, held_in % m
+                times = np.bincount(word, minlength=m)
+                odd = np.flatnonzero(~cores.plain)
+                others = [plain(w.decode("utf-8", "replace"), None) for _, w in cores.texts(odd)]
+                cores.put(odd, others)
+                for core, k in zip(others, times[odd].tolist()):
+                    if core.isalpha():
+                        for x, y in zip("^" + core, core + "$"):
+                            pairs[x + y] += k
+                own = np.flatnonzero(cores.plain)
+                row, lo, hi = gathered(cores.row, cores.lo[own], cores.hi[own], b"$^")
+                signs = np.frombuffer(("^" + row.tobytes().decode()).encode("latin-1"), dtype=np.uint8)
+                ends = np.flatnonzero(signs == 36)
+                every = np.repeat(times[own], np.diff(ends, prepend=-1))[: ends[-1]] if len(ends) else np.zeros(0)
+                latin += np.bincount(signs[: len(every)].astype(np.int64) << 8 | signs[1 : len(every) + 1], every, 1 << 16).astype(np.int64)
+                texts, starts, stops, hashes, table = feature_table(cores.row, cores.lo, cores.hi)
+                _, first, code = distinct(hashes)
+                table = np.append(code, -1)[table]
+                code = table[word]
+                one = pd.unique((doc[:, None] * max(len(first), 1) + code)[code >= 0])
+                bad = np.bincount(one % max(len(first), 1), toxic[one // max(len(first), 1)], len(first)).astype(np.int64)
+                every = np.bincount(one % max(len(first), 1), minlength=len(first))
+                row, lo, hi = gathered(texts, starts[first], stops[first], b"")
+                keys = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append(lo, len(row)).astype(np.int64)), pa.py_buffer(row))
+                found.append((hashes[first], keys, bad, every - bad))
+                if sum(len(f[0]) for f in found[1:]) > REMEMBERED:
+                    found[:] = [summed()]
+        for code in np.flatnonzero(latin).tolist():
+            if (code >> 8, code & 255) != (36, 94):
+                pairs[chr(code >> 8) + chr(code & 255)] += int(latin[code])
+        rows = [("p", p, c, 0) for p, c in pairs.items()] + [("n", "", n[1], n[0])]
+        names, kinds = ["kind", "key", "bad", "good"], (pa.string(), pa.string(), pa.int64(), pa.int64())
         for lo in range(0, len(rows), 100_000):
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 100_000]), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "key", "bad", "good"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 100_000]), kinds)], names=names)
+        _, keys, bad, good = summed() if found else (None, pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for lo in range(0, len(keys), 100_000):
+            part = keys[lo : lo + 100_000].cast(pa.string())
+            yield pa.record_batch([pa.array(["f"] * len(part)), part, pa.array(bad[lo : lo + 100_000]), pa.array(good[lo : lo + 100_000])], names=names)
 
     counted = held(labelled(docs, labels).mapInArrow(count, "kind string, key string, bad long, good long").groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     n = counted.where("kind = 'n'").first()
@@ -391,24 +527,30 @@ def learn(docs: DataFrame, labels: DataFrame, shrink: float = 10.0, telling: flo
     counts = {f: (bad, good) for f, (bad, good) in counts.items() if f.endswith("$") or owed[f] < 0.7 * bad}
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[dict, dict] = {}, {}  # a word's heaviest cue as clean and as toxic documents that leave themselves out weigh it
-
-        def heaviest(w: str, toxic: int) -> tuple[float, str] | None:
-            own = [f for f in features(plain(w, None)) if f in shared.value]
-            return max(((weight(shared.value[f][0] - toxic, shared.value[f][1] - (1 - toxic), base, shrink, telling), f) for f in own), default=None)
-
+        # cues in the order of their weight (of equal ones, of their texts) as clean and as toxic documents that leave themselves out weigh them
+        own = [sorted((weight(bad - toxic, good - (1 - toxic), base, shrink, telling), f) for f, (bad, good) in shared.value.items() if (good, bad)[toxic]) for toxic in (0, 1)]
+        most = max(*map(len, own), 1)
+        ordered = [Hashes(hashed(f for _, f in cues)) for cues in own]
         for b in batches:
-            sums, kinds = [], b.column("toxic").to_pylist()
-            for text, toxic in zip(b.column("text"), kinds):
-                best: dict[str, float] = {}
-                for w in set(text.as_py().decode("utf-8", "replace").split()):
-                    if w not in known[toxic]:
-                        known[toxic][w] = heaviest(w, toxic)
-                    if found := known[toxic][w]:
-                        best[found[1]] = found[0]
-                sums.append(math.fsum(best.values()))
-                if len(known[toxic]) > REMEMBERED:
-                    known[toxic].clear()
+            kinds = b.column("toxic").to_pylist()
+            sums = [0.0] * len(kinds)
+            for from_, to, data, offsets in chunks(b.column("text"), CHUNK):
+                words = split(data, offsets)
+                if not len(words):
+                    continue
+                cores = Cores(words, _EDGES)
+                odd = np.flatnonzero(~cores.plain)
+                cores.put(odd, [plain(w.decode("utf-8", "replace"), None) for _, w in cores.texts(odd)])
+                *_, hashes, table = feature_table(cores.row, cores.lo, cores.hi)
+                heaviest = np.stack([np.append(cues.number(hashes), -1)[table].max(axis=1) for cues in ordered])[:, cores.which]
+                doc = owners(words)
+                best = heaviest[np.array(kinds[from_:to])[doc], np.arange(len(doc))]
+                hit = best >= 0
+                of: dict[int, list[float]] = {}
+                for d, i in zip(*(x.tolist() for x in np.divmod(pd.unique(doc[hit] * most + best[hit]), most))):
+                    of.setdefault(d, []).append(own[kinds[from_ + d]][i][0])
+                for d, weights in of.items():
+                    sums[from_ + d] = math.fsum(weights)
             yield pa.record_batch([pa.array(sums, pa.float64()), pa.array(kinds, pa.int32())], names=["sum", "toxic"])
 
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -432,19 +574,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         weights = np.array(list(m.cues.values()))
+        cues, plainly = Hashes(hashed(m.cues)), Hashes(hashed(w + "$" for w in m.letters.words))
         known: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             total = np.zeros(b.num_rows)
-            for lo, hi, data, offs in chunks(b.column("text")):
+            for lo, hi, data, offs in chunks(b.column("text"), CHUNK):
                 words = Words(data, offs)
                 if not len(words):
                     continue
-                _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                cores = Cores(words, _PLAIN_EDGES)
+                which = cores.which
+                cue, kind = np.full(len(cores.plain), -1, dtype=np.int64), np.zeros(len(cores.plain), dtype=np.int8)
+                own = np.flatnonzero(cores.plain)
+                row, a, z, hashes, table = feature_table(cores.row, cores.lo[own], cores.hi[own])
+                a, z = a[: len(own)], z[: len(own)]
+                is_known = plainly.number(hashes[: len(own)]) >= 0
+                size = np.add.reduceat((row & 0xC0) != 0x80, a, dtype=np.int64) - 2 if len(own) else a
+                kind[own] = np.where(size > LONGEST_PIECE, 0, np.where(is_known, 1, 2))
+                stays = is_known | ~doubled(row, a)  # what ``plain`` leaves as it is
+                found = np.append(cues.number(hashes), -1)[table[stays]]
+                cue[own[stays]] = found[np.arange(len(found)), np.append(weights, -1.0)[found].argmax(axis=1)]
                 if len(known) > REMEMBERED:
                     known.clear()
-                cue, kind = np.empty(len(first), dtype=np.int64), np.empty(len(first), dtype=np.int8)
-                for i, (a, z) in enumerate(zip(words.starts[first].tolist(), words.ends[first].tolist())):
-                    w = data[a:z].tobytes()
+                for i, w in cores.texts(np.concatenate([own[~stays], np.flatnonzero(~cores.plain)])):
                     p = known.get(w)
                     if p is None:
                         text = w.decode("utf-8", "replace")

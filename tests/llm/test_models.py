@@ -4,9 +4,11 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +388,69 @@ def test_url_model_has_places_for_met_buckets_alone(spark):
     assert model.regression.numFeatures == met < 50_000
     unmet = spark.createDataFrame([(1, "")], "page_id long, url string").select("page_id", F.array(F.lit("\u2603\u2603")).alias("_grams"))
     assert model.transform(unmet).first()["_features"].numNonzeros() == 0
+
+
+def test_plain_words_are_scored_without_reading_them_one_by_one(letters, monkeypatch):
+    class Strict(toxicity.Model):
+        def of_word(self, word):
+            core = word.strip(".,;:!?\"'()")
+            if core.isalpha() and not toxicity._DOUBLED.search(core.lower()) or core.lower() in self.letters.words:
+                raise ValueError(f"read one by one: {word}")
+            return toxicity.Model.of_word(self, word)
+
+    known = toxicity.Letters(letters.cost, letters.single, words={"hello": 1.0, "scum": 5.0, "bottle": 4.0, "été": 3.0, "a": 1.0})
+    cues = {"scum$": 3.0, "stup": 2.0, "stupi": 2.5, "éclat": 1.0, "abc$": 0.5, "moro": 1.5}
+    texts = ["Scum, (hello) bottle!", "STUPID stupor éclatant Éclats", "sc.um m0ron abc$ abc$d +abc", "", None, "s c u m a été", "hellooo scuum \u00abscum\u00bb", "mor\u00a0on scum\u2003moron a\u0301", "one-two don't 2024 ..."]
+    plainly, strict = toxicity.Model(cues, known, -1.0, 1.0), Strict(cues, known, -1.0, 1.0)
+
+    def one(text):  # the cues of a text, word by word
+        own = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        found = {plainly.of_word(w)[0] for w in own}
+        kind = np.array([toxicity.piece(w, known) for w in own], dtype=np.int8)
+        for a, z in toxicity.short_runs(kind, np.array([0, len(own)])) if own else []:
+            found.update(plainly.of_pieces(own[a:z]))
+        return 1 / (1 + math.exp(1.0 - sum(list(cues.values())[c] for c in found if c >= 0)))
+
+    class Here:  # a batch in this process, where the model can tell what it is asked
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+
+        def mapInArrow(self, run, kinds):
+            batch = pa.record_batch([pa.array(range(len(texts))), pa.array([(t or "").encode() for t in texts], pa.binary())], names=["doc_id", "text"])
+            return pa.Table.from_batches(list(run(iter([batch, batch]))))
+
+    monkeypatch.setattr(toxicity, "documents", lambda docs: docs)
+    got = toxicity.score(Here(), strict).to_pydict()
+    assert got["doc_id"] == [*range(len(texts))] * 2
+    run = texts.index("s c u m a été")  # letters set apart are read as a run besides
+    assert all(score == pytest.approx(one(texts[i]), rel=1e-12) for i, score in zip(*got.values()) if i != run)
+
+
+def test_features_in_arrays_are_those_of_words():
+    texts = ["Scum, (hello) $tupid ab$cd abcd$ \u00c9clatant! \u00d7 \u6f22\u5b57\u6f22\u5b57\u6f22", "a\u00a0b\u2003c d\x1ce \u00ababc\u00bb \u0130stanbul", "", "... it's don't-stop hello HELLO 2024"]
+    data = [t.encode() for t in texts]
+    words = toxicity.split(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]))
+    cores = toxicity.Cores(words, toxicity._EDGES)
+    odd = np.flatnonzero(~cores.plain)
+    cores.put(odd, [toxicity.plain(w.decode(), None) for _, w in cores.texts(odd)])
+    row, starts, ends, hashes, table = toxicity.feature_table(cores.row, cores.lo, cores.hi)
+    feature = [row[a:z].tobytes().decode() for a, z in zip(starts, ends)]
+    assert hashes.tolist() == toxicity.hashed(feature).tolist()
+    got = [[{feature[i] for i in table[w] if i >= 0} for w in cores.which[a:z]] for a, z in zip(words.bounds, words.bounds[1:])]
+    assert got == [[set(toxicity.features(toxicity.plain(w, None))) for w in t.split()] for t in texts]
+
+
+def test_counts_of_learning_are_those_of_whole_texts(spark):
+    """Words parted by any blank of Unicode, in many documents of a batch, weigh as in a plain count."""
+    blanks = [" ", "\u00a0", "\u2003", "\n", "\x1f", "\u3000"]
+    docs = [(i, blanks[i % 6].join(["Vile," if i % 4 == 0 else "kind", "person" if i % 2 else "PERSON!", f"n{i % 7}x", "\u00c9t\u00e9"])) for i in range(600)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in docs]
+    taught = [(t, y) for (i, t), (_, y) in zip(docs, labels) if crc(i, 3) != 1]
+    model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    bad, good = Counter(), Counter()
+    for t, y in taught:
+        (bad if y else good).update({f for w in set(t.split()) for f in toxicity.features(toxicity.plain(w, None))})
+    assert set(model.cues) == {"vile$"}
+    base = (sum(y for _, y in taught) + 0.5) / (len(taught) + 1)
+    assert model.cues["vile$"] == toxicity.weight(bad["vile$"], good["vile$"], base, 10.0, 6.0)
+    n = {w[:-1]: bad[w] + good[w] for w in bad | good if w.endswith("$") and w[:-1].isalpha()}
+    assert model.letters.words == pytest.approx({w: -math.log(k / sum(n.values())) for w, k in n.items()})
