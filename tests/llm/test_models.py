@@ -63,6 +63,106 @@ def test_lm_is_a_distribution(spark):
     assert abs((10 ** m.of_open(open_)).sum() + 10**m.unknown - 1) < 1e-6
 
 
+def trained(n, at=0):
+    """Ids of training rows, or of held-out ones (at=2), the first n."""
+    return [i for i in range(20 * n) if (crc(i, 7) == 2) == (at == 2)][:n]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_lm_every_word_is_a_context_and_a_dish(spark, parts):
+    # 1,500 rare words, none of a share of 1/1000, each followed by the same other rare word three times
+    texts = [f"left{i} right{i}" for i in range(1500)] * 3
+    ask = ["left7 right7", "left7 right8", "left1204 right1204", "left1204 right3"]
+    rows = [*zip(trained(len(texts)), texts), *zip(trained(len(ask), 2), ask)]
+    got = {r.doc_id: r.score for r in pitmanyor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), parts=parts).collect()}
+    near, far, near2, far2 = (got[i] for i in trained(len(ask), 2))
+    assert near > far + 2 and near2 > far2 + 2
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_lm_of_words_that_come_once_by_hand(spark, parts):
+    # every pair and every word once: one table each, so nothing is drawn; the end alone has three contexts
+    texts = ["a b c", "d e", "f"]
+    ask = ["b c", "q"]
+    rows = [*zip(trained(3), texts), *zip(trained(2, 2), ask)]
+    got = {r.doc_id: r for r in pitmanyor.score(spark.createDataFrame(rows, "doc_id long, text string"), parts=parts).collect()}
+    d = 0.95  # n1 / n1 of the pairs, and of the words but the end: within 0.95
+    words, tables = 7, lambda end: 6 + end
+
+    def chain(text, end):
+        base, top = 0.5 / words, 9.0  # 9 pairs of one table each
+        mass = 1 + d * tables(end)
+        p = lambda w: mass * 0.5 / (1 + top) if w == "q" else ((3 - d * end if w is None else 1 - d) + mass * base) / (1 + top)
+        pairs = {(a, b) for t in texts for a, b in zip([0, *t.split()], [*t.split(), None])}
+        seats = Counter(a for a, _ in pairs)
+        return sum(math.log10(((1 - d) * ((a, b) in pairs) + (1 + d * seats[a]) * p(b)) / (1 + seats[a])) for a, b in zip([0, *text.split()], [*text.split(), None]))
+
+    for i, t in [*zip(trained(3), texts), *zip(trained(2, 2), ask)]:
+        assert min(chain(t, 1), chain(t, 3)) - 0.05 < got[i].score < max(chain(t, 1), chain(t, 3)) + 0.05
+
+
+def plain_sampler(train, ask, sweeps, burn):
+    """log10 probabilities of texts by a sampler that moves one customer at a time, all pairs in a dictionary."""
+    draw = np.random.default_rng(5)
+    split = lambda t: [*zip([0, *t.split()], [*t.split(), None])]
+    n = Counter(p for t in train for p in split(t))
+    seats, words = Counter(), {b for _, b in n}
+    for (a, _), m in n.items():
+        seats[a] += m
+    contexts = Counter(b for _, b in n)
+    sizes, tops = Counter(n.values()), Counter(contexts.values())
+    d1, d0 = pitmanyor.discount_of(sizes[1], sizes[2]), pitmanyor.discount_of(tops[1], tops[2])
+    alone1, alone0 = pitmanyor.alone_table(d1, 200), pitmanyor.alone_table(d0, 400)
+    t, top = {p: 1 for p in n}, {w: 1 for w in words}
+    tables, c = Counter(a for a, _ in n), Counter(b for _, b in n)
+    base = 0.5 / len(words)
+    parent = lambda w: (c[w] - d0 * top[w] + (1 + d0 * sum(top.values())) * base) / (1 + sum(c.values()))
+
+    def leave(w):
+        if draw.random() < alone0[c[w], top[w]]:
+            top[w] -= 1
+        c[w] -= 1
+
+    def come(w):
+        weight = (1 + d0 * sum(top.values())) * base
+        if draw.random() < weight / (weight + max(c[w] - d0 * top[w], 0)):
+            top[w] += 1
+        c[w] += 1
+
+    sums = Counter()
+    for r in range(sweeps):
+        for (a, b), m in n.items():
+            for _ in range(m):
+                if draw.random() < alone1[m, t[a, b]]:
+                    t[a, b] -= 1
+                    tables[a] -= 1
+                    leave(b)
+                weight = (1 + d1 * tables[a]) * parent(b)
+                if draw.random() < weight / (weight + m - 1 - d1 * t[a, b]):
+                    t[a, b] += 1
+                    tables[a] += 1
+                    come(b)
+        if r >= burn:
+            for a, b in {p for x in ask for p in split(x)}:
+                sums[a, b] += (n.get((a, b), 0) - d1 * t.get((a, b), 0) + (1 + d1 * tables[a]) * parent(b)) / (1 + seats[a]) / (sweeps - burn)
+    return [sum(math.log10(sums[p]) for p in split(x)) for x in ask]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_lm_agrees_with_a_plain_sampler(spark, parts):
+    draw = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(25)]
+    share = 1 / np.arange(1, 26)
+    text = lambda: " ".join(draw.choice(names, size=8, p=share / share.sum()))
+    train, ask = [text() for _ in range(70)], ["w0 w1 w2", "w20 w3 w24 w24 w0", *[text() for _ in range(20)]]
+    ask = [x for x in ask if set(x.split()) <= set(" ".join(train).split())]
+    rows = [*zip(trained(len(train)), train), *zip(trained(len(ask), 2), ask)]
+    got = {r.doc_id: r.score for r in pitmanyor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), parts=parts).collect()}
+    want = plain_sampler(train, ask, 60, 20)
+    off = [(got[i] - w) / (len(x.split()) + 1) for i, w, x in zip(trained(len(ask), 2), want, ask)]
+    assert abs(np.mean(off)) < 0.015 and max(map(abs, off)) < 0.06
+
+
 def test_seating_follows_the_exact_distribution():
     # weights of t tables for 4 customers: S(4, t) x^t, from the recursion by hand
     d, x = 0.5, 0.8
